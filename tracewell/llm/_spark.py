@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,3 +44,19 @@ def batch_rows(spark: SparkSession, rows: int) -> None:
 def crc_mod(column: str, n: int):
     """crc32 of the value as text, modulo n; a null id is taken as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives executors this package's code, once per session's context, where they can't import it themselves."""
+    context = spark.sparkContext
+    if getattr(context, "_tracewell_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="tracewell-code-")
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    with zipfile.ZipFile(path := f"{folder}/tracewell_code.zip", "w") as z:
+        for at, _, names in os.walk(f"{root}/tracewell"):
+            for name in names:
+                if name.endswith(".py"):
+                    z.write(f"{at}/{name}", os.path.relpath(f"{at}/{name}", root))
+    context.addPyFile(path)  # served by the driver
+    context._tracewell_shipped = True

@@ -2,22 +2,40 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tracewell.llm import fingerprints, packing, sharding
-from tracewell.llm._spark import table
+from tracewell.llm import fingerprints, langid, neardup, packing, quality, sharding
+from tracewell.llm._spark import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
-    return f
+    @functools.wraps(f)
+    def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = shipped
+    return shipped
+
+
+@query
+def op2_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op5_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word 3-grams at a similarity of 0.85."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
 @query
@@ -32,6 +50,12 @@ def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.learn(docs))
+
+
 @query
 def op10_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
