@@ -2,19 +2,64 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import packing
-from tracewell.llm._spark import shared_dir
+from tracewell.llm import decontaminate, langid, neardup, packing, quality
+from tracewell.llm._spark import cut, shared_dir, ship
+
+
+def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is among ids, with all their columns."""
+    return docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+
+
+def _drop(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(ids.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.2) -> DataFrame:
+    """Documents without a letter, or of whose n-grams the likeliest language knows under a fifth, go."""
+    ship(spark)
+    found = langid.identify(docs, langid.learn(docs))
+    return _drop(docs, cut(found.where((F.col("lang_pred") == "und") | (F.col("score") < least)).select("doc_id").distinct()))
+
+
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score under the classifier's threshold go."""
+    ship(spark)
+    model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _drop(docs, cut(quality.score(docs, model).where("predicted = 0").select("doc_id").distinct()))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays: that of the least doc_id."""
+    ship(spark)
+    return _drop(docs, cut(neardup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that cover half of a benchmark item's words go."""
+    ship(spark)
+    leaks = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _drop(docs, cut(leaks.select("doc_id").distinct()))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left, by bytes and an end mark, into sequences of several permitted lengths."""
+    ship(spark)
     return packing.pack(docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("length")), "length")
 
 
-STAGES = [("best-fit packing", pack_documents)]
+STAGES = [
+    ("language ID", identify_language),
+    ("quality classifier", classify_quality),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_leaks),
+    ("best-fit packing", pack_documents),
+]
 
 #: Classifiers, connected components and packing can't be written as SQL; tests hold run() against brute force.
 ORACLE_SQL = None
@@ -22,8 +67,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies all stages to documents; each stage's rows are written and read again before the next."""
-    import uuid
-
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
