@@ -4,47 +4,52 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm import decontaminate, langid, neardup, packing, quality
-from tracewell.llm._spark import cut, shared_dir, ship
-
-
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among ids, with all their columns."""
-    return docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-
-
-def _drop(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+from tracewell.llm._spark import batch_rows, cut, filter_rows, shared_dir, ship
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.2) -> DataFrame:
     """Documents without a letter, or of whose n-grams the likeliest language knows under a fifth, go."""
     ship(spark)
-    found = langid.identify(docs, langid.learn(docs))
-    return _drop(docs, cut(found.where((F.col("lang_pred") == "und") | (F.col("score") < least)).select("doc_id").distinct()))
+    batch_rows(spark, 1000)
+    filters = langid.learn(docs)
+
+    def keep(texts: list[str | None]) -> list[bool]:
+        langs, scores = filters.predict(texts)
+        return [lang != "und" and score >= least for lang, score in zip(langs, scores, strict=True)]
+
+    return filter_rows(docs, keep)
 
 
-def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score under the classifier's threshold go."""
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.3) -> DataFrame:
+    """Documents with a score under the threshold go."""
     ship(spark)
+    batch_rows(spark, 1000)
     model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _drop(docs, cut(quality.score(docs, model).where("predicted = 0").select("doc_id").distinct()))
+    return filter_rows(docs, lambda texts: model.scores(texts) >= least)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays: that of the least doc_id."""
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays: that of the least doc_id.
+    Of repeated rows of one doc_id, the first in the order of their text stays; rows without a doc_id stay."""
     ship(spark)
-    return _drop(docs, cut(neardup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()))
+    gone = cut(neardup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct())
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = cut(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return kept
+    first = Window.partitionBy("doc_id").orderBy("text")
+    once = kept.join(repeated, "doc_id", "left_semi").withColumn("_tracewell_n", F.row_number().over(first)).where("_tracewell_n = 1")
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that cover half of a benchmark item's words go."""
     ship(spark)
-    leaks = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _drop(docs, cut(leaks.select("doc_id").distinct()))
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

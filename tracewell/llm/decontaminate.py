@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from tracewell.llm import _text
-from tracewell.llm._spark import batch_rows
+from tracewell.llm._spark import batch_rows, filter_rows
 
 MIN_MATCH = 4
 _WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
@@ -141,13 +141,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
 
         return docs.mapInPandas(run, SCHEMA)
 
-    out, held, size = None, [], 0
+    out = None
+    for items in item_blocks(benchmark, block_bytes):
+        out = against(items) if out is None else out.unionByName(against(items))
+    return out
+
+
+def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int | None, str | None]]]:
+    """The benchmark in blocks of about that much text; one empty block for an empty benchmark."""
+    held, size, made = [], 0, False
     for row in benchmark.select("item_id", "text").toLocalIterator():
         held.append((row["item_id"], row["text"]))
         size += len(row["text"] or "")
         if size >= block_bytes:
-            out = against(held) if out is None else out.unionByName(against(held))
-            held, size = [], 0
-    if held or out is None:
-        out = against(held) if out is None else out.unionByName(against(held))
-    return out
+            yield held
+            held, size, made = [], 0, True
+    if held or not made:
+        yield held
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block_bytes: int = 16_000_000) -> DataFrame:
+    """The documents that cover no item by the threshold, with all their columns."""
+    batch_rows(docs.sparkSession, 1000)
+    for items in item_blocks(benchmark, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(Items([i for i, _ in items], [t for _, t in items]))
+
+        def clean(texts: list[str | None], shared=shared) -> np.ndarray:
+            keep = np.ones(len(texts), bool)
+            keep[[x[0] for x in shared.value.leaks(texts, threshold)]] = False
+            return keep
+
+        docs = filter_rows(docs, clean)
+    return docs

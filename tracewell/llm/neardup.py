@@ -3,7 +3,7 @@
 1. Every text becomes the set of its word n-grams (64-bit hashes); equal sets collapse to the least doc_id.
 2. One-permutation MinHash (empty bins filled from others, in an order that is fixed per bin) gives each of ``TREES``
    trees a label of ``DEPTH`` values.  Each tree is one sorted order of (label, id), dealt to tasks by range, so a
-   large group of copies spreads over tasks.  Neighbours whose labels share at least ``LEAST`` values are candidates.
+   large group of copies spreads over tasks.  Neighbours whose labels share at least ``depth`` values are candidates (see least_depth).
 3. Depth adapts to the region: a run of at most ``SMALL`` such rows gives all its pairs; in a denser one each row pairs
    with its neighbour in the order of the whole label, which has the longest common prefix.
 4. Candidates are confirmed on full sets and joined to components (large-star / small-star).
@@ -11,7 +11,8 @@
    similarity s share one of the first n - ceil(s n) + 1 in any order), and only where a shingle still connects
    different components.  These pairs are confirmed and joined as well.
 
-A pair at similarity 0.85 shares a prefix of 4 in one of 16 trees with probability 1 - 1e-5.
+The least depth is the greatest at which a pair just similar enough shares a prefix in one of the 16 trees with
+probability 1 - 2e-5 at least: 4 for 0.85, 3 for 0.8.
 
 Null or wordless texts have no shingles and no links.  Rows with the same doc_id are one document: a link of one is a
 link of all.  A null doc_id is given back unlinked.  Other columns are not read.  An empty table gives no rows.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from tracewell.llm import _text
 from tracewell.llm._spark import batch_rows, cut, partitions
 
-TREES, DEPTH, LEAST, SMALL = 16, 6, 4, 5
+TREES, DEPTH, SMALL, MISSED = 16, 6, 5, 2e-5
 BINS = TREES * DEPTH
 ROWS_PER_TASK = 500_000
 SLOTS = 1 << 18
@@ -92,16 +93,20 @@ def _prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(a == b, 1, 0).cumprod(axis=1).sum(axis=1)
 
 
-def _runs(tree: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Where runs of rows with a common prefix of LEAST begin."""
+def least_depth(percent: int) -> int:
+    return max([1, *(d for d in range(1, DEPTH) if (1 - (percent / 100) ** d) ** TREES <= MISSED)])
+
+
+def _runs(tree: np.ndarray, label: np.ndarray, depth: int) -> np.ndarray:
+    """Where runs of rows with a common prefix of that depth begin."""
     n = len(tree)
     new = np.ones(n, bool)
     if n > 1:
-        new[1:] = (tree[1:] != tree[:-1]) | (_prefix(label[1:, :LEAST], label[:-1, :LEAST]) < LEAST)
+        new[1:] = (tree[1:] != tree[:-1]) | (_prefix(label[1:, :depth], label[:-1, :depth]) < depth)
     return np.flatnonzero(new)
 
 
-def forest(reps: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
+def forest(reps: DataFrame, tasks: int, depth: int) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs (a < b), and the ids in dense regions, of reps(rep, labels)."""
     trees = reps.select("rep", F.posexplode(F.expr(f"transform(sequence(0, {TREES - 1}), t -> substring(labels, t * {4 * DEPTH} + 1, {4 * DEPTH}))")).alias("tree", "label"))
     ordered = trees.repartitionByRange(tasks, "tree", "label", "rep").sortWithinPartitions("tree", "label", "rep")
@@ -117,7 +122,7 @@ def forest(reps: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
         tree, rep = np.concatenate([x[0] for x in got]), np.concatenate([x[2] for x in got])
         raw = b"".join(x[1] for x in got)
         label = np.frombuffer(raw, ">u4").reshape(-1, DEPTH)
-        first = _runs(tree, label)
+        first = _runs(tree, label, depth)
         size = np.diff(np.append(first, len(tree)))
         of = np.repeat(np.arange(len(first)), size)
         dense = size > SMALL
@@ -140,7 +145,7 @@ def forest(reps: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
             return
         rows = rows.sort_values(["tree", "label", "a"], kind="stable")
         tree, rep, size = rows["tree"].to_numpy(), rows["a"].to_numpy(), rows["run"].to_numpy()
-        first = _runs(tree, np.frombuffer(b"".join(rows["label"]), ">u4").reshape(-1, DEPTH))
+        first = _runs(tree, np.frombuffer(b"".join(rows["label"]), ">u4").reshape(-1, DEPTH), depth)
         n = np.diff(np.append(first, len(tree)))
         of = np.repeat(np.arange(len(first)), n)
         dense = (n > SMALL) | (np.maximum.reduceat(size, first) > SMALL)
@@ -286,7 +291,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     reps = sketches.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("labels").alias("labels"))
     reps = cut(reps)
     tasks = max(partitions(spark), -(-reps.count() * TREES // ROWS_PER_TASK))
-    pairs, hot = forest(reps.select("rep", "labels"), tasks)
+    pairs, hot = forest(reps.select("rep", "labels"), tasks, least_depth(percent))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(hot).distinct()
     sets = cut(sets_of(docs, ids, words))
     links = cut(confirmed(pairs, sets, percent))
