@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tracewell.llm import decontaminate, fingerprints, html_main, langid, neardup, packing, quality, sharding
+from tracewell.llm import decontaminate, fingerprints, html_main, langid, neardup, packing, quality, repair_ids, sharding, token_counts
 from tracewell.llm._spark import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,22 @@ def op2_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op3_offset_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+@query
+def op4_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_ids.round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 @query
 def op5_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word 3-grams at a similarity of 0.85."""
