@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tracewell.plans import scalars
+
+QUERIES: dict = {**scalars.QUERIES}
+ORACLES: dict[str, str] = {**scalars.ORACLES}
