@@ -186,17 +186,18 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInPandas(run, "doc_id long, n long, bits array<long>, set binary")
 
 
+def near_bits(a: str, b: str, sizes: str, percent: int) -> str:
+    """Sets alike enough differ in at most (100 - percent) / (100 + percent) of their sizes' sum, and their bitmaps in no more bits."""
+    return f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y) * {100 + percent} <= {100 - percent} * ({sizes})"
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union.  Sizes and bitmaps turn most others away
     before full sets are joined."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
     few = [sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab"]
-    # Sets so alike differ in at most (100 - percent) / (100 + percent) of their sizes' sum.
-    fits = F.expr(
-        f"least(na, nb) * 100 >= greatest(na, nb) * {percent} AND "
-        f"aggregate(zip_with(bitsa, bitsb, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y) * {100 + percent} <= {100 - percent} * (na + nb)"
-    )
+    fits = F.expr(f"least(na, nb) * 100 >= greatest(na, nb) * {percent} AND {near_bits('bitsa', 'bitsb', 'na + nb', percent)}")
     sized = pairs.join(few[0], "a").join(few[1], "b").where(fits).select("a", "b")
     both = sized.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
 
@@ -289,12 +290,13 @@ def rest_of_dense(sets: DataFrame, hot: DataFrame, found: DataFrame, percent: in
     )
     rows = cut(rows)
     mixed = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    rows = rows.join(mixed, "token", "left_semi")
+    rows = rows.join(mixed, "token", "left_semi").join(dense.select("doc_id", "bits"), "doc_id")
     x, y = rows.alias("x"), rows.alias("y")
     # A link has at least percent (x.n + y.n) / (100 + percent) shingles in common, all at or behind the first common one.
     apart = F.expr(
         f"x.component <> y.component AND x.doc_id < y.doc_id AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) "
-        f"AND least(x.n - x.place, y.n - y.place) * {100 + percent} >= {percent} * (x.n + y.n)"
+        f"AND least(x.n - x.place, y.n - y.place) * {100 + percent} >= {percent} * (x.n + y.n) "
+        f"AND {near_bits('x.bits', 'y.bits', 'x.n + y.n', percent)}"
     )
     return x.join(y, (F.col("x.token") == F.col("y.token")) & apart).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
 
