@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewell.plans import scalars
+from tracewell.plans import scalars, scoring
 
-QUERIES: dict = {**scalars.QUERIES}
-ORACLES: dict[str, str] = {**scalars.ORACLES}
+QUERIES: dict = {**scoring.QUERIES, **scalars.QUERIES}
+ORACLES: dict[str, str] = {**scoring.ORACLES, **scalars.ORACLES}
