@@ -186,9 +186,13 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInPandas(run, "doc_id long, n long, bits array<long>, set binary")
 
 
+def bits_apart(a: str, b: str) -> str:
+    return f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)"
+
+
 def near_bits(a: str, b: str, sizes: str, percent: int) -> str:
     """Sets alike enough differ in at most (100 - percent) / (100 + percent) of their sizes' sum, and their bitmaps in no more bits."""
-    return f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y) * {100 + percent} <= {100 - percent} * ({sizes})"
+    return f"{bits_apart(a, b)} * {100 + percent} <= {100 - percent} * ({sizes})"
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -254,7 +258,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def rest_of_dense(sets: DataFrame, hot: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs of hot documents in different components that share one of their rarest shingles."""
+    """Pairs (a, b) of hot documents in different components (ca, cb) that share one of their rarest shingles, and how many
+    bits their bitmaps are apart."""
     dense = sets.join(hot, "doc_id", "left_semi")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -298,7 +303,9 @@ def rest_of_dense(sets: DataFrame, hot: DataFrame, found: DataFrame, percent: in
         f"AND least(x.n - x.place, y.n - y.place) * {100 + percent} >= {percent} * (x.n + y.n) "
         f"AND {near_bits('x.bits', 'y.bits', 'x.n + y.n', percent)}"
     )
-    return x.join(y, (F.col("x.token") == F.col("y.token")) & apart).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    return x.join(y, (F.col("x.token") == F.col("y.token")) & apart).select(
+        F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.least("x.component", "y.component").alias("ca"), F.greatest("x.component", "y.component").alias("cb"), F.expr(bits_apart("x.bits", "y.bits")).alias("apart")
+    ).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -317,8 +324,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # Rows of one doc_id are one document: their sets' representatives are linked through it.
     same = sketches.select("doc_id", "key").where("key IS NOT NULL").join(reps.select("key", "rep"), "key").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(links)
-    more = cut(confirmed(rest_of_dense(sets, hot, found, percent), sets, percent))
-    found = components(links.unionByName(more).unionByName(same))
+    # Of the pairs between two components the likeliest comes first; the links that these give leave few others open.
+    rest = cut(rest_of_dense(sets, hot, found, percent))
+    likeliest = rest.groupBy("ca", "cb").agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b", "ca", "cb")
+    more = cut(confirmed(likeliest.select("a", "b"), sets, percent))
+    joined = components(more.join(likeliest, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    for side in ("ca", "cb"):
+        rest = rest.join(joined.select(F.col("node").alias(side), F.col("component").alias(f"{side}_now")), side, "left")
+    rest = rest.where(F.coalesce("ca_now", "ca") != F.coalesce("cb_now", "cb")).join(likeliest.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
+    last = cut(confirmed(rest, sets, percent))
+    found = components(links.unionByName(more).unionByName(last).unionByName(same))
     return (
         sketches.select("doc_id", "n_shingles")
         .join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
