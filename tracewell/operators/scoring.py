@@ -22,8 +22,12 @@ def hashed(grams: Column) -> Column:
 
 def contained(body: Column, known: list[tuple[int, Column]]) -> Column:
     """the ids of the known keys that a normalised text contains."""
-    found = F.array(*[F.when(F.contains(body, key) & (key != ""), F.lit(i)) for i, key in known]) if known else F.array().cast("array<bigint>")
-    return F.array_compact(found).cast("array<bigint>")
+    if not known:
+        return F.array().cast("array<bigint>")
+    keys = F.array(*[F.struct(F.lit(i).cast("bigint").alias("id"), key.alias("key")) for i, key in known])
+    # The text is bound to a variable, so its normal form is made once and not once per key.
+    hits = F.get(F.transform(F.array(body), lambda b: F.filter(keys, lambda k: (k["key"] != "") & F.contains(b, k["key"]))), F.lit(0))
+    return F.transform(hits, lambda k: k["id"])
 
 
 def features(docs: DataFrame, known: list[tuple[int, str]] = ()) -> DataFrame:

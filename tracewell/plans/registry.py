@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewell.plans import scalars, scoring
+from tracewell.plans import graphs, scalars, scoring
 
-QUERIES: dict = {**scoring.QUERIES, **scalars.QUERIES}
-ORACLES: dict[str, str] = {**scoring.ORACLES, **scalars.ORACLES}
+QUERIES: dict = {**scoring.QUERIES, **graphs.QUERIES, **scalars.QUERIES}
+ORACLES: dict[str, str] = {**scoring.ORACLES, **graphs.ORACLES, **scalars.ORACLES}
