@@ -1,8 +1,8 @@
 """Main text of web pages by differencing each page with the page of the nearest URL.
 
 Pages are dealt by ranges of (host, path, page_id) and read in that order; a page is paired with the one before or
-after it on the same host, whichever shares the longer path (the one before, if equal).  At the ends of a task's range only
-the neighbour inside it counts.  Text lines (blocks) of a pair are aligned by longest common subsequence and shared
+after it on the same host, whichever shares the longer path (the one before, if equal).  Pages at the ends of a task's range
+meet their neighbours in a second step, of two pages for each task.  Text lines (blocks) of a pair are aligned by longest common subsequence and shared
 lines are deleted.
 
 What the markup says outright comes first: scripts, styles, forms, menus, headers, footers, asides, and elements whose
@@ -21,12 +21,14 @@ from __future__ import annotations
 
 import html
 import os
+import pickle
 import re
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -227,24 +229,59 @@ def extract(pages: DataFrame) -> DataFrame:
     dealt = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task = TaskContext.get().partitionId()
         before = now = None  # (host, path, page_id, url, candidates)
-
-        def finish(after) -> tuple:
-            host, path = now[:2]
-            near = [x for x in (before, after) if x is not None and x[0] == host]
-            best = max(near, key=lambda x: len(os.path.commonprefix([x[1], path])), default=None)
-            text = main_text(now[4], best and best[4])
-            return now[2], now[3], text, len(text)
+        first = True
 
         for batch in batches:
             done = []
             for page, url, raw, host, path in zip(batch["page_id"], batch["url"], batch["html"], batch["host"], batch["path"], strict=True):
                 after = (host, path, None if pd.isna(page) else int(page), url, candidates(raw))
                 if now is not None:
-                    done.append(finish(after))
+                    done.append(_edge(task, now, None, after) if first else _finish(before, now, after))
+                    first = False
                 before, now = now, after
-            yield pd.DataFrame(done, columns=["page_id", "url", "text", "n_chars"]).astype({"page_id": "Int64"})
+            yield _frame(done)
         if now is not None:
-            yield pd.DataFrame([finish(None)], columns=["page_id", "url", "text", "n_chars"]).astype({"page_id": "Int64"})
+            yield _frame([_edge(task, now, None if first else before, None)])
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before = None  # the last page of the task before, if this is the first of its own
+        held: tuple | None = None
+        for batch in batches:
+            done = []
+            for x in batch["edge"]:
+                task, page, inner_before, inner_after = pickle.loads(x)
+                if held is not None:
+                    # A page without a successor in its task has the next task's first page for one.
+                    done.append(_finish(held[1] or before_held, held[0], held[2] or page))
+                before_held, held = before, (page, inner_before, inner_after)
+                before = page
+            yield _frame(done)
+        if held is not None:
+            yield _frame([_finish(held[1] or before_held, held[0], held[2])])
+
+    # Made once: its rows at the ends of ranges, two of each task, meet their neighbours from other tasks.
+    made = dealt.mapInPandas(run, f"{_SCHEMA}, task int, edge binary").persist(StorageLevel.MEMORY_AND_DISK)
+    # Each task's first row sorts before its last one by where its inner neighbour is.
+    ends = made.where("edge IS NOT NULL").select("task", "n_chars", "edge").repartition(1).sortWithinPartitions("task", "n_chars")
+    return made.where("edge IS NULL").select("page_id", "url", "text", "n_chars").unionByName(ends.mapInPandas(meet, f"{_SCHEMA}, task int, edge binary").select("page_id", "url", "text", "n_chars"))
+
+
+_SCHEMA = "page_id long, url string, text string, n_chars long"
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["page_id", "url", "text", "n_chars", "task", "edge"]).astype({"page_id": "Int64"})
+
+
+def _finish(before: tuple | None, page: tuple, after: tuple | None) -> tuple:
+    near = [x for x in (before, after) if x is not None and x[0] == page[0]]
+    best = max(near, key=lambda x: len(os.path.commonprefix([x[1], page[1]])), default=None)
+    text = main_text(page[4], best and best[4])
+    return page[2], page[3], text, len(text), 0, None
+
 
-    return dealt.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+def _edge(task: int, page: tuple, before: tuple | None, after: tuple | None) -> tuple:
+    """A page that still lacks a neighbour of another task; n_chars tells a task's first (0) from its last (1) page."""
+    return None, None, "", int(before is not None), task, pickle.dumps((task, page, before, after))
