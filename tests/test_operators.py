@@ -137,3 +137,39 @@ def test_stream_keeps_each_text_once(spark, tmp_path):
     query = ingest.first_seen(stream).writeStream.format("memory").queryName("kept").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert spark.table("kept").count() == 2
+
+
+def brute_candidates(spark, docs, known):
+    """C4 over every earlier document, without a join on evidence."""
+    feats = scoring.features(docs, known)
+    every = feats.select(F.col("id").alias("parent")).crossJoin(feats.select(F.col("id").alias("child"))).where("parent <> child")
+    return feats, every
+
+
+def test_pairs_share_any_evidence(spark):
+    """A known error in different texts, a rare six-gram, a short text within a long one, and a URL in the text; against all pairs."""
+    long = " ".join(f"w{i}x" for i in range(300))
+    docs = spark.createDataFrame(
+        [
+            (1, "entirely separate beginnings hold the moon is made of cheese", "https://a.test/1", 0, []),
+            (2, "The moon is made of cheese! some other ending altogether here", "https://www.b.test/2/", DAY, []),
+            (3, long, "https://c.test/3", 2 * DAY, []),
+            (4, " ".join(f"w{i}x" for i in range(150, 162)), "https://d.test/4", 3 * DAY, []),
+            (5, "we read (https://A.test/1), yes", "https://e.test/5", 4 * DAY, []),
+            (6, "nothing in common whatever", "https://f.test/6", 5 * DAY, []),
+            (7, "made of cheese", "https://g.test/7", 6 * DAY, []),
+            (8, "nothing in common whatever", "https://h.test/8", 6 * DAY, []),
+        ],
+        "id long, text string, url string, ts_ms long, links array<string>",
+    )
+    feats, every = brute_candidates(spark, docs, [(1, "The moon is made of cheese")])
+    pairs = scoring.candidate_pairs(feats)
+    got = {tuple(r) for r in pairs.collect()}
+    assert {(1, 2), (3, 4), (1, 5), (6, 8), (2, 7)} <= got and (3, 6) not in got
+    for score in (lambda p: scoring.score_candidates(feats, p), lambda p: scoring.tiers(scoring.score_edges(feats, p))):
+        weigh = lambda rows: {tuple(r) for r in rows.where("confidence > 0").collect()}
+        assert weigh(score(pairs)) == weigh(score(every)) != set()
+    best = lambda p: {tuple(r) for r in scoring.best_parents(feats, scoring.score_candidates(feats, p)).collect()}
+    assert best(pairs) == best(every)
+    parents = {r[0]: r[1] for r in best(pairs)}
+    assert (parents[2], parents[4], parents[5]) == (1, 3, 1)

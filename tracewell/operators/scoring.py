@@ -1,7 +1,7 @@
 """Evidence features, candidate pairs, timings and the three scorers, which are kept apart on purpose.
 
 Every function takes and returns DataFrames keyed by ids.  Features are arrays of 64-bit gram hashes, made once per document,
-so a pair is scored by array operations after two equi-joins; unrestricted pairs of documents are never formed.
+so a pair is scored by array operations after two equi-joins.  Pairs are all those that share evidence with weight.
 """
 
 from __future__ import annotations
@@ -43,24 +43,62 @@ def features(docs: DataFrame, known: list[tuple[int, str]] = ()) -> DataFrame:
         .withColumn("fabricated", contained(F.col("_key"), keys))
         .withColumn("errors", contained(F.col("_scorer"), scorer_keys))
         .withColumn("grams6", text.shingles(text.words(text.unquoted(F.col("text"))), 6))
-        .withColumn("anchors", F.slice(F.array_sort(F.transform("grams6", lambda g: F.md5(g))), 1, 4))
         .withColumn("g6", hashed(F.col("grams6")))
         .withColumn("g3", hashed(text.shingles(text.words(F.col("text")), 3)))
         .withColumn("s6", hashed(text.shingles(text.scorer_words(F.col("text")), 6)))
         .withColumn("s3", hashed(text.shingles(text.scorer_words(F.col("text")), 3)))
         .withColumn("fingerprint", text.content_fingerprint(F.col("text")))
+        .withColumn("raw", F.sha2(F.col("text").cast("binary"), 256))
         .drop("grams6", "_key", "_scorer")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
 
 
+def _gram_pairs(feats: DataFrame) -> DataFrame:
+    """(a, b), a < b: documents that share a hashed gram of any kind.  Equal texts are one class until the end, and of the grams
+    that the same classes have, one is joined."""
+    kinds = ("g6", "g3", "s3")  # a shared 6-gram of s6 has shared 3-grams of s3; g6 skips quotations, so g3 doesn't stand for it
+    classes = feats.groupBy("raw").agg(F.min("id").alias("class"))
+    member = feats.select("id", "raw").join(classes, "raw").select("id", "class")
+    first = feats.join(classes, "raw").where(F.col("id") == F.col("class"))
+    rows = first.select("class", F.explode(F.array_distinct(F.concat(*kinds))).alias("gram")).persist(StorageLevel.MEMORY_AND_DISK)
+    held = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(7))).alias("y")).where("n > 1")
+    rows = rows.join(held.groupBy("n", "x", "y").agg(F.min("gram").alias("gram")).select("gram"), "gram", "left_semi")
+    near = rows.withColumnRenamed("class", "a").join(rows.withColumnRenamed("class", "b"), "gram").where("a < b").select("a", "b").distinct()
+    left, right = member.select(F.col("id").alias("i"), F.col("class").alias("a")), member.select(F.col("id").alias("j"), F.col("class").alias("b"))
+    apart = near.join(left, "a").join(right, "b").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+    with_grams = first.where(F.greatest(*[F.size(k) for k in kinds]) > 0).select(F.col("class").alias("a"))
+    copies = left.join(with_grams, "a", "left_semi").join(right, F.col("a") == F.col("b")).where("i < j").select(F.col("i").alias("a"), F.col("j").alias("b"))
+    return apart.unionByName(copies)
+
+
+def _url_pairs(feats: DataFrame) -> DataFrame:
+    """(parent, child): the child links to the parent's URL, with or without the scheme, or has it in its text."""
+    urls_of = feats.select(F.col("id").alias("parent"), "url", urls.scheme_less_url(F.col("url")).alias("bare"))
+    links = feats.select(F.col("id").alias("child"), F.explode("links").alias("link"))
+    exact = links.join(urls_of, F.col("link") == F.col("url")).select("parent", "child")
+    bare = links.select("child", urls.scheme_less_url(F.col("link")).alias("bare")).join(urls_of, "bare").select("parent", "child")
+    # The URL from its first dot on is found among the pieces of the text's tokens that begin with a dot and have such a length.
+    plain = F.col("bare").rlike(r"^[^\s.]*\.\S*$")
+    keyed = urls_of.where(plain).withColumn("tail", F.expr("substring(bare, locate('.', bare))"))
+    sizes = keyed.agg(F.collect_set(F.length("tail")).alias("sizes"))
+    low = feats.select(F.col("id").alias("child"), F.lower("text").alias("body"))
+    tokens = low.select("child", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"\S*\.\S+"), 0))).alias("t"))
+    starts = tokens.select("child", F.explode(F.expr("transform(filter(sequence(1, length(t)), i -> substring(t, i, 1) = '.'), i -> substring(t, i))")).alias("t"))
+    pieces = starts.join(F.broadcast(sizes)).select("child", F.explode(F.expr("transform(filter(sizes, n -> n <= length(t)), n -> left(t, n))")).alias("tail")).distinct()
+    found = pieces.join(keyed, "tail").select("parent", "child", "bare").join(low, "child").where(F.contains("body", F.col("bare"))).select("parent", "child")
+    odd = urls_of.where(~plain).join(low, F.contains("body", F.col("bare"))).select("parent", "child")
+    return exact.unionByName(bare).unionByName(found).unionByName(odd)
+
+
 def candidate_pairs(feats: DataFrame) -> DataFrame:
-    """(parent, child) of documents that share one of their four anchor phrases, or a link; both directions."""
-    rows = feats.select("id", F.explode("anchors").alias("anchor"))
-    near = rows.select(F.col("id").alias("parent"), "anchor").join(rows.select(F.col("id").alias("child"), "anchor"), "anchor").where("parent <> child").select("parent", "child")
-    linked = feats.select(F.col("id").alias("child"), F.explode("links").alias("link")).join(feats.select(F.col("id").alias("parent"), F.col("url").alias("link")), "link").where("parent <> child")
-    both = linked.select("parent", "child").unionByName(linked.select(F.col("child").alias("parent"), F.col("parent").alias("child")))
-    return near.unionByName(both).distinct()
+    """(parent, child) of all documents that share evidence with weight: a word 3-gram or 6-gram, a known error, a link, or the URL of
+    one in the other's text; both directions.  All other pairs score nothing by any scorer."""
+    errors = feats.select("id", F.explode(F.array_union("fabricated", "errors")).alias("error"))
+    shared = errors.withColumnRenamed("id", "parent").join(errors.withColumnRenamed("id", "child"), "error").where("parent < child").select("parent", "child")
+    one = _gram_pairs(feats).select(F.col("a").alias("parent"), F.col("b").alias("child")).unionByName(shared).unionByName(_url_pairs(feats)).where("parent <> child")
+    # The scorers read the pairs several times.
+    return one.unionByName(one.select(F.col("child").alias("parent"), F.col("parent").alias("child"))).distinct().persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _side(feats: DataFrame, key: str, prefix: str, cols: list[str]) -> DataFrame:
@@ -115,7 +153,7 @@ def score_edges(feats: DataFrame, pairs: DataFrame) -> DataFrame:
     of_child = Window.partitionBy("child")
     rows = rows.withColumn("carriers", F.sum(F.when(eligible & (F.col("coverage") >= COVERED), 1).otherwise(0)).over(of_child))
     rows = rows.withColumn("common", F.array_intersect("p_g6", "c_g6")).withColumn("link", F.array_contains("c_links", F.col("p_url"))).withColumn("similarity", similarity("c_g3", "p_g3"))
-    rows = rows.drop("p_g6", "c_g6", "p_g3", "c_g3")
+    rows = rows.drop("p_g6", "c_g6", "p_g3", "c_g3").persist(StorageLevel.MEMORY_AND_DISK)
     grams = rows.where(eligible).select("parent", "child", F.explode("common").alias("gram"))
     only = grams.groupBy("child", "gram").agg(F.count(F.lit(1)).alias("n"), F.min("parent").alias("parent")).where("n = 1").groupBy("parent", "child").agg(F.count(F.lit(1)).alias("unique_phrases"))
     rows = rows.drop("common").join(only, ["parent", "child"], "left").withColumn("unique_phrases", F.coalesce("unique_phrases", F.lit(0)))
@@ -163,9 +201,10 @@ def score_candidates(feats: DataFrame, pairs: DataFrame) -> DataFrame:
     rows = pairs.join(t, "child").join(c, "parent").where("c_ts_ms <= t_ts_ms")
     wanted = urls.scheme_less_url(F.col("c_url"))
     link = F.exists("t_links", lambda x: urls.scheme_less_url(x) == wanted) | F.contains(F.lower("t_text"), wanted)
-    rows = rows.withColumn("link", link).drop("t_text").withColumn("similarity", similarity("t_s3", "c_s3")).withColumn("common", F.array_intersect("t_s6", "c_s6")).withColumn("shared", F.array_intersect("t_errors", "c_errors")).drop("t_s3", "c_s3", "t_s6", "c_s6")
-    rows = rows.withColumn("pool", F.count(F.lit(1)).over(Window.partitionBy("child")))
-    grams = rows.where("pool >= 3").select("parent", "child", F.explode("common").alias("gram"))
+    rows = rows.withColumn("link", link).drop("t_text").withColumn("similarity", similarity("t_s3", "c_s3")).withColumn("common", F.array_intersect("t_s6", "c_s6")).withColumn("shared", F.array_intersect("t_errors", "c_errors")).drop("t_s3", "c_s3", "t_s6", "c_s6").persist(StorageLevel.MEMORY_AND_DISK)
+    # The pool is every other document that is no later: three of them, and the target itself, from the fourth time on.
+    fourth = feats.where("ts_ms IS NOT NULL").select("ts_ms").orderBy("ts_ms").limit(4).agg(F.when(F.count(F.lit(1)) == 4, F.max("ts_ms")).alias("fourth"))
+    grams = rows.join(F.broadcast(fourth)).where("t_ts_ms >= fourth").select("parent", "child", F.explode("common").alias("gram"))
     rare = grams.groupBy("child", "gram").agg(F.count(F.lit(1)).alias("n"), F.min("parent").alias("parent")).where("n = 1").groupBy("parent", "child").agg(F.count(F.lit(1)).alias("rare"))
     errors = rows.select("parent", "child", F.explode("shared").alias("error"))
     counts = errors.groupBy("child", "error").agg(F.count(F.lit(1)).alias("n"))
