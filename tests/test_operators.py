@@ -173,3 +173,18 @@ def test_pairs_share_any_evidence(spark):
     assert best(pairs) == best(every)
     parents = {r[0]: r[1] for r in best(pairs)}
     assert (parents[2], parents[4], parents[5]) == (1, 3, 1)
+
+
+def test_known_errors_of_any_number(spark):
+    """More than a thousand items, in one block and in many: the ids are those of plain containment."""
+    items = [(i, f"Claim {i} holds") for i in range(1500)] + [(2000, "x"), (2001, "Claim 7 holds"), (2002, ""), (2003, "ünï — test")]
+    texts = ["claim 7 holds and claim 1499 holds", "CLAIM 12 HOLDS", "claim 12 hold", None, "", "so ÜNÏ - test", "claim 1 holdsx"]
+    docs = spark.createDataFrame([(i, t, f"https://a.test/{i}", 0, []) for i, t in enumerate(texts)], "id long, text string, url string, ts_ms long, links array<string>")
+    got = {r["id"]: r["fabricated"] for r in scoring.features(docs, items).select("id", "fabricated").collect()}
+    assert got == {0: [7, 1499, 2001], 1: [12], 2: [], 3: [], 4: [], 5: [2003], 6: [1, 2000]}
+    known = scoring.known_keys(spark, items)
+    blocks = list(walks.key_blocks(known.select("id", "match"), 50_000))
+    keys = [(k.decode(), i) for b in blocks for k, v in b.items() for i in v]
+    assert len(blocks) > 1 and len(keys) == 1503
+    for body in ("claim 7 holds and claim 1499 holds", "ünï - test"):
+        assert sorted(i for b in blocks for i in walks.Keys(b).within(body)) == sorted(i for k, i in keys if k in body)

@@ -1,15 +1,16 @@
 """Text walks that keep state from word to word, as Arrow-batched functions: case names, common substrings, sentences,
-claim changes.  All else about text is in ``text.py``."""
+claim changes, known keys within texts.  All else about text is in ``text.py``."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from tracewell.functions.text import DASHES, DOUBLE_QUOTES, SINGLE_QUOTES
 
@@ -146,3 +147,59 @@ def sentences_of(s: pd.Series) -> pd.Series:
 @F.pandas_udf(ArrayType(StructType([StructField(n, StringType()) for n in ("type", "summary", "before", "after")])))
 def claim_changes_of(parent: pd.Series, child: pd.Series) -> pd.Series:
     return pd.Series([claim_changes(p, c) for p, c in zip(parent, child, strict=True)])
+
+
+def key_blocks(keys, block_bytes: int = 16_000_000) -> Iterator[dict[bytes, list[int]]]:
+    """The rows of keys(id, key) as key -> ids, in blocks of about that much text; null and empty keys are in no text."""
+    held, size = {}, 0
+    for i, key in keys.toLocalIterator():
+        if key:
+            held.setdefault(key.encode(), []).append(i)
+            size += len(key) + 100
+        if size >= block_bytes:
+            yield held
+            held, size = {}, 0
+    if held:
+        yield held
+
+
+def _rolled(data: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n bytes from each place on."""
+    if len(data) < n:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(len(data) - n + 1, np.uint64)
+    for k in range(n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + data[k : k + len(out)]
+    return out ^ (out >> np.uint64(29))
+
+
+class Keys:
+    """Keys by their first bytes, at most 16: a place of a text is compared with a key only where those agree."""
+
+    def __init__(self, ids: dict[bytes, list[int]]):
+        self.ids, heads = ids, {}
+        for key in ids:
+            n = 1 << min(4, len(key).bit_length() - 1)
+            heads.setdefault(n, {}).setdefault(int(_rolled(np.frombuffer(key[:n], np.uint8), n)[0]), []).append(key)
+        self.heads = {n: (np.sort(np.array(list(by), np.uint64)), by) for n, by in heads.items()}
+
+    def within(self, body: str | None) -> list[int]:
+        raw = (body or "").encode()
+        data, found = np.frombuffer(raw, np.uint8), set()
+        for n, (heads, by) in self.heads.items():
+            h = _rolled(data, n)
+            at = np.searchsorted(heads, h)
+            for p in np.flatnonzero(heads[np.minimum(at, len(heads) - 1)] == h).tolist():
+                found.update(key for key in by[int(h[p])] if raw.startswith(key, p))
+        return sorted(i for key in found for i in self.ids[key])
+
+
+def keys_within(spark, block: dict[bytes, list[int]]):
+    """A function of a text column: the ids of the block's keys that the text contains."""
+    shared = spark.sparkContext.broadcast(Keys(block))
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def within(s: pd.Series) -> pd.Series:
+        return s.map(shared.value.within)
+
+    return within

@@ -6,11 +6,13 @@ so a pair is scored by array operations after two equi-joins.  Pairs are all tho
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewell.functions import maths, text, urls
+from tracewell.functions import maths, text, urls, walks
 
 COVERED = 2 / 3
 ACCEPTED, PROBABLE, RELATED = 0.35, 0.2, 0.05
@@ -20,28 +22,29 @@ def hashed(grams: Column) -> Column:
     return F.transform(grams, lambda g: F.xxhash64(g))
 
 
-def contained(body: Column, known: list[tuple[int, Column]]) -> Column:
-    """the ids of the known keys that a normalised text contains."""
-    if not known:
-        return F.array().cast("array<bigint>")
-    keys = F.array(*[F.struct(F.lit(i).cast("bigint").alias("id"), key.alias("key")) for i, key in known])
-    # The text is bound to a variable, so its normal form is made once and not once per key.
-    hits = F.get(F.transform(F.array(body), lambda b: F.filter(keys, lambda k: (k["key"] != "") & F.contains(b, k["key"]))), F.lit(0))
-    return F.transform(hits, lambda k: k["id"])
+def contained(body: Column, known: DataFrame, key: str) -> Column:
+    """the ids, in order, of the known(id, <key>) rows whose key a normalised text contains; any number, in broadcast blocks."""
+    blocks = [walks.keys_within(known.sparkSession, block)(body) for block in walks.key_blocks(known.select("id", key))]
+    return F.array_sort(F.concat(*blocks)) if blocks else F.array().cast("array<bigint>")
+
+
+def known_keys(spark: SparkSession, known: DataFrame | Sequence[tuple[int, str]]) -> DataFrame:
+    """known(id, text), or a list of such rows, with both normal forms: id, match, scorer."""
+    rows = known if isinstance(known, DataFrame) else spark.createDataFrame(list(known), "id long, text string")
+    return rows.select("id", text.match_key(F.col("text")).alias("match"), text.scorer_text(F.col("text")).alias("scorer"))
 
 
-def features(docs: DataFrame, known: list[tuple[int, str]] = ()) -> DataFrame:
+def features(docs: DataFrame, known: DataFrame | Sequence[tuple[int, str]] = ()) -> DataFrame:
     """docs(id, text, url, ts_ms, links, ...) with gram hashes, known errors and keys of both normal forms."""
     # One exchange by id spreads the work and serves the joins on either side's id; the arrays are made once and kept.
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     docs = docs.repartition(n, "id")
-    keys = [(i, text.match_key(F.lit(t))) for i, t in known]
-    scorer_keys = [(i, text.scorer_text(F.lit(t))) for i, t in known]
+    keys = known_keys(docs.sparkSession, known)
     return (
         docs.withColumn("_key", text.match_key(F.col("text")))
         .withColumn("_scorer", text.scorer_text(F.col("text")))
-        .withColumn("fabricated", contained(F.col("_key"), keys))
-        .withColumn("errors", contained(F.col("_scorer"), scorer_keys))
+        .withColumn("fabricated", contained(F.col("_key"), keys, "match"))
+        .withColumn("errors", contained(F.col("_scorer"), keys, "scorer"))
         .withColumn("grams6", text.shingles(text.words(text.unquoted(F.col("text"))), 6))
         .withColumn("g6", hashed(F.col("grams6")))
         .withColumn("g3", hashed(text.shingles(text.words(F.col("text")), 3)))

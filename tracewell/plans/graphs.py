@@ -33,8 +33,8 @@ def c20_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c21_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 of the query set, fused with the documents that share a known error with the query."""
     docs, queries = _passages(spark, sf_dir)
-    keys = [(i, text.match_key(F.lit(t))) for i, t in known_errors(spark, sf_dir)]
-    cited = docs.select("id", scoring.contained(text.match_key(F.col("text")), keys).alias("citations"))
+    keys = scoring.known_keys(spark, known_errors(spark, sf_dir))
+    cited = docs.select("id", scoring.contained(text.match_key(F.col("text")), keys, "match").alias("citations"))
     shared = retrieval.shared_citations(cited).where("query % 20 = 0")
     return retrieval.fuse(retrieval.bm25(docs, F.col("text"), queries, 10), shared)
 
