@@ -276,6 +276,17 @@ def test_markup_and_differencing(spark):
     assert len(got) == 6 and all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+def test_differencing_passes_over_copies(spark):
+    template = "<div>Site name of some length</div><div>A long slogan that is on every page of this site</div>"
+    article = "<article><p>Own words of it</p><p><a href=x>The source of the story</a></p></article>"
+    rows = [(i, f"https://a.test/x/{i:02}", f"{template}<p>short</p>") for i in range(20)] + [(20, "https://a.test/x/20", f"{template}<p>other</p>")]
+    rows += [(i, f"https://b.test/{i}", article) for i in (30, 31)] + [(32, "https://b.test/32", "<article><p>Else</p></article>")]
+    rows += [(40, "https://c.test/1", "<p>only copies</p>"), (41, "https://c.test/2", "<p>only copies</p>")]
+    got = html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = {i: "short" for i in range(20)} | {20: "other", 30: "Own words of it\n\nThe source of the story", 32: "Else", 40: "only copies", 41: "only copies"}
+    assert len(got) == len(rows) and {r["page_id"]: r["text"] for r in got} == want | {31: want[30]}
+
+
 def test_common_lines_are_a_longest_subsequence():
     rng = random.Random(2)
     for _ in range(100):

@@ -1,19 +1,19 @@
 """Main text of web pages by differencing each page with the page of the nearest URL.
 
 Pages are dealt by ranges of (host, path, page_id) and read in that order; a page is paired with the one before or
-after it on the same host, whichever shares the longer path (the one before, if equal).  Pages at the ends of a task's range
-meet their neighbours in a second step, of two pages for each task.  Text lines (blocks) of a pair are aligned by longest common subsequence and shared
-lines are deleted.
+after it on the same host, whichever shares the longer path (the one before, if equal); pages with the very same lines are
+passed over, so copies never meet each other.  Runs of equal pages at the ends of a task's range meet their neighbours in a second
+step, of two summaries for each task.  Text lines (blocks) of a pair are aligned by longest common subsequence and shared lines are
+deleted.
 
 What the markup says outright comes first: scripts, styles, forms, menus, headers, footers, asides, and elements whose
 class, id or role names an advert, notice, menu, sidebar, share bar or comment list are no text.  Where an article or main
 element has text, only its lines are candidates, and there a shared line goes only if it mostly consists of links:
 articles on neighbouring pages quote the same passages and carry the same licence lines, which differencing alone
-would delete.  On pages without such an element every shared line goes, unless shared lines are over half of the text; then the
-pages are copies, and none goes.
+would delete.  On pages without such an element every shared line goes.
 
-Null html gives an empty text.  A null or odd URL counts as host and path ''.  Repeated rows are copies of each other and keep their
-lines.  A page without a neighbour keeps its lines.  Pages end anywhere: open elements end with the page.  An empty table gives no
+Null html gives an empty text.  A null or odd URL counts as host and path ''.  Repeated rows are copies of each other and meet the
+same neighbour.  A page without a neighbour of other text keeps its lines.  Pages end anywhere: open elements end with the page.  An empty table gives no
 rows.  Other columns are not read.
 """
 
@@ -207,8 +207,6 @@ def main_text(page: tuple[list[str], list[bool], bool], near: tuple[list[str], l
         shared = common(lines, near[0])
         if core:
             shared = {i for i in shared if linky[i]}
-        elif 2 * sum(len(lines[i]) for i in shared) > sum(map(len, lines)):
-            shared = set()
         lines = [x for i, x in enumerate(lines) if i not in shared]
     return "\n\n".join(lines)
 
@@ -230,58 +228,79 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get().partitionId()
-        before = now = None  # (host, path, page_id, url, candidates)
+        before = None  # (host, path, candidates) of the last page of the run before
+        held: _Run | None = None
         first = True
 
         for batch in batches:
             done = []
             for page, url, raw, host, path in zip(batch["page_id"], batch["url"], batch["html"], batch["host"], batch["path"], strict=True):
-                after = (host, path, None if pd.isna(page) else int(page), url, candidates(raw))
-                if now is not None:
-                    done.append(_edge(task, now, None, after) if first else _finish(before, now, after))
-                    first = False
-                before, now = now, after
+                found = candidates(raw)
+                if held is not None and held.host == host and held.found == found:
+                    held.pages.append((None if pd.isna(page) else int(page), url, path))
+                    continue
+                if held is not None:
+                    after = (host, path, found)
+                    done += held.open(task, 0, None, after) if first else [_finish(before, held.host, held.found, x, after) for x in held.pages]
+                    before, first = held.last(), False
+                held = _Run(host, found, [(None if pd.isna(page) else int(page), url, path)])
             yield _frame(done)
-        if now is not None:
-            yield _frame([_edge(task, now, None if first else before, None)])
+        if held is not None:
+            yield _frame(held.open(task, 0 if first else 1, before, None))
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before = None  # the last page of the task before, if this is the first of its own
-        held: tuple | None = None
+        ends = [list(pickle.loads(x)) for batch in batches for x in batch["edge"]]  # task, slot, first page, last page, before, after
+        same = lambda x, y: x[2][0] == y[2][0] and x[2][2] == y[2][2]
+        for x, y in zip(ends, ends[1:], strict=False):
+            if x[0] != y[0]:
+                y[4] = x[4] if same(x, y) else x[3]
+        for x, y in zip(ends[-2::-1], ends[:0:-1], strict=True):
+            if x[0] != y[0]:
+                x[5] = y[5] if same(x, y) else y[2]
+        yield pd.DataFrame([(t, k, pickle.dumps((p, before, after))) for t, k, p, _, before, after in ends], columns=["task", "slot", "near"])
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = at = None
         for batch in batches:
             done = []
-            for x in batch["edge"]:
-                task, page, inner_before, inner_after = pickle.loads(x)
-                if held is not None:
-                    # A page without a successor in its task has the next task's first page for one.
-                    done.append(_finish(held[1] or before_held, held[0], held[2] or page))
-                before_held, held = before, (page, inner_before, inner_after)
-                before = page
-            yield _frame(done)
-        if held is not None:
-            yield _frame([_finish(held[1] or before_held, held[0], held[2])])
+            for page, url, path, task, slot, near in zip(batch["page_id"], batch["url"], batch["path"], batch["task"], batch["slot"], batch["near"], strict=True):
+                if key != (task, slot):
+                    key, at = (task, slot), pickle.loads(near)
+                done.append(_finish(at[1], at[0][0], at[0][2], (None if pd.isna(page) else int(page), url, path), at[2]))
+            yield _frame(done)[["page_id", "url", "text", "n_chars"]]
 
-    # Made once: its rows at the ends of ranges, two of each task, meet their neighbours from other tasks.
-    made = dealt.mapInPandas(run, f"{_SCHEMA}, task int, edge binary").persist(StorageLevel.MEMORY_AND_DISK)
-    # Each task's first row sorts before its last one by where its inner neighbour is.
-    ends = made.where("edge IS NOT NULL").select("task", "n_chars", "edge").repartition(1).sortWithinPartitions("task", "n_chars")
-    return made.where("edge IS NULL").select("page_id", "url", "text", "n_chars").unionByName(ends.mapInPandas(meet, f"{_SCHEMA}, task int, edge binary").select("page_id", "url", "text", "n_chars"))
+    # Made once: runs at the ends of ranges, two summaries of each task, meet their neighbours from other tasks.
+    made = dealt.mapInPandas(run, f"{_SCHEMA}, path string, task int, slot int, edge binary").persist(StorageLevel.MEMORY_AND_DISK)
+    ends = made.where("edge IS NOT NULL").select("task", "slot", "edge").repartition(1).sortWithinPartitions("task", "slot")
+    met = ends.mapInPandas(meet, "task int, slot int, near binary")
+    opened = made.where("slot IS NOT NULL AND edge IS NULL").select("page_id", "url", "path", "task", "slot").join(F.broadcast(met), ["task", "slot"])
+    return made.where("slot IS NULL").select("page_id", "url", "text", "n_chars").unionByName(opened.select("page_id", "url", "path", "task", "slot", "near").mapInPandas(finish, _SCHEMA))
 
 
 _SCHEMA = "page_id long, url string, text string, n_chars long"
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["page_id", "url", "text", "n_chars", "task", "edge"]).astype({"page_id": "Int64"})
+class _Run:
+    """Pages in a row, of one host, with the same candidates; pages are (page_id, url, path)."""
+
+    def __init__(self, host: str, found: tuple, pages: list[tuple]):
+        self.host, self.found, self.pages = host, found, pages
+
+    def last(self) -> tuple:
+        return self.host, self.pages[-1][2], self.found
 
+    def open(self, task: int, slot: int, before: tuple | None, after: tuple | None) -> list[tuple]:
+        """The rows of a run that may lack a neighbour of another task, and its summary."""
+        edge = pickle.dumps((task, slot, (self.host, self.pages[0][2], self.found), self.last(), before, after))
+        return [(page, url, "", 0, path, task, slot, None) for page, url, path in self.pages] + [(None, None, "", 0, None, task, slot, edge)]
 
-def _finish(before: tuple | None, page: tuple, after: tuple | None) -> tuple:
-    near = [x for x in (before, after) if x is not None and x[0] == page[0]]
-    best = max(near, key=lambda x: len(os.path.commonprefix([x[1], page[1]])), default=None)
-    text = main_text(page[4], best and best[4])
-    return page[2], page[3], text, len(text), 0, None
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["page_id", "url", "text", "n_chars", "path", "task", "slot", "edge"]).astype({"page_id": "Int64", "task": "Int32", "slot": "Int32"})
 
 
-def _edge(task: int, page: tuple, before: tuple | None, after: tuple | None) -> tuple:
-    """A page that still lacks a neighbour of another task; n_chars tells a task's first (0) from its last (1) page."""
-    return None, None, "", int(before is not None), task, pickle.dumps((task, page, before, after))
+def _finish(before: tuple | None, host: str, found: tuple, page: tuple, after: tuple | None) -> tuple:
+    near = [x for x in (before, after) if x is not None and x[0] == host]
+    best = max(near, key=lambda x: len(os.path.commonprefix([x[1], page[2]])), default=None)
+    text = main_text(found, best and best[2])
+    return page[0], page[1], text, len(text), None, None, None, None
