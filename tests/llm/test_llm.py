@@ -260,6 +260,14 @@ def test_reordered_passages_are_found(spark, none):
 # HTML
 
 
+def test_words_of_any_script():
+    items = ["机器学习是人工智能的一个重要分支", "He said it “was” so—then left the room", "เครื่องจักรเรียนรู้", "été à Zürich हिन्दी"]
+    docs = ["前言。我们知道机器学习是人工智能的一个重要分支，所以学习它。", "x He said it was so then left the room y", "ก่อนเครื่องจักรเรียนรู้หลัง", "l\u2019été\u00a0à Zürich\u2026हिन्दी!", "与此无关的一段文字"]
+    got = {(d, k): cover for d, k, cover, *_ in decontaminate.Items(list(range(4)), items).leaks(docs, 0.5)}
+    assert got == {(i, i): 1.0 for i in range(4)}
+    assert decontaminate.spaced("a\u2014b 中文") == "a b  中  文 "
+
+
 def test_markup_and_differencing(spark):
     head = "<!doctype html><title>x</title><script>var a='</p>';</script><div>Site name</div><nav><a href=1>menu</a></nav>"
     rows = [

@@ -1,6 +1,6 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are lower-cased runs of letters and digits.  Seeds are windows of ``MIN_MATCH`` words (whole items, if shorter); a
+Words are lower-cased runs of letters, digits and marks of any script; in scripts written without spaces each character is a word.  Seeds are windows of ``MIN_MATCH`` words (whole items, if shorter); a
 document is tiled against the items with which it shares a seed.  Tiling looks up Karp-Rabin hashes of all windows of
 the item among those of the document, joins hits that follow one another to maximal matches, and repeatedly marks the
 longest one whose words are unmarked on both sides, cutting matches that earlier tiles have eaten into, until
@@ -18,6 +18,8 @@ gives no rows.  Other columns are not read.
 from __future__ import annotations
 
 import heapq
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +31,31 @@ from tracewell.llm._spark import batch_rows, filter_rows
 
 MIN_MATCH = 4
 _WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
+# Han, kana, bopomofo, Yi, Thai, Lao, Myanmar, Khmer, Tai: written without spaces.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u1950-\u19ff\u1a20-\u1aaf\u2e80-\u2fdf\u3005-\u3007\u3021-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua000-\ua4cf\ua9e0-\ua9ff\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff]")
+_BEYOND_ASCII = re.compile(r"[^\x00-\x7f]+")
 SCHEMA = "doc_id long, item_id long, coverage double, n_tiles int, longest_tile int, item_words int"
 
 
+class _Spaced(dict):
+    """Code point -> itself if it belongs to a word, set apart in scripts without spaces, else a space."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        inside = unicodedata.category(c)[0] in "LNM"
+        self[code] = f" {c} " if inside and _UNSPACED.match(c) else c if inside else " "
+        return self[code]
+
+
+_SPACED = _Spaced()
+
+
+def spaced(t: str | None) -> str | None:
+    """The lower-cased text with its words set apart as far as ASCII separators don't do so."""
+    t = t and t.lower()
+    return t if not t or t.isascii() else _BEYOND_ASCII.sub(lambda m: m[0].translate(_SPACED), t)
+
+
 def tiles(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """The greedy tiling of two sequences of word hashes: (place in item, place in document, words), longest first."""
     a, b = _text.windows(item, least), _text.windows(doc, least)
@@ -73,7 +97,7 @@ class Items:
     """Word hashes of benchmark items, and the seeds that lead to them."""
 
     def __init__(self, ids: list[int | None], texts: list[str | None]):
-        h, first = _text.words([t and t.lower() for t in texts], _WORD)
+        h, first = _text.words([spaced(t) for t in texts], _WORD)
         self.ids = ids
         self.words = [h[first[k] : first[k + 1]] for k in range(len(ids))]
         self.seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -94,7 +118,7 @@ class Items:
 
     def leaks(self, texts: list[str | None], threshold: float) -> list[tuple[int, int, float, int, int, int]]:
         """(text, item, coverage, tiles, longest tile, words of the item) of coverage at least the threshold."""
-        h, first = _text.words([t and t.lower() for t in texts], _WORD)
+        h, first = _text.words([spaced(t) for t in texts], _WORD)
         pairs: set[tuple[int, int]] = set()
         for n, (seeds, items) in self.seeds.items():
             w = _text.windows(h, n)
