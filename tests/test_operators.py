@@ -188,3 +188,14 @@ def test_known_errors_of_any_number(spark):
     assert len(blocks) > 1 and len(keys) == 1503
     for body in ("claim 7 holds and claim 1499 holds", "ünï - test"):
         assert sorted(i for b in blocks for i in walks.Keys(b).within(body)) == sorted(i for k, i in keys if k in body)
+
+
+def test_query_is_passage_and_citations(spark):
+    """The first paragraph, even after empty lines; with citations, the paragraph that has most, and their names."""
+    from tracewell.plans import graphs
+
+    docs = spark.createDataFrame([(20, "\n\nplain start\nlater"), (40, "plain start\nhere Abel v Cain\nhere Abel v Cain and Roe v Doe"), (60, "")], "id long, text string")
+    known = spark.createDataFrame([(1, "Abel v Cain"), (2, "Roe v Doe"), (3, "Not cited")], "id long, text string")
+    cited = docs.select("id", scoring.contained(text.match_key(F.col("text")), scoring.known_keys(spark, known), "match").alias("citations"))
+    got = {r["query"]: r["words"] for r in graphs.cited_queries(docs, cited, known).collect()}
+    assert got == {20: ["plain", "start"], 40: "here abel v cain and roe v doe abel v cain roe v doe".split(), 60: []}

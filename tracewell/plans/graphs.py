@@ -16,9 +16,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _passages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The corpus, and the stated query set: the first line of every document whose id is divisible by 20."""
+    """The corpus, and the stated query set: the passage (T40, without citations) of every document whose id is divisible by 20."""
     docs = corpus(spark, sf_dir).select("id", "text")
-    return docs, docs.where("id % 20 = 0").select(F.col("id").alias("query"), text.words(F.regexp_extract("text", r"^[^\n]*", 0)).alias("words"))
+    none = F.array().cast("array<string>")
+    return docs, docs.where("id % 20 = 0").select(F.col("id").alias("query"), text.words(text.choose_passage(F.col("text"), none, none)).alias("words"))
+
+
+def cited_queries(docs: DataFrame, cited: DataFrame, known: DataFrame) -> DataFrame:
+    """The reference's queryText for docs(id, text): the passage with most citations, and the citations, as query, words."""
+    names = cited.select("id", F.explode("citations").alias("c")).join(known.select(F.col("id").alias("c"), F.col("text").alias("name")), "c").groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    rows = docs.join(names, "id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    passage = text.choose_passage(F.col("text"), F.col("names"), F.array().cast("array<string>"))
+    return rows.select(F.col("id").alias("query"), text.words(F.concat_ws(" ", passage, "names")).alias("words"))
 
 
 def a04_mirrors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,12 +40,13 @@ def c20_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c21_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25 of the query set, fused with the documents that share a known error with the query."""
-    docs, queries = _passages(spark, sf_dir)
-    keys = scoring.known_keys(spark, known_errors(spark, sf_dir))
-    cited = docs.select("id", scoring.contained(text.match_key(F.col("text")), keys, "match").alias("citations"))
+    """BM25 of passages and citations, fused with the documents that share a known error with the query."""
+    docs = corpus(spark, sf_dir).select("id", "text")
+    known = known_errors(spark, sf_dir)
+    cited = docs.select("id", scoring.contained(text.match_key(F.col("text")), scoring.known_keys(spark, known), "match").alias("citations"))
+    asked = "id % 20 = 0"
     shared = retrieval.shared_citations(cited).where("query % 20 = 0")
-    return retrieval.fuse(retrieval.bm25(docs, F.col("text"), queries, 10), shared)
+    return retrieval.fuse(retrieval.bm25(docs, F.col("text"), cited_queries(docs.where(asked), cited.where(asked), known), 10), shared)
 
 
 def c22_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
