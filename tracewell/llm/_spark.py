@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,21 +21,80 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one of its own only where none is set (tests)."""
+    """The folder of spark.checkpoint.dir.  Where none is set, a temporary one in local mode (tests); on a cluster, an error:
+    executors would not see a folder of the driver's."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="tracewell-")
+        if current.isDefined():
+            path = current.get()
+        elif spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
+            path = tempfile.mkdtemp(prefix="tracewell-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", path)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(path)
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the shared folder, which outlives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Tables written to the shared folder.  They cut the lineage, outlive lost executors, and are deleted as soon as they
+    have been used, and so are the shuffle files that made them."""
+
+    _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.made = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.paths: dict[int, str] = {}
+
+    def keep(self, df: DataFrame, *done: DataFrame) -> DataFrame:
+        """The same rows, read from a table; the tables of done are deleted."""
+        path = f"{self.folder}/{self.made}"
+        self.made += 1
+        before = self.spark.conf.get(self._CLEAN)
+        self.spark.conf.set(self._CLEAN, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(self._CLEAN, before)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        out._scratch = self  # keeps id(out) from being used anew while the table is
+        self.drop(*done)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for x in tables:
+            path = self.paths.pop(id(x), None)
+            if path:
+                remove(self.spark, path)
+
+    def keep_only(self, table: DataFrame) -> None:
+        """Deletes all other tables."""
+        for key in [k for k in self.paths if k != id(table)]:
+            remove(self.spark, self.paths.pop(key))
+
+
+def _frame(batch: pa.RecordBatch) -> pd.DataFrame:
+    """Integers with nulls stay integers: as doubles, those over 2**53 would change."""
+    whole = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}
+    return pd.DataFrame({n: c.to_pandas(types_mapper=whole.get) if c.null_count and c.type in whole else c.to_pandas() for n, c in zip(batch.schema.names, batch.columns, strict=True)})
+
+
+def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """mapInPandas with exact integers, nulls or not."""
+    target = to_arrow_schema(DataType.fromDDL(schema))
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(_frame(b) for b in batches):
+            if len(out):
+                yield pa.RecordBatch.from_pandas(out, schema=target, preserve_index=False)
+
+    return df.mapInArrow(convert, schema)
 
 
 def partitions(spark: SparkSession) -> int:
