@@ -1,9 +1,10 @@
 """Encoding of whole texts with a tokenizers file, one library call per distinct piece of text.
 
-For tokenizers that split at white space and drop it, and whose normaliser acts within words, the ids of a text are
+For tokenizers that lower-case, split at white space and drop it (see ``splits``), the ids of a text are
 those of its white-space-separated chunks, one after another; a chunk of ASCII and Latin-1 letters, digits and signs further
 splits where their kind changes.  Each worker keeps the ids of pieces that it has met, so a piece is encoded once.  Chunks with
-anything else (apostrophes, other scripts, marks, special tokens, control characters) are encoded whole.
+anything else (apostrophes, other scripts, marks, special tokens, control characters) are encoded whole.  With any other tokenizer file
+whole texts go to the library.
 """
 
 from __future__ import annotations
@@ -23,18 +24,62 @@ for _b in range(33, 127):
 _CLASS[ord("'")] = 4
 _CLASS[_text.WHITE] = 0
 _ODD = np.uint64(0x5851F42D4C957F2D)
-_STORES: dict[tuple[str, bool], PieceEncoder] = {}
+_STORES: dict = {}
 
 
-def encoder(path: str, offsets: bool) -> PieceEncoder:
+#: How a tokenizer must split for its pieces to be encoded apart.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits(rules: dict) -> bool:
+    """Does a tokenizer file lower-case, squeeze white space, split as above and mark word ends?"""
+    steps = lambda x, many: (x or {}).get(many, [x] if x else [])
+    norms = [n["type"] for n in steps(rules.get("normalizer"), "normalizers")]
+    blanks = [(n["pattern"].get("Regex"), n["content"]) for n in steps(rules.get("normalizer"), "normalizers") if n["type"] == "Replace"]
+    pre = steps(rules.get("pre_tokenizer"), "pretokenizers")
+    return (
+        "Lowercase" in norms
+        and set(norms) <= {"NFC", "Replace", "Lowercase"}
+        and all(x == (r"\s+", " ") for x in blanks)
+        and [p["type"] for p in pre] == ["Split", "ByteLevel"]
+        and pre[0]["pattern"].get("Regex") == _SPLIT
+        and pre[0]["behavior"] == "Removed"
+        and bool(pre[0]["invert"])
+        and not pre[1]["add_prefix_space"]
+        and bool(rules["model"].get("end_of_word_suffix"))
+    )
+
+
+def encoder(path: str, offsets: bool) -> PieceEncoder | WholeEncoder:
     """This worker's encoder."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     key = (path, offsets)
     if key not in _STORES:
-        _STORES[key] = PieceEncoder(path, offsets)
+        with open(path, encoding="utf-8") as f:
+            kind = PieceEncoder if splits(json.load(f)) else WholeEncoder
+        _STORES[key] = kind(path, offsets)
     return _STORES[key]
 
 
+class WholeEncoder:
+    """Every text as a whole, by the library."""
+
+    def __init__(self, path: str, offsets: bool = False):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.offsets = Tokenizer.from_file(path), offsets
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
+        clean = [(t or "").encode("utf-8", "replace").decode() for t in texts]
+        found = (self.tokenizer.encode_batch if self.offsets else self.tokenizer.encode_batch_fast)(clean, add_special_tokens=False)
+        ids = np.array([i for x in found for i in x.ids], np.int32)
+        n = np.array([len(x.ids) for x in found], np.int64)
+        if not self.offsets:
+            return ids, n, None, None
+        spans = np.array([o for x in found for o in x.offsets], np.int32).reshape(-1, 2)
+        return ids, n, spans[:, 0], spans[:, 1]
+
+
 class PieceEncoder:
     def __init__(self, path: str, offsets: bool = False):
         from tokenizers import Tokenizer

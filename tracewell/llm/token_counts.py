@@ -14,7 +14,7 @@ section by section would not give.
 
 Sections are the lines of a text, those over ``width`` characters cut every ``width``.  A null or empty text has one section
 of no characters and no tokens.  Every row is counted by itself: repeated rows give repeated sections, null ids are carried along.
-An empty table gives no rows.  Other columns are not read.
+An empty table gives no rows.  Very long texts are encoded whole.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from tracewell.llm import _text, _tokens
-from tracewell.llm._spark import batch_rows
+from tracewell.llm._spark import batch_rows, map_frames
 
 SCHEMA = "doc_id long, section int, start_char int, end_char int, n_tokens int, n_crossing int"
 
@@ -90,7 +90,7 @@ def count(docs: DataFrame, tokenizer: str, rule: str = "majority", width: int =
                 to, beyond = allocate(lo + np.repeat(base, n), hi + np.repeat(base, n), flat[:, 0] + shift, flat[:, 1] + shift, rule)
                 yield pd.DataFrame(
                     {
-                        "doc_id": part["doc_id"].to_numpy()[np.repeat(np.arange(len(texts)), sizes)],
+                        "doc_id": part["doc_id"].array[np.repeat(np.arange(len(texts)), sizes)],
                         "section": _text.flat_ranges(np.zeros(len(sizes), np.int64), sizes),
                         "start_char": flat[:, 0],
                         "end_char": flat[:, 1],
@@ -99,4 +99,4 @@ def count(docs: DataFrame, tokenizer: str, rule: str = "majority", width: int =
                     }
                 )
 
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+    return map_frames(docs.select("doc_id", "text"), run, SCHEMA)
