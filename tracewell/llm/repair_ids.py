@@ -1,16 +1,17 @@
 """Token-id files compressed by Re-Pair, and their random-access reader.
 
 Documents are dealt by ranges of doc_id; each task encodes its documents in order and closes a shard whenever it
-holds ``shard_ids`` ids.  In a shard, Re-Pair counts adjacent pairs, replaces the frequent ones by nonterminals (many per
-round, leftmost first where they overlap) and repeats, until a round finds none or ``ROUNDS`` are over.
+holds ``shard_ids`` ids.  In a shard, Re-Pair counts adjacent pairs exactly, replaces those that occur ``LEAST`` times and more by
+nonterminals (all in one round, leftmost first where they overlap) and repeats, until no pair occurs that often.  Rarer pairs would
+cost more as rules than they save.
 
 File format: Parquet, one row per shard: task and number (in the order of doc_id), the documents' ids and first places
-as int64, rules as pairs of uint32 (nonterminal k is 2**17 + k), each rule's expansion length as uint32, the sequence as
+as int64 (of null ids, which come first, only the number), rules as pairs of uint32 (nonterminal k is 2**17 + k), each rule's expansion length as uint32, the sequence as
 uint32 and the place of every 256th symbol as int64, each little-endian, by byte planes (all first bytes, all second, ...) and zlib-compressed.  decode() expands any range of ids by looking up
 where it begins.
 
 Every document ends with id 2.  A null text has that id only.  Rows of one doc_id stand next to each other, in the order
-of their texts; null doc_ids come first.  An empty table writes no shard.  Other columns are not read.
+of their texts; null doc_ids come first and stay null.  Very long texts are encoded whole; a shard then holds more ids.  An empty table writes no shard.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,27 +27,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm import _tokens
-from tracewell.llm._spark import batch_rows, partitions, shared_dir
+from tracewell.llm._spark import batch_rows, map_frames, partitions, shared_dir
 
-END, FIRST_RULE, ROUNDS, LEAST, EVERY = 2, 1 << 17, 5, 5, 256
-BINS = 1 << 18
-SHARD_SCHEMA = "task int, shard int, n_docs long, n_ids long, docs binary, starts binary, rules binary, lengths binary, sequence binary, places binary"
+END, FIRST_RULE, LEAST, EVERY = 2, 1 << 17, 5, 256
+BINS_LOG2 = 20
+SHARD_SCHEMA = "task int, shard int, n_docs long, n_null long, n_ids long, docs binary, starts binary, rules binary, lengths binary, sequence binary, places binary"
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST, per_round: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """The sequence and the rules (pairs of symbols) that expand to ids."""
     seq, rules = ids.astype(np.uint32), np.zeros((0, 2), np.uint32)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         a, b = seq[:-1], seq[1:]
-        key = (a * np.uint32(2654435769) ^ (b * np.uint32(2246822519)) >> np.uint32(7)) >> np.uint32(14)
-        total = np.bincount(key, minlength=BINS)
-        top = np.argpartition(total, -per_round)[-per_round:]
-        top = top[total[top] >= least]
-        flag = np.zeros(BINS, bool)
-        flag[top] = True
-        at = np.flatnonzero(flag[key])
+        # Pairs that occur often enough are in full bins; what else is there is left out by the exact counts.
+        key = (a * np.uint32(2654435769) ^ (b * np.uint32(2246822519)) >> np.uint32(7)) >> np.uint32(32 - BINS_LOG2)
+        total = np.bincount(key, minlength=1 << BINS_LOG2)
+        at = np.flatnonzero((total >= least)[key])
         pair = (a[at].astype(np.uint64) << np.uint64(32)) | b[at]
         code, distinct = pd.factorize(pair)
         n = np.bincount(code, minlength=len(distinct))
@@ -143,16 +139,16 @@ def write(docs: DataFrame, path: str, tokenizer: str, shard_ids: int = 1_000_000
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, task, made = _tokens.encoder(tokenizer, False), TaskContext.get().partitionId(), 0
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def flush() -> pd.DataFrame:
-            ids, docs_, counts = (np.concatenate([x[k] for x in held]) for k in range(3))
+            ids, docs_, nulls, counts = (np.concatenate([x[k] for x in held]) for k in range(4))
             held.clear()
             seq, rules = compress(ids)
             lengths = rule_lengths(rules)
             row = {
-                "task": task, "shard": made, "n_docs": len(docs_), "n_ids": len(ids), "docs": _pack(docs_, "<i8"), "starts": _pack(np.cumsum(counts) - counts, "<i8"),
+                "task": task, "shard": made, "n_docs": len(docs_), "n_null": int(nulls.sum()), "n_ids": len(ids), "docs": _pack(docs_, "<i8"), "starts": _pack(np.cumsum(counts) - counts, "<i8"),
                 "rules": _pack(rules, "<u4"), "lengths": _pack(lengths, "<u4"), "sequence": _pack(seq, "<u4"), "places": _pack(symbol_places(seq, lengths), "<i8"),
             }
             return pd.DataFrame([row])
@@ -163,7 +159,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, shard_ids: int = 1_000_000
                 ids, n, _, _ = enc.encode(part["text"].tolist())
                 out = np.full(len(ids) + len(n), END, np.int32)
                 out[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
-                held.append((out, part["doc_id"].fillna(-1).to_numpy(np.int64), n + 1))
+                held.append((out, part["doc_id"].fillna(0).to_numpy(np.int64), part["doc_id"].isna().to_numpy(), n + 1))
                 size += len(out)
                 if size >= shard_ids:
                     yield flush()
@@ -172,7 +168,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, shard_ids: int = 1_000_000
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    rows.mapInPandas(run, SHARD_SCHEMA).write.parquet(path)
+    map_frames(rows, run, SHARD_SCHEMA).write.parquet(path)
 
 
 def read(files: DataFrame) -> DataFrame:
@@ -196,10 +192,11 @@ def read(files: DataFrame) -> DataFrame:
                     for k in range(a, b):
                         crc[k] = zlib.crc32(ids[4 * (starts[k] - starts[a]) : 4 * (stops[k] - starts[a])])
                     a = b
-                yield pd.DataFrame({"doc_id": docs, "start": starts + x.base, "n_tokens": stops - starts, "ids_crc32": crc})
+                yield pd.DataFrame({"doc_id": pd.arrays.IntegerArray(docs.astype(np.int64), np.arange(len(docs)) < x.n_null), "start": starts + x.base, "n_tokens": stops - starts, "ids_crc32": crc})
 
     batch_rows(files.sparkSession, 2)
-    return files.join(bases, ["task", "shard"]).select("rules", "lengths", "sequence", "places", "n_ids", "docs", "starts", "base").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = files.join(bases, ["task", "shard"]).select("rules", "lengths", "sequence", "places", "n_ids", "n_null", "docs", "starts", "base")
+    return map_frames(rows, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
