@@ -10,11 +10,12 @@ the n-grams that make up at least ``LEAST_SHARE`` of its own training n-grams, a
 any other language.
 
 The filters are fitted on a bounded sample: about ``train_bytes`` bytes of whole texts in all, the same for each
-language, chosen by a hash of doc_id; texts over 1 MB are not learned from.  Everything is scored.
+language, chosen by a 62-bit hash of doc_id, so a language of any size has its share; texts over ``most_bytes`` are not learned from.
+Everything is scored, texts of any length.
 
 Null texts and texts without a letter are `und` with score 0.  A text with letters but no known n-gram gets the most
 frequent language with score 0.  With no language to learn, all are `und`.  Rows are scored one by one: repeated rows, null
-ids and an empty table need no rule of their own.  Other columns are not read.
+ids and an empty table need no rule of their own.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import _text
-from tracewell.llm._spark import batch_rows, crc_mod
+from tracewell.llm._spark import batch_rows, crc_mod, map_frames
 
 GRAM, SLOTS_LOG2, HASHES = 4, 20, 2
 LEAST_SHARE, LEAST_RATIO = 4e-6, 0.05
@@ -117,15 +118,20 @@ class Filters:
         return [("und" if not k else self.languages[b] if t > 0 else self.prior) for k, b, t in zip(known, best, top, strict=True)], score
 
 
-def learn(docs: DataFrame, train_bytes: int = 16_000_000) -> Filters:
+def shares(sizes: dict[str, int], train_bytes: int) -> dict[str, int]:
+    """Below which 62-bit hash a language's documents are learned from, so that each gives about as many bytes."""
+    each = train_bytes / max(1, len(sizes))
+    return {lang: int(2.0**62 * min(1.0, each / max(1, size))) for lang, size in sizes.items()}
+
+
+def learn(docs: DataFrame, train_bytes: int = 16_000_000, most_bytes: int = 1_000_000) -> Filters:
     """Fits the filters on documents whose crc32 remainder is not 2."""
-    taught = docs.where((crc_mod("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= 1_000_000))
+    taught = docs.where((crc_mod("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes))
     totals = {r["lang"]: (r["n"], r["size"]) for r in taught.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()}
     if not totals:
         return Filters({}, "und")
-    each = train_bytes / len(totals)
-    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(9)), F.lit(1_000_000))
-    share = F.create_map([F.lit(x) for lang, (_, size) in totals.items() for x in (lang, int(1e6 * min(1.0, each / max(1, size))))])
+    drawn = F.expr("shiftrightunsigned(xxhash64(cast(doc_id AS string), 9), 2)")
+    share = F.create_map([F.lit(x).cast(t) for lang, n in shares({k: size for k, (_, size) in totals.items()}, train_bytes).items() for x, t in ((lang, "string"), (n, "long"))])
     counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     gathered: dict[str, list[str]] = {lang: [] for lang in totals}
     for row in taught.where(drawn < share[F.col("lang")]).select("lang", "text").toLocalIterator():
@@ -148,4 +154,4 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
                 yield pd.DataFrame({"doc_id": part["doc_id"], "held_out": part["held_out"], "lang_pred": lang, "score": score})
 
     rows = docs.select("doc_id", "text", (crc_mod("doc_id", 4) == 2).alias("held_out"))
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_frames(rows, run, "doc_id long, held_out boolean, lang_pred string, score double")
