@@ -7,11 +7,12 @@ combines these, and the chunks' own probabilities, into one probability.
 
 Filters are learned with Adam on chunks, gradients reaching only the place that won the pooling; the final layer
 by weighted ridge-logistic regression on whole documents.  Both learn from a bounded sample: about ``per_class``
-labelled documents of either class, chosen by a hash of doc_id, none over 256 kB; the sample's classes are weighted back to their
-shares among all labels.  Every whole text is scored.
+labelled documents of either class, chosen by a hash of doc_id, none over ``most_bytes`` and together at most ``train_bytes``; the sample's
+classes are weighted back to their shares among all labels.  Every whole text is scored, of any length.
 
-Null and empty texts are one chunk of padding.  Repeated rows and null ids are scored like any row.  Without labels of both classes
-the score is the share of label 1 (0.5 without any).  An empty table gives no rows.  Other columns are not read.
+Null and empty texts are one chunk of padding.  Repeated rows and null ids are scored like any row; of repeated labelled ids the
+least text is learned from.  Without labels of both classes
+the score is the share of label 1 (0.5 without any).  An empty table gives no rows.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm._spark import batch_rows, crc_mod
+from tracewell.llm._spark import batch_rows, crc_mod, map_frames
 
 WIDTH, FILTERS, HALF = 5, 16, 128
 SLICE = 1024  # half-chunks whose activations are held at once
@@ -165,7 +166,7 @@ def fit(texts: list[str], quality: np.ndarray, share: float, epochs: int = 8, ch
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Model | Constant:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most_bytes: int = 256_000, train_bytes: int = 64_000_000) -> Model | Constant:
     """Learns from labelled documents whose crc32 remainder is not 0."""
     known = labels.where((crc_mod("doc_id", 5) != 0) & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     n = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -176,11 +177,19 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Model |
     limit = F.when(F.col("quality") == 1, int(1e9 * min(1, per_class / n[1]))).otherwise(int(1e9 * min(1, per_class / n[0])))
     # About 2 * per_class rows at any input size, so the side that is broadcast is bounded.
     chosen = known.where(drawn < limit).orderBy(drawn).limit(3 * per_class)
-    rows = (
-        docs.where((crc_mod("doc_id", 5) != 0) & (F.octet_length("text") <= 256_000))
-        .select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
-    )
-    got = sorted(((r["doc_id"], r["text"], r["quality"]) for r in rows.toLocalIterator()))
+    taught = docs.where((crc_mod("doc_id", 5) != 0) & (F.octet_length("text") <= most_bytes)).select("doc_id", "text")
+    sizes = taught.select("doc_id", F.octet_length("text").alias("size")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.max("size").alias("size"), F.max(drawn).alias("drawn"))
+    # 3 * per_class narrow rows at most; each class may fill half of the bytes.
+    kept, filled = [], {0: 0, 1: 0}
+    for r in sorted(sizes.collect(), key=lambda r: r["drawn"]):
+        if filled[r["quality"]] + r["size"] <= train_bytes // 2:
+            filled[r["quality"]] += r["size"]
+            kept.append((r["doc_id"], r["quality"]))
+    ids = docs.sparkSession.createDataFrame(kept, "doc_id long, quality int")
+    rows = taught.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    got = sorted((r["doc_id"], r["text"], r["quality"]) for r in rows.toLocalIterator())
+    if len({r[2] for r in got}) < 2:
+        return Constant(n[1] / total)
     return fit([r[1] for r in got], np.array([r[2] for r in got]), n[1] / total)
 
 
@@ -196,4 +205,4 @@ def score(docs: DataFrame, model: Model | Constant, threshold: float = 0.3) -> D
                 yield pd.DataFrame({"doc_id": part["doc_id"], "held_out": part["held_out"], "score": p, "predicted": (p >= threshold).astype(int)})
 
     rows = docs.select("doc_id", "text", (crc_mod("doc_id", 5) == 0).alias("held_out"))
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    return map_frames(rows, run, "doc_id long, held_out boolean, score double, predicted int")
