@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tracewell.llm import decontaminate, fingerprints, html_main, langid, neardup, packing, quality, repair_ids, sharding, token_counts
-from tracewell.llm._spark import ship, table
+from tracewell.llm._spark import ship, table, tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,12 +37,6 @@ def op2_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
-def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 @query
 def op3_offset_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(table(spark, sf_dir, "documents"), tokenizer_file())
@@ -66,9 +60,9 @@ def op6_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packs all documents by their bytes and an end mark."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("length"))
-    return packing.pack(docs, "length")
+    """Packs the token ids of all documents; the ids of each piece as their crc32."""
+    packed = packing.pack_tokens(table(spark, sf_dir, "documents"), tokenizer_file())
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 @query
