@@ -1,45 +1,47 @@
 """Main text of web pages by differencing each page with the page of the nearest URL.
 
 Pages are dealt by ranges of (host, path, page_id) and read in that order; a page is paired with the one before or
-after it on the same host, whichever shares the longer path (the one before, if equal); pages with the very same lines are
+after it on the same host, whichever shares the longer path (the one before, if equal); pages with the very same text are
 passed over, so copies never meet each other.  Runs of equal pages at the ends of a task's range meet their neighbours in a second
-step, of two summaries for each task.  Text lines (blocks) of a pair are aligned by longest common subsequence and shared lines are
-deleted.
+step: one narrow row for each end says which run lies next, and joins fetch its lines.
 
-What the markup says outright comes first: scripts, styles, forms, menus, headers, footers, asides, and elements whose
-class, id or role names an advert, notice, menu, sidebar, share bar or comment list are no text.  Where an article or main
-element has text, only its lines are candidates, and there a shared line goes only if it mostly consists of links:
-articles on neighbouring pages quote the same passages and carry the same licence lines, which differencing alone
-would delete.  On pages without such an element every shared line goes.
+All text lines (blocks) of a pair, those of menus, headers and footers too, are aligned by longest common subsequence (Hirschberg's, on bit
+vectors: memory linear in the lines, repeated or not), and shared lines are deleted.  In an article or main element, articles
+on neighbouring pages quote the same passages and carry the same licence lines; there a shared line is deleted only if it mostly consists of
+links or if its element is one that is named after boilerplate.
+
+What differencing can't see comes last: lines that no neighbour shares but whose markup says that they are no text (forms, asides,
+elements whose class, id or role names an advert, notice, menu, share bar or comment list: reader comments differ from page to page), and lines
+outside the article of pages that have one.  Scripts, styles and other elements that are never shown are not read at all.
 
 Null html gives an empty text.  A null or odd URL counts as host and path ''.  Repeated rows are copies of each other and meet the
-same neighbour.  A page without a neighbour of other text keeps its lines.  Pages end anywhere: open elements end with the page.  An empty table gives no
-rows.  Other columns are not read.
+same neighbour.  A page without a neighbour of other text keeps its unruled lines.  Pages end anywhere: open elements end with the page.  Very long
+pages and pages of very many equal lines are read whole.  An empty table gives no rows.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import os
 import pickle
 import re
-from bisect import bisect_left
-from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import StorageLevel, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm._spark import batch_rows, partitions
+from tracewell.llm._spark import Scratch, batch_rows, map_frames, partitions
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
 _MARK = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _RAW = {n: re.compile(rf"</{n}\b", re.I) for n in ("script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_DROP = frozenset("head nav header footer aside form noscript template svg canvas object button select datalist dialog menu audio video".split())
+_HIDDEN = frozenset("head noscript template svg canvas object select datalist audio video".split())  # never shown as text
+_DROP = _HIDDEN | frozenset("nav header footer aside form button dialog menu".split())
 _BLOCK = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html legend li main ol p pre section summary table tbody tfoot thead tr ul".split())
 _ENDS_P = _BLOCK - {"body", "html", "caption", "legend", "summary", "tbody", "tfoot", "thead", "tr"}
 _NOISE = frozenset(
@@ -64,15 +66,13 @@ def _noise(name: str, attrs: str) -> bool:
     return False
 
 
-def blocks(page: str | None) -> list[tuple[str, bool]]:
-    """The candidate lines of a page in order, each with whether it mostly consists of links; second of all: see core()."""
-    return [(t, linky) for t, linky, _ in _parse(page or "")]
+Line = tuple[str, bool, bool, bool]
 
 
-def _parse(page: str) -> list[tuple[str, bool, bool]]:
-    """(line, mostly links, in an article) for each block of text that the markup doesn't rule out."""
-    out: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, int, bool]] = []  # name, 0 text / 1 ruled out by class / 2 by tag, in an article
+def _parse(page: str) -> list[Line]:
+    """(line, mostly links, in an article, ruled out by markup) for each block of text that is shown."""
+    out: list[Line] = []
+    stack: list[tuple[str, int, bool]] = []  # name, 0 text / 1 ruled out by class / 2 by tag / 3 not shown, in an article
     parts: list[str] = []
     linked = [0]
     links = 0
@@ -82,12 +82,12 @@ def _parse(page: str) -> list[tuple[str, bool, bool]]:
             text = " ".join("".join(parts).split())
             if text:
                 core = stack[-1][2] if stack else False
-                out.append((text, 2 * linked[0] > len(text), core))
+                out.append((text, 2 * linked[0] > len(text), core, bool(stack and stack[-1][1])))
             parts.clear()
         linked[0] = 0
 
     def text(raw: str) -> None:
-        if raw and not (stack and stack[-1][1]):
+        if raw and not (stack and stack[-1][1] == 3):
             t = html.unescape(raw) if "&" in raw else raw
             parts.append(t)
             if links:
@@ -146,8 +146,10 @@ def _parse(page: str) -> list[tuple[str, bool, bool]]:
         if m["attrs"].rstrip().endswith("/") and name not in _BLOCK:
             continue
         state, core = (stack[-1][1], stack[-1][2]) if stack else (0, False)
-        if name in _DROP:
-            state = 2
+        if name in _HIDDEN:
+            state = 3
+        elif name in _DROP:
+            state = max(state, 2)
         elif _noise(name, m["attrs"]) and state < 2:
             state = 1
         elif name in ("article", "main") and state == 1:
@@ -162,53 +164,78 @@ def _parse(page: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
+def _lengths(a: list[str], b: list[str]) -> list[int]:
+    """The lengths of the longest common subsequences of a and b[:j], for every j: one pass of bit vectors of len(b) bits."""
+    masks: dict[str, int] = {}
+    for j, x in enumerate(b):
+        masks[x] = masks.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    v = full
+    for x in a:
+        m = masks.get(x)
+        if m:
+            u = v & m
+            v = (v + u | v - u) & full
+    out = [0]
+    for bit in f"{v:0{len(b)}b}"[::-1] if b else "":
+        out.append(out[-1] + (bit == "0"))
+    return out
+
+
 def common(a: list[str], b: list[str]) -> set[int]:
-    """Places in a of a longest common subsequence with b."""
-    n = 0
-    while n < len(a) and n < len(b) and a[n] == b[n]:
-        n += 1
-    m = 0
-    while m < len(a) - n and m < len(b) - n and a[-1 - m] == b[-1 - m]:
-        m += 1
-    out = set(range(n)) | set(range(len(a) - m, len(a)))
-    places: dict[str, list[int]] = defaultdict(list)
-    for j in range(len(b) - m - 1, n - 1, -1):
-        places[b[j]].append(j)
-    ends: list[int] = []  # the least place in b at which a subsequence of each length ends
-    chain: list[tuple] = []  # and the subsequence, as linked pairs
-    for i in range(n, len(a) - m):
-        for j in places.get(a[i], ()):
-            k = bisect_left(ends, j)
-            link = (i, chain[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                chain.append(link)
-            else:
-                ends[k] = j
-                chain[k] = link
-    link = chain[-1] if chain else None
-    while link is not None:
-        out.add(link[0])
-        link = link[1]
+    """Places in a of a longest common subsequence with b (Hirschberg's halving)."""
+    out: set[int] = set()
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, k, j, m = todo.pop()
+        while i < k and j < m and a[i] == b[j]:
+            out.add(i)
+            i, j = i + 1, j + 1
+        while i < k and j < m and a[k - 1] == b[m - 1]:
+            out.add(k - 1)
+            k, m = k - 1, m - 1
+        if i == k or j == m:
+            continue
+        if k - i == 1:
+            if a[i] in b[j:m]:
+                out.add(i)
+            continue
+        half = (i + k) // 2
+        left, right = _lengths(a[i:half], b[j:m]), _lengths(a[half:k][::-1], b[j:m][::-1])
+        cut = j + max(range(m - j + 1), key=lambda x: left[x] + right[m - j - x])
+        todo += [(i, half, j, cut), (half, k, cut, m)]
     return out
 
 
-def candidates(page: str | None) -> tuple[list[str], list[bool], bool]:
-    """A page's candidate lines, which of them mostly consist of links, and whether an article element bounds them."""
+Page = tuple[list[Line], bool]
+
+
+def candidates(page: str | None) -> Page:
+    """A page's lines, and whether it has an article."""
     found = _parse(page or "")
-    core = any(x[2] for x in found)
-    kept = [x for x in found if x[2]] if core else found
-    return [x[0] for x in kept], [x[1] for x in kept], core
+    return found, any(core and not ruled for _, _, core, ruled in found)
 
 
-def main_text(page: tuple[list[str], list[bool], bool], near: tuple[list[str], list[bool], bool] | None) -> str:
-    lines, linky, core = page
-    if near is not None and lines:
-        shared = common(lines, near[0])
-        if core:
-            shared = {i for i in shared if linky[i]}
-        lines = [x for i, x in enumerate(lines) if i not in shared]
-    return "\n\n".join(lines)
+def own(page: Page) -> list[str]:
+    """The lines that markup doesn't rule out; pages that agree in these are copies."""
+    lines, article = page
+    return [t for t, _, core, ruled in lines if not ruled and (core or not article)]
+
+
+def decide(page: Page, near: list[str] | None) -> list[tuple[str, str]]:
+    """Each line with what becomes of it: 'kept', 'shared' (deleted by differencing) or 'ruled' (by markup alone)."""
+    lines, article = page
+    shared = common([x[0] for x in lines], near) if near else set()
+    out = []
+    for i, (line, linky, core, ruled) in enumerate(lines):
+        quoted = article and core and not linky and not ruled
+        out.append((line, "shared" if i in shared and not quoted else "ruled" if ruled or article and not core else "kept"))
+    return out
+
+
+def main_text(page: Page, near: list[str] | None) -> str:
+    """near: all lines of the nearest page of other text."""
+    return "\n\n".join(t for t, fate in decide(page, near) if fate == "kept")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -228,79 +255,107 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get().partitionId()
-        before = None  # (host, path, candidates) of the last page of the run before
-        held: _Run | None = None
-        first = True
+        before, held, slot = None, None, 0  # the last page of the run before, the run, its number
 
         for batch in batches:
             done = []
             for page, url, raw, host, path in zip(batch["page_id"], batch["url"], batch["html"], batch["host"], batch["path"], strict=True):
                 found = candidates(raw)
-                if held is not None and held.host == host and held.found == found:
-                    held.pages.append((None if pd.isna(page) else int(page), url, path))
+                row = (None if pd.isna(page) else int(page), url, path, found)
+                if held is not None and held.host == host and held.text == own(found):
+                    held.pages.append(row)
+                    if len(held.pages) > MOST_HELD:
+                        done += held.spill(task, slot)
                     continue
                 if held is not None:
-                    after = (host, path, found)
-                    done += held.open(task, 0, None, after) if first else [_finish(before, held.host, held.found, x, after) for x in held.pages]
-                    before, first = held.last(), False
-                held = _Run(host, found, [(None if pd.isna(page) else int(page), url, path)])
+                    done += held.close(task, slot, before, (host, path, [x[0] for x in found[0]]))
+                    before, slot = held.last(), slot + 1
+                held = _Run(host, own(found), [row])
             yield _frame(done)
         if held is not None:
-            yield _frame(held.open(task, 0 if first else 1, before, None))
+            yield _frame(held.close(task, slot, before, None))
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ends = [list(pickle.loads(x)) for batch in batches for x in batch["edge"]]  # task, slot, first page, last page, before, after
-        same = lambda x, y: x[2][0] == y[2][0] and x[2][2] == y[2][2]
-        for x, y in zip(ends, ends[1:], strict=False):
-            if x[0] != y[0]:
-                y[4] = x[4] if same(x, y) else x[3]
-        for x, y in zip(ends[-2::-1], ends[:0:-1], strict=True):
-            if x[0] != y[0]:
-                x[5] = y[5] if same(x, y) else y[2]
-        yield pd.DataFrame([(t, k, pickle.dumps((p, before, after))) for t, k, p, _, before, after in ends], columns=["task", "slot", "near"])
+        rows = [x for batch in batches for x in batch.itertuples(index=False)]
+        found = []
+        for side, step in ((0, 1), (1, -1)):
+            last = None  # the end before, and what stands before it: (task, slot, its own neighbour?)
+            for x in rows[::step]:
+                if (x.has_before, x.has_after)[side]:
+                    at = (x.task, x.slot, True)
+                else:
+                    at = None if last is None else last[1] if last[0].key == x.key else (last[0].task, last[0].slot, False)
+                    if at is not None:
+                        found.append((x.task, x.slot, side, *at))
+                last = (x, at)
+        yield pd.DataFrame(found, columns=["task", "slot", "side", "at_task", "at_slot", "its_own"])
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = at = None
         for batch in batches:
             done = []
-            for page, url, path, task, slot, near in zip(batch["page_id"], batch["url"], batch["path"], batch["task"], batch["slot"], batch["near"], strict=True):
-                if key != (task, slot):
-                    key, at = (task, slot), pickle.loads(near)
-                done.append(_finish(at[1], at[0][0], at[0][2], (None if pd.isna(page) else int(page), url, path), at[2]))
+            for row in batch.itertuples(index=False):
+                near = [pickle.loads(x) if x is not None else None for x in (row.before, row.after)]
+                done.append(_finish(near[0], row.host, (None if pd.isna(row.page_id) else int(row.page_id), row.url, row.path, pickle.loads(row.page)), near[1]))
             yield _frame(done)[["page_id", "url", "text", "n_chars"]]
 
-    # Made once: runs at the ends of ranges, two summaries of each task, meet their neighbours from other tasks.
-    made = dealt.mapInPandas(run, f"{_SCHEMA}, path string, task int, slot int, edge binary").persist(StorageLevel.MEMORY_AND_DISK)
-    ends = made.where("edge IS NOT NULL").select("task", "slot", "edge").repartition(1).sortWithinPartitions("task", "slot")
-    met = ends.mapInPandas(meet, "task int, slot int, near binary")
-    opened = made.where("slot IS NOT NULL AND edge IS NULL").select("page_id", "url", "path", "task", "slot").join(F.broadcast(met), ["task", "slot"])
-    return made.where("slot IS NULL").select("page_id", "url", "text", "n_chars").unionByName(opened.select("page_id", "url", "path", "task", "slot", "near").mapInPandas(finish, _SCHEMA))
+    scratch = Scratch(spark, "pages")
+    made = scratch.keep(map_frames(dealt, run, f"{_SCHEMA}, host string, path string, task int, slot int, page binary, key binary, before binary, after binary, first_page binary, last_page binary"))
+    ends = made.where("slot IS NOT NULL AND page IS NULL")
+    narrow = ends.where("key IS NOT NULL").select("task", "slot", "key", F.col("before").isNotNull().alias("has_before"), F.col("after").isNotNull().alias("has_after"))
+    # Two rows of 40 bytes for each task are ordered in one.
+    met = scratch.keep(map_frames(narrow.repartition(1).sortWithinPartitions("task", "slot"), meet, "task int, slot int, side int, at_task int, at_slot int, its_own boolean"))
+    at = ends.select(F.col("task").alias("at_task"), F.col("slot").alias("at_slot"), "before", "after", "first_page", "last_page")
+    there = met.join(at, ["at_task", "at_slot"]).select("task", "slot", F.expr("CASE WHEN side = 0 THEN IF(its_own, before, last_page) END AS before"), F.expr("CASE WHEN side = 1 THEN IF(its_own, after, first_page) END AS after"))
+    near = ends.select("task", "slot", "before", "after").unionByName(there).groupBy("task", "slot").agg(F.max("before").alias("before"), F.max("after").alias("after"))
+    opened = made.where("page IS NOT NULL").select("page_id", "url", "path", "host", "page", "task", "slot").join(near, ["task", "slot"])
+    out = scratch.keep(made.where("slot IS NULL").select("page_id", "url", "text", "n_chars").unionByName(map_frames(opened, finish, _SCHEMA)))
+    scratch.keep_only(out)
+    return out
 
 
+MOST_HELD = 1000  # copies in a row that a task holds
 _SCHEMA = "page_id long, url string, text string, n_chars long"
+_COLUMNS = ["page_id", "url", "text", "n_chars", "host", "path", "task", "slot", "page", "key", "before", "after", "first_page", "last_page"]
 
 
 class _Run:
-    """Pages in a row, of one host, with the same candidates; pages are (page_id, url, path)."""
+    """Pages in a row, of one host, with the same text; pages are (page_id, url, path, candidates).  Neighbours are (host, path, lines)."""
 
-    def __init__(self, host: str, found: tuple, pages: list[tuple]):
-        self.host, self.found, self.pages = host, found, pages
+    def __init__(self, host: str, text: list[str], pages: list[tuple]):
+        self.host, self.text, self.pages = host, text, pages
+        self.front, self.spilled = self._lines(pages[0]), False
+
+    def _lines(self, page: tuple) -> tuple:
+        return self.host, page[2], [x[0] for x in page[3][0]]
 
     def last(self) -> tuple:
-        return self.host, self.pages[-1][2], self.found
+        return self._lines(self.pages[-1])
+
+    def spill(self, task: int, slot: int) -> list[tuple]:
+        """Gives the pages held, but for the last, as ones that wait for the run's neighbours."""
+        given, self.pages, self.spilled = self.pages[:-1], self.pages[-1:], True
+        return [(page, url, "", 0, self.host, path, task, slot, pickle.dumps(found), *[None] * 5) for page, url, path, found in given]
 
-    def open(self, task: int, slot: int, before: tuple | None, after: tuple | None) -> list[tuple]:
-        """The rows of a run that may lack a neighbour of another task, and its summary."""
-        edge = pickle.dumps((task, slot, (self.host, self.pages[0][2], self.found), self.last(), before, after))
-        return [(page, url, "", 0, path, task, slot, None) for page, url, path in self.pages] + [(None, None, "", 0, None, task, slot, edge)]
+    def close(self, task: int, slot: int, before: tuple | None, after: tuple | None) -> list[tuple]:
+        if before is not None and after is not None and not self.spilled:
+            return [_finish(before, self.host, x, after) for x in self.pages]
+        # The last page is held back by spill(), so it is given here.
+        out = self.spill(task, slot) + [(self.pages[-1][0], self.pages[-1][1], "", 0, self.host, self.pages[-1][2], task, slot, pickle.dumps(self.pages[-1][3]), *[None] * 5)]
+        open_end = before is None or after is None
+        digest = hashlib.blake2b(pickle.dumps((self.host, self.text)), digest_size=16).digest() if open_end else None
+        known = [x and pickle.dumps(x) for x in (before, after)]
+        out.append((None, None, None, None, self.host, None, task, slot, None, digest, *known, pickle.dumps(self.front), pickle.dumps(self.last())))
+        return out
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["page_id", "url", "text", "n_chars", "path", "task", "slot", "edge"]).astype({"page_id": "Int64", "task": "Int32", "slot": "Int32"})
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in _COLUMNS]
+    kinds = {"page_id": "Int64", "n_chars": "Int64", "task": "Int32", "slot": "Int32"}
+    return pd.DataFrame({n: pd.array(list(c), dtype=kinds[n]) if n in kinds else pd.Series(list(c), dtype=object) for n, c in zip(_COLUMNS, columns, strict=True)})
 
 
-def _finish(before: tuple | None, host: str, found: tuple, page: tuple, after: tuple | None) -> tuple:
+def _finish(before: tuple | None, host: str, page: tuple, after: tuple | None) -> tuple:
     near = [x for x in (before, after) if x is not None and x[0] == host]
     best = max(near, key=lambda x: len(os.path.commonprefix([x[1], page[2]])), default=None)
-    text = main_text(found, best and best[2])
-    return page[0], page[1], text, len(text), None, None, None, None
+    text = main_text(page[3], best and best[2])
+    return (page[0], page[1], text, len(text), *[None] * 10)
