@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tracewell.llm._spark import Scratch
 from tracewell.llm import decontaminate, fingerprints, html_main, langid, neardup, packing, quality, repair_ids, sharding, token_counts
 from tracewell.llm import _text, _tokens, queries
 
@@ -89,7 +90,7 @@ def test_near_duplicates_of_nothing_and_of_repeated_rows(spark, none):
 
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 600)], "a long, b long").repartition(7)
-    got = {r["node"]: r["component"] for r in neardup.components(links).collect()}
+    got = {r["node"]: r["component"] for r in neardup.components(links, Scratch(spark, "t")).collect()}
     assert got == {**{i: 0 for i in range(1, 201)}, 600: 500}
 
 
@@ -381,7 +382,7 @@ def test_queries_return_whole_tables(spark, name):
     assert found <= n if name.startswith("op1_") else found == n
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, tokenizer):
     import corpus_pipeline as p
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -394,7 +395,7 @@ def test_pipeline(spark):
     size = Counter()
     for r in p.run(spark, SF).collect():
         size[r["doc_id"]] += r["piece_length"]
-    assert size == {i: len(t.encode()) + 1 for i, t in clean.items()}
+    assert size == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in clean.items()}
 
 
 def test_stages_keep_columns_and_odd_rows(spark):
