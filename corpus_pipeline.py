@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm import decontaminate, langid, neardup, packing, quality
-from tracewell.llm._spark import batch_rows, cut, filter_rows, shared_dir, ship
+from tracewell.llm._spark import Scratch, batch_rows, filter_rows, shared_dir, ship, tokenizer_file
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.2) -> DataFrame:
-    """Documents without a letter, or of whose n-grams the likeliest language knows under a fifth, go."""
+    """Documents without a letter, or of whose n-grams the likeliest language knows under a fifth, go: null and empty texts too.  Rows are judged one
+    by one: repeated rows, null ids, ties and columns of any name need no rule, texts are read whole, no documents give no rows."""
     ship(spark)
     batch_rows(spark, 1000)
     filters = langid.learn(docs)
@@ -25,7 +26,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str, least:
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.3) -> DataFrame:
-    """Documents with a score under the threshold go."""
+    """Documents with a score under the threshold go; null and empty texts have one, too.  Rows are judged one by one, whole texts, a score at the
+    threshold stays; ids and other columns, null, repeated or of any name, are not looked at.  No documents give no rows."""
     ship(spark)
     batch_rows(spark, 1000)
     model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -36,9 +38,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays: that of the least doc_id.
     Of repeated rows of one doc_id, the first in the order of their text stays; rows without a doc_id stay."""
     ship(spark)
-    gone = cut(neardup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct())
+    marked = neardup.near_duplicates(docs)
+    scratch = Scratch(spark, "near-duplicates")
+    gone = scratch.keep(marked.where("NOT kept").select("doc_id").distinct())
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = cut(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    repeated = scratch.keep(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if repeated.isEmpty():
         return kept
     first = Window.partitionBy("doc_id").orderBy("text")
@@ -47,15 +51,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that cover half of a benchmark item's words go."""
+    """Documents that cover half of a benchmark item's words go.  Null and empty texts stay; rows are judged one by one, whole texts; ids and
+    other columns, null, repeated or of any name, are not looked at.  No documents or no items change nothing."""
     ship(spark)
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left, by bytes and an end mark, into sequences of several permitted lengths."""
+    """Packs the token ids of what is left, each document's with an end mark, into sequences of several permitted lengths: one row
+    per piece, with the crc32 of its ids.  Null and empty texts have only the end mark, long ones are cut into pieces, repeated rows are packed one by
+    one, a null doc_id is carried along, other columns are not read, no documents give no rows."""
     ship(spark)
-    return packing.pack(docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("length")), "length")
+    return packing.pack_tokens(docs, tokenizer_file()).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 STAGES = [
