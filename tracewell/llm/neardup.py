@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm import _text
@@ -38,7 +38,7 @@ from tracewell.llm._spark import Scratch, batch_rows, map_frames, partitions
 
 TREES, DEPTH, SMALL, MISSED = 16, 6, 5, 2e-5
 BINS = TREES * DEPTH
-ROWS_PER_TASK, HELD = 500_000, 100_000
+ROWS_PER_TASK, HELD, FEW = 500_000, 100_000, 10_000
 SLOTS = 1 << 18
 _EDGES = (np.arange(1, BINS, dtype=np.float64) * (2.0**64 / BINS)).astype(np.uint64)
 _BORROW = np.argsort(np.random.Generator(np.random.PCG64(7)).random((BINS, BINS)), axis=1)
@@ -209,10 +209,10 @@ def near_bits(a: str, b: str, sizes: str, percent: int) -> str:
 
 
 def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, ...) whose sizes and bitmaps don't rule them out."""
+    """The pairs (a, b, ...) whose sizes and bitmaps don't rule them out, and how many bits their bitmaps are apart."""
     few = [reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab"]
     fits = F.expr(f"least(na, nb) * 100 >= greatest(na, nb) * {percent} AND {near_bits('bitsa', 'bitsb', 'na + nb', percent)}")
-    return pairs.join(few[0], "a").join(few[1], "b").where(fits).select(*pairs.columns)
+    return pairs.join(few[0], "a").join(few[1], "b").where(fits).select(*pairs.columns, F.expr(bits_apart("bitsa", "bitsb")).alias("apart"))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -265,13 +265,17 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
     edges = scratch.keep(map_frames(links, local, "u long, v long").distinct())
     before = _signature(edges)
+    if 0 < before[0] <= FEW:
+        # So few links, whatever the size of the input, are joined at once in one task.
+        edges = scratch.keep(map_frames(edges.select(F.col("u").alias("a"), F.col("v").alias("b")).coalesce(1), local, "u long, v long"), edges)
+        before = (0,)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = scratch.keep(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), edges)
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # After the large star a node has few lesser neighbours, so a window does for the small one.
+        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        edges = scratch.keep(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct(), edges)
         after = _signature(edges)
         if after == before:
             break
@@ -335,8 +339,8 @@ def rest_of_dense(docs: DataFrame, reps: DataFrame, hot: DataFrame, found: DataF
     )
     near = x.join(y, (F.col("x.token") == F.col("y.token")) & apart).select(
         F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.least("x.component", "y.component").alias("ca"), F.greatest("x.component", "y.component").alias("cb"), F.expr(bits_apart("x.bits", "y.bits")).alias("apart")
-    ).distinct()
-    return scratch.keep(near, rows)
+    )
+    return near
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -348,7 +352,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sketches = scratch.keep(sketch(docs, words))
     reps = sketches.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("labels").alias("labels"), F.first("bits").alias("bits"))
     reps = scratch.keep(reps)
-    sketches = scratch.keep(sketches.select("doc_id", "n_shingles", "key"), sketches)
     tasks = max(partitions(spark), -(-reps.count() * TREES // ROWS_PER_TASK))
     pairs, hot = forest(reps.select("rep", "labels"), tasks, least_depth(percent), scratch)
 
@@ -356,37 +359,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "votes"))
     best = both.groupBy("a").agg(F.min_by("b", F.struct(-F.col("votes"), F.col("b"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     best = scratch.keep(best)
-    links = scratch.keep(confirmed(best, docs, words, percent))
-    found = components(links, scratch)
-    rest = scratch.keep(likely(between(pairs.join(best, ["a", "b"], "left_anti"), found).withColumn("apart", -F.col("votes")).drop("votes"), reps, percent), best, links)
-
-    def looked_at(rest: DataFrame, found: DataFrame) -> DataFrame:
-        """The components once the pairs rest(a, b, ca, cb, apart) have been confirmed.  Of the pairs between two components the
-        likeliest comes first; the links that these give leave few others open."""
-        likeliest = scratch.keep(rest.groupBy("ca", "cb").agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b", "ca", "cb"))
-        if likeliest.isEmpty():
-            return found
+    found = components(confirmed(best, docs, words, percent), scratch)
+    rest = likely(between(pairs.join(best, ["a", "b"], "left_anti").select("a", "b"), found), reps, percent)
+    if not hot.isEmpty():
+        rest = rest.unionByName(rest_of_dense(docs, reps, hot, found, words, percent, scratch)).distinct()
+    rest = scratch.keep(rest)
+
+    # Of the pairs between two components the likeliest comes first; the links that these give leave few others open.
+    likeliest = scratch.keep(rest.groupBy("ca", "cb").agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b", "ca", "cb"))
+    if not likeliest.isEmpty():
         across = lambda pairs: pairs.join(confirmed(pairs, docs, words, percent), ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         some = scratch.keep(across(likeliest))
         up = components(some, scratch)
         left = between(rest.join(likeliest, ["a", "b"], "left_anti").select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("ca").alias("a"), F.col("cb").alias("b")), up)
-        left = scratch.keep(left.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("a").alias("ca"), F.col("b").alias("cb")), likeliest)
+        left = scratch.keep(left.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("a").alias("ca"), F.col("b").alias("cb")), likeliest, rest)
         if not left.isEmpty():
-            every = scratch.keep(some.unionByName(across(left)), up)
-            up = components(every, scratch)
+            up = components(some.unionByName(across(left)), scratch)
         lifted = found.join(up.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        return scratch.keep(lifted.unionByName(up), found, left)
-
-    found = looked_at(rest, found)
-    if not hot.isEmpty():
-        found = looked_at(rest_of_dense(docs, reps, hot, found, words, percent, scratch), found)
+        found = lifted.unionByName(up)
 
     known = sketches.where("key IS NOT NULL AND doc_id IS NOT NULL")
     of_rep = known.join(reps.select("key", "rep"), "key").select("doc_id", "rep")
     if not known.groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").isEmpty():
         # Rows of one doc_id are one document: their sets' representatives are linked through it.
         same = of_rep.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-        found = components(scratch.keep(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(same), found), scratch)
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(same), scratch)
         of_rep = known.select("doc_id", F.col("doc_id").alias("rep"))
     named = of_rep.distinct().join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     component = F.coalesce("component", "doc_id")
