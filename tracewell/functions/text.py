@@ -1,11 +1,15 @@
-"""Text expressions.  All but ``nfkc`` and the walks in ``walks.py`` stay in the JVM."""
+"""Text expressions.  All but ``nfkc`` and the walks in ``walks.py`` stay in the JVM.
+
+compat: apply NFKC first, a Python step; callers that need several forms of a text apply ``nfkc`` once and pass False."""
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -34,6 +38,20 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 
 
+def stable(df: DataFrame, column: str) -> DataFrame:
+    """df with the column in NFKC, as a step of its own: expressions behind it (lambdas, generators) are never merged with Python's part."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            if not all(x is None or x.isascii() for x in texts):
+                b = b.set_column(at, b.schema.field(at), pa.array([x and unicodedata.normalize("NFKC", x) for x in texts], b.schema.field(at).type))
+            yield b
+
+    return df.mapInArrow(run, df.schema)
+
+
 def canonical_text(c: Column, compat: bool = True) -> Column:
     """T1.  compat: apply NFKC (a Python step); without it the text must be NFKC-stable."""
     c = nfkc(c) if compat else c
@@ -41,12 +59,12 @@ def canonical_text(c: Column, compat: bool = True) -> Column:
     return F.trim(F.regexp_replace(swapped, BLANKS, " "))
 
 
-def match_key(c: Column, compat: bool = False) -> Column:
+def match_key(c: Column, compat: bool = True) -> Column:
     """T2."""
     return F.lower(canonical_text(c, compat))
 
 
-def words(c: Column, compat: bool = False) -> Column:
+def words(c: Column, compat: bool = True) -> Column:
     """ASCII words, numbers, dots and dashes, without dots and dashes at a word's ends."""
     kept = F.regexp_replace(match_key(c, compat), r"[^a-z0-9.\s-]", " ")
     bare = F.regexp_replace(F.regexp_replace(kept, r"(^|\s)[.-]+", "$1"), r"[.-]+(\s|$)", "$1")
@@ -64,15 +82,25 @@ def shingles(w: Column, n: int) -> Column:
     return F.get(F.transform(F.array(w), grams), F.lit(0))
 
 
+def hashed_grams(w: Column, n: int) -> Column:
+    """T4 as 64-bit hashes: the distinct word n-grams of an array of words, without building their strings."""
+    def grams(h: Column) -> Column:
+        last = F.size(h) - (n - 1)
+        every = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(1)) - 1), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(n)]))
+        return F.when(last >= 1, F.array_distinct(every)).otherwise(F.array().cast("array<bigint>"))
+
+    return F.get(F.transform(F.array(F.transform(w, lambda x: F.xxhash64(x))), grams), F.lit(0))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """T5, of arrays without repeats; 0 if either is empty."""
     shared = F.size(F.array_intersect(a, b))
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(shared / (F.size(a) + F.size(b) - shared))
 
 
-def case_key(c: Column) -> Column:
+def case_key(c: Column, compat: bool = True) -> Column:
     """T7."""
-    return F.regexp_replace(match_key(c), r"\s*-\s*", "-")
+    return F.regexp_replace(match_key(c, compat), r"\s*-\s*", "-")
 
 
 def levenshtein(a: Column, b: Column) -> Column:
@@ -80,17 +108,17 @@ def levenshtein(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b)
 
 
-def unquoted(c: Column) -> Column:
+def unquoted(c: Column, compat: bool = True) -> Column:
     """Quotations of 20 characters and more become a space."""
-    return F.regexp_replace(canonical_text(c, False), r'"[^"]{20,}?"', " ")
+    return F.regexp_replace(canonical_text(c, compat), r'"[^"]{20,}?"', " ")
 
 
-def fingerprint_text(c: Column, compat: bool = False) -> Column:
+def fingerprint_text(c: Column, compat: bool = True) -> Column:
     """T11."""
     return F.trim(F.regexp_replace(nfkc(c) if compat else c, BLANKS, " "))
 
 
-def content_fingerprint(c: Column, compat: bool = False) -> Column:
+def content_fingerprint(c: Column, compat: bool = True) -> Column:
     """T12."""
     return F.sha2(fingerprint_text(c, compat).cast("binary"), 256)
 
@@ -140,11 +168,11 @@ def informative(c: Column) -> Column:
 
 def claim_terms(c: Column, citations: tuple[str, ...] = ()) -> Column:
     """The first eight distinct telling words of a claim; each citation's first occurrence is left out."""
-    rest = canonical_text(c, False)
+    rest = canonical_text(c)
     for citation in citations:
         at = F.locate(citation, rest)
         rest = F.when(at > 0, F.concat(F.substring(rest, F.lit(1), at - 1), F.lit(" "), F.substring(rest, at + F.lit(len(citation)), F.char_length(rest)))).otherwise(rest)
-    return F.slice(F.array_distinct(F.filter(words(rest), lambda w: (F.char_length(w) > 3) & ~w.isin(*CLAIM_STOPWORDS))), 1, 8)
+    return F.slice(F.array_distinct(F.filter(words(rest, False), lambda w: (F.char_length(w) > 3) & ~w.isin(*CLAIM_STOPWORDS))), 1, 8)
 
 
 def fit_query(c: Column, most: int = 200) -> Column:
@@ -211,12 +239,13 @@ def classify_field(descriptor: Column, input_type: Column) -> Column:
 
 
 def choose_passage(text: Column, citations: Column, terms: Column) -> Column:
-    """The paragraph with most citations (ten points each) and claim terms; the first one, if none has any."""
+    """The paragraph with most citations (ten points each) and claim terms; the first one, if none has any.  Texts are NFKC-stable
+    here (see nfkc): Python steps can't run inside a lambda."""
     paragraphs = F.filter(F.transform(F.split(text, r"\n+"), F.trim), lambda p: p != "")
 
     def points(p: Column) -> Column:
-        key = match_key(p)
-        found = lambda many: F.size(F.filter(many, lambda x: F.contains(key, match_key(x))))
+        key = match_key(p, False)
+        found = lambda many: F.size(F.filter(many, lambda x: F.contains(key, match_key(x, False))))
         return found(citations) * 10 + found(terms)
 
     scored = F.transform(paragraphs, lambda p, i: F.struct((-points(p)).alias("s"), i.alias("i"), p.alias("p")))

@@ -1,7 +1,7 @@
 """Evidence features, candidate pairs, timings and the three scorers, which are kept apart on purpose.
 
-Every function takes and returns DataFrames keyed by ids.  Features are arrays of 64-bit gram hashes, made once per document,
-so a pair is scored by array operations after two equi-joins.  Pairs are all those that share evidence with weight.
+Every function takes and returns DataFrames keyed by ids.  Features are arrays of 64-bit gram hashes, made once per document.  Pairs come
+from equi-joins alone: retrieval and links for the corpus scorer, and evidence that can decide for the stand-alone one.
 """
 
 from __future__ import annotations
@@ -13,13 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import maths, text, urls, walks
+from tracewell.operators import retrieval
 
 COVERED = 2 / 3
 ACCEPTED, PROBABLE, RELATED = 0.35, 0.2, 0.05
-
-
-def hashed(grams: Column) -> Column:
-    return F.transform(grams, lambda g: F.xxhash64(g))
+#: Similarity alone weighs .3 of itself: below this it can neither make a parent (.15) nor come within .05 of one.
+LEAST_SIMILARITY = 0.331
 
 
 def contained(body: Column, known: DataFrame, key: str) -> Column:
@@ -29,79 +28,122 @@ def contained(body: Column, known: DataFrame, key: str) -> Column:
 
 
 def known_keys(spark: SparkSession, known: DataFrame | Sequence[tuple[int, str]]) -> DataFrame:
-    """known(id, text), or a list of such rows, with both normal forms: id, match, scorer."""
+    """known(id, text), or a list of such rows, with both normal forms: id, match, scorer.  Of rows with one normal form the least id stands."""
     rows = known if isinstance(known, DataFrame) else spark.createDataFrame(list(known), "id long, text string")
-    return rows.select("id", text.match_key(F.col("text")).alias("match"), text.scorer_text(F.col("text")).alias("scorer"))
+    rows = rows.select("id", text.match_key(F.col("text")).alias("match"), text.scorer_text(F.col("text")).alias("scorer"))
+    first = lambda c: F.when(F.row_number().over(Window.partitionBy(c).orderBy("id")) == 1, F.col(c)).alias(c)
+    return rows.select("id", first("match"), first("scorer"))
+
+
+def artifacts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """C19 without arrays: of docs(id, url, text, ...), the row of the least id per content fingerprint, and mirrors(id, url): all URLs of
+    each artifact, as rows, so that a page copied a million times is no problem."""
+    rows = docs.withColumn("fingerprint", text.content_fingerprint(F.col("text")))
+    least = rows.groupBy("fingerprint").agg(F.min("id").alias("id"))
+    return rows.join(least, ["fingerprint", "id"]), rows.select("fingerprint", "url").join(least, "fingerprint").select("id", "url").distinct()
 
 
 def features(docs: DataFrame, known: DataFrame | Sequence[tuple[int, str]] = ()) -> DataFrame:
-    """docs(id, text, url, ts_ms, links, ...) with gram hashes, known errors and keys of both normal forms."""
+    """docs(id, text, url, ts_ms, links, ...) with gram hashes, known errors and keys of both normal forms; citation_variants is empty
+    unless docs has it (see walks.matched_citations)."""
     # One exchange by id spreads the work and serves the joins on either side's id; the arrays are made once and kept.
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    docs = docs.repartition(n, "id")
     keys = known_keys(docs.sparkSession, known)
+    if "citation_variants" not in docs.columns:
+        docs = docs.withColumn("citation_variants", F.array().cast("array<string>"))
+    nf, body = F.col("_nf"), F.col("text")
     return (
-        docs.withColumn("_key", text.match_key(F.col("text")))
-        .withColumn("_scorer", text.scorer_text(F.col("text")))
+        docs.repartition(n, "id")
+        .withColumn("_nf", text.nfkc(body))
+        .withColumn("_key", text.match_key(nf, False))
+        .withColumn("_scorer", text.scorer_text(body))
         .withColumn("fabricated", contained(F.col("_key"), keys, "match"))
         .withColumn("errors", contained(F.col("_scorer"), keys, "scorer"))
-        .withColumn("grams6", text.shingles(text.words(text.unquoted(F.col("text"))), 6))
-        .withColumn("g6", hashed(F.col("grams6")))
-        .withColumn("g3", hashed(text.shingles(text.words(F.col("text")), 3)))
-        .withColumn("s6", hashed(text.shingles(text.scorer_words(F.col("text")), 6)))
-        .withColumn("s3", hashed(text.shingles(text.scorer_words(F.col("text")), 3)))
-        .withColumn("fingerprint", text.content_fingerprint(F.col("text")))
-        .withColumn("raw", F.sha2(F.col("text").cast("binary"), 256))
-        .drop("grams6", "_key", "_scorer")
+        .withColumn("g6", text.hashed_grams(text.words(text.unquoted(nf, False), False), 6))
+        .withColumn("g3", text.hashed_grams(text.words(nf, False), 3))
+        .withColumn("_sw", text.scorer_words(body))
+        .withColumn("s6", text.hashed_grams(F.col("_sw"), 6))
+        .withColumn("s3", text.hashed_grams(F.col("_sw"), 3))
+        .withColumn("fingerprint", text.content_fingerprint(nf, False))
+        .drop("_nf", "_key", "_scorer", "_sw")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
 
 
-def _gram_pairs(feats: DataFrame) -> DataFrame:
-    """(a, b), a < b: documents that share a hashed gram of any kind.  Equal texts are one class until the end, and of the grams
-    that the same classes have, one is joined."""
-    kinds = ("g6", "g3", "s3")  # a shared 6-gram of s6 has shared 3-grams of s3; g6 skips quotations, so g3 doesn't stand for it
-    classes = feats.groupBy("raw").agg(F.min("id").alias("class"))
-    member = feats.select("id", "raw").join(classes, "raw").select("id", "class")
-    first = feats.join(classes, "raw").where(F.col("id") == F.col("class"))
-    rows = first.select("class", F.explode(F.array_distinct(F.concat(*kinds))).alias("gram")).persist(StorageLevel.MEMORY_AND_DISK)
-    held = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(7))).alias("y")).where("n > 1")
-    rows = rows.join(held.groupBy("n", "x", "y").agg(F.min("gram").alias("gram")).select("gram"), "gram", "left_semi")
-    near = rows.withColumnRenamed("class", "a").join(rows.withColumnRenamed("class", "b"), "gram").where("a < b").select("a", "b").distinct()
-    left, right = member.select(F.col("id").alias("i"), F.col("class").alias("a")), member.select(F.col("id").alias("j"), F.col("class").alias("b"))
-    apart = near.join(left, "a").join(right, "b").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
-    with_grams = first.where(F.greatest(*[F.size(k) for k in kinds]) > 0).select(F.col("class").alias("a"))
-    copies = left.join(with_grams, "a", "left_semi").join(right, F.col("a") == F.col("b")).where("i < j").select(F.col("i").alias("a"), F.col("j").alias("b"))
-    return apart.unionByName(copies)
-
-
-def _url_pairs(feats: DataFrame) -> DataFrame:
-    """(parent, child): the child links to the parent's URL, with or without the scheme, or has it in its text."""
-    urls_of = feats.select(F.col("id").alias("parent"), "url", urls.scheme_less_url(F.col("url")).alias("bare"))
-    links = feats.select(F.col("id").alias("child"), F.explode("links").alias("link"))
-    exact = links.join(urls_of, F.col("link") == F.col("url")).select("parent", "child")
-    bare = links.select("child", urls.scheme_less_url(F.col("link")).alias("bare")).join(urls_of, "bare").select("parent", "child")
-    # The URL from its first dot on is found among the pieces of the text's tokens that begin with a dot and have such a length.
-    plain = F.col("bare").rlike(r"^[^\s.]*\.\S*$")
-    keyed = urls_of.where(plain).withColumn("tail", F.expr("substring(bare, locate('.', bare))"))
-    sizes = keyed.agg(F.collect_set(F.length("tail")).alias("sizes"))
-    low = feats.select(F.col("id").alias("child"), F.lower("text").alias("body"))
-    tokens = low.select("child", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"\S*\.\S+"), 0))).alias("t"))
-    starts = tokens.select("child", F.explode(F.expr("transform(filter(sequence(1, length(t)), i -> substring(t, i, 1) = '.'), i -> substring(t, i))")).alias("t"))
+def included(feats: DataFrame) -> Column:
+    """what belongs to the lineage of known errors: a document that repeats one, or a variant of one."""
+    return (F.size("fabricated") > 0) | (F.size("citation_variants") > 0)
+
+
+def retrieved_pairs(feats: DataFrame, known: DataFrame, most: int = 10) -> DataFrame:
+    """(parent, child) of included documents: the child's top documents by fused rank, and those that it links to."""
+    members = feats.where(included(feats)).select("id")
+    cited = feats.where(F.size("fabricated") > 0).select("id", F.col("fabricated").alias("citations"))
+    queries = retrieval.queries_of(feats.join(members, "id", "left_semi"), cited, known)
+    top = retrieval.related(feats, F.col("text"), queries, cited, most).select(F.col("id").alias("parent"), F.col("query").alias("child"))
+    links = feats.select(F.col("id").alias("child"), F.explode("links").alias("url")).join(feats.select(F.col("id").alias("parent"), "url"), "url").select("parent", "child")
+    every = top.unionByName(links).where("parent <> child").distinct()
+    return every.join(members.withColumnRenamed("id", "parent"), "parent", "left_semi").join(members.withColumnRenamed("id", "child"), "child", "left_semi").select("parent", "child").persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def url_pairs(urls_of: DataFrame, docs: DataFrame, form) -> DataFrame:
+    """(parent, child): the child of docs(id, text, links) links to a URL of urls_of(parent, url) by that form, or has the form in its text."""
+    urls_of = urls_of.select("parent", form(F.col("url")).alias("bare")).where("bare <> ''").distinct()
+    links = docs.select(F.col("id").alias("child"), F.explode("links").alias("link")).select("child", form(F.col("link")).alias("bare"))
+    linked = links.join(urls_of, "bare").select("parent", "child")
+    # A URL is found in a text by its tail from the first dot on, among the pieces of the text's tokens that begin with a dot and have the
+    # length of such a tail; the few pairs that agree in it are compared in full.
+    plain = urls_of.where(r"bare RLIKE '^[^\\s.]*\\.\\S*$'").withColumn("tail", F.expr("substring(bare, locate('.', bare))"))
+    sizes = plain.agg(F.collect_set(F.length("tail")).alias("sizes"))  # at most as many as a URL has letters
+    low = docs.select(F.col("id").alias("child"), F.lower("text").alias("body"))
+    dotted = low.select("child", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"\S*\.\S+"), 0))).alias("t"))
+    starts = dotted.select("child", F.explode(F.expr("transform(filter(sequence(1, length(t)), i -> substring(t, i, 1) = '.'), i -> substring(t, i))")).alias("t"))
     pieces = starts.join(F.broadcast(sizes)).select("child", F.explode(F.expr("transform(filter(sizes, n -> n <= length(t)), n -> left(t, n))")).alias("tail")).distinct()
-    found = pieces.join(keyed, "tail").select("parent", "child", "bare").join(low, "child").where(F.contains("body", F.col("bare"))).select("parent", "child")
-    odd = urls_of.where(~plain).join(low, F.contains("body", F.col("bare"))).select("parent", "child")
-    return exact.unionByName(bare).unionByName(found).unionByName(odd)
+    found = pieces.join(plain, "tail").select("parent", "child", "bare").join(low, "child").where(F.contains("body", F.col("bare"))).select("parent", "child")
+    # What has no dot is no host; it counts where it is a whole token.
+    tokens = low.select("child", F.explode(F.array_distinct(F.split("body", r"\s+"))).alias("bare"))
+    odd = urls_of.where(~F.contains("bare", F.lit(".")))
+    return linked.unionByName(found).unionByName(tokens.join(odd, "bare").select("parent", "child")).where("parent <> child").distinct()
+
+
+def rare_phrases(feats: DataFrame) -> DataFrame:
+    """(parent, child, rare): 6-grams that, of all documents no later than the child, only the parent shares with it.  Such a gram
+    is decided by its three earliest documents, which a grouped limit keeps before the exchange: common phrases cost no pairs."""
+    rows = feats.where("ts_ms IS NOT NULL").select("id", "ts_ms", F.explode("s6").alias("gram"))
+    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("gram").orderBy("ts_ms", "id"))).where("n <= 3")
+    held = first.groupBy("gram").agg(F.array_sort(F.collect_list(F.struct("ts_ms", "id"))).alias("h")).where("size(h) > 1 AND (size(h) = 2 OR h[2].ts_ms > h[1].ts_ms)")
+    both = F.expr("IF(h[0].ts_ms = h[1].ts_ms, array(struct(h[0].id AS parent, h[1].id AS child), struct(h[1].id AS parent, h[0].id AS child)), array(struct(h[0].id AS parent, h[1].id AS child)))")
+    pairs = held.select(F.explode(both).alias("p")).groupBy("p.parent", "p.child").agg(F.count(F.lit(1)).alias("rare"))
+    # Phrases count from three eligible documents on: those of the fourth time and later have that many.
+    fourth = feats.where("ts_ms IS NOT NULL").select("ts_ms").orderBy("ts_ms").limit(4).agg(F.when(F.count(F.lit(1)) == 4, F.max("ts_ms")).alias("fourth"))
+    late = feats.select(F.col("id").alias("child"), "ts_ms").join(F.broadcast(fourth)).where("ts_ms >= fourth").select("child")  # one row
+    return pairs.join(late, "child", "left_semi")
+
+
+def similar_pairs(feats: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
+    """(parent, child), the parent no later, of a 3-gram similarity of at least that: by the rarest grams of each, so many that two
+    similar enough sets share one (prefix filtering), then by size.  Grams of one document alone are counted, never joined."""
+    rows = feats.where("ts_ms IS NOT NULL").select("id", "ts_ms", F.size("s3").alias("n"), F.explode("s3").alias("gram"))
+    df = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = rows.join(df, "gram")
+    mine = Window.partitionBy("id")
+    placed = shared.withColumn("place", F.col("n") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("df", "gram")))
+    kept = placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1).select("id", "ts_ms", "n", "place", "gram")
+    p, c = kept.alias("p"), kept.alias("c")
+    able = F.expr(f"p.id <> c.id AND p.ts_ms <= c.ts_ms AND least(p.n, c.n) >= {least} * greatest(p.n, c.n) AND least(p.n - p.place, c.n - c.place) + 1 >= {least} / (1 + {least}) * (p.n + c.n)")
+    return p.join(c, (F.col("p.gram") == F.col("c.gram")) & able).select(F.col("p.id").alias("parent"), F.col("c.id").alias("child")).distinct()
 
 
 def candidate_pairs(feats: DataFrame) -> DataFrame:
-    """(parent, child) of all documents that share evidence with weight: a word 3-gram or 6-gram, a known error, a link, or the URL of
-    one in the other's text; both directions.  All other pairs score nothing by any scorer."""
-    errors = feats.select("id", F.explode(F.array_union("fabricated", "errors")).alias("error"))
-    shared = errors.withColumnRenamed("id", "parent").join(errors.withColumnRenamed("id", "child"), "error").where("parent < child").select("parent", "child")
-    one = _gram_pairs(feats).select(F.col("a").alias("parent"), F.col("b").alias("child")).unionByName(shared).unionByName(_url_pairs(feats)).where("parent <> child")
-    # The scorers read the pairs several times.
-    return one.unionByName(one.select(F.col("child").alias("parent"), F.col("parent").alias("child"))).distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    """(parent, child, link, rare) for the stand-alone scorer: the parent no later, and a shared known error, a link or the URL in the text,
+    a phrase found in no other earlier document, or a similarity that can matter.  All other pairs score under .1: they are no parents
+    and make none ambiguous."""
+    errors = feats.select("id", F.explode("errors").alias("error"))
+    shared = errors.withColumnRenamed("id", "parent").join(errors.withColumnRenamed("id", "child"), "error").where("parent <> child").select("parent", "child")
+    no = lambda df: df.select("parent", "child", F.lit(False).alias("link"), F.lit(0).cast("long").alias("rare"))
+    linked = url_pairs(feats.select(F.col("id").alias("parent"), "url"), feats, urls.scheme_less_url).select("parent", "child", F.lit(True).alias("link"), F.lit(0).cast("long").alias("rare"))
+    every = no(shared).unionByName(no(similar_pairs(feats))).unionByName(linked).unionByName(rare_phrases(feats).select("parent", "child", F.lit(False).alias("link"), "rare"))
+    return every.groupBy("parent", "child").agg(F.max("link").alias("link"), F.max("rare").alias("rare")).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _side(feats: DataFrame, key: str, prefix: str, cols: list[str]) -> DataFrame:
@@ -146,12 +188,40 @@ def ordered_pairs(feats: DataFrame, pairs: DataFrame, cols: list[str]) -> DataFr
     return pairs.join(_side(timed, "parent", "p", own), "parent").join(_side(timed, "child", "c", own), "child").withColumn("ordering", ordering("p", "c"))
 
 
+# The wording of reasons.
+def _reasons(rows: DataFrame, weak: Column) -> Column:
+    """C3's reasons, in the order in which they are given."""
+    say = lambda when, *parts: F.when(when, F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]))
+    c = F.col
+    day = lambda ms: F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd")
+    others = c("carriers") - 1
+    also = F.when((c("carriers") > 1) & (c("coverage") >= COVERED), F.concat(F.lit(" (as do "), others.cast("string"), F.lit(" other possible parent"), F.when(others == 1, "").otherwise("s"), F.lit(")"))).otherwise("")
+    phrases = F.when(c("unique_phrases") == 1, " copied 6-word phrase").otherwise(" copied 6-word phrases")
+    order = c("ordering")
+    number = F.regexp_replace(c("similarity").cast("string"), r"\.0$", "")
+    return F.array_compact(
+        F.array(
+            say(c("link"), c("child"), " links to ", c("parent")),
+            say(c("shared") > 0, "shares ", c("shared"), " of ", F.size("c_fabricated"), " fabricated citations", also),
+            say(c("variants") > 0, "shares the misspelling ", F.array_join(F.transform("variant_names", lambda v: F.concat(F.lit('"'), v, F.lit('"'))), ", ")),
+            say(c("unique_phrases") > 0, c("unique_phrases"), phrases, " (outside quotations) found in no other possible parent"),
+            say(F.lit(True), "word overlap ", number),
+            say(order == "strict", c("parent"), " (", day(c("p_claimed")), ") precedes ", c("child"), " (", day(c("c_effective")), ")"),
+            F.when(order == "same-time", F.when(c("link"), "same timestamp; direction taken from the link").otherwise("same timestamp and no link: direction unknown (both may copy an unseen common source)")),
+            say((order == "from-link") & ~c("link"), c("child"), " links to a page published on or after ", day(c("c_effective")), ", so it follows ", c("parent")),
+            F.when(order == "unknown", "order unknown: no trustworthy timestamp"),
+            say(weak & (c("coverage") > 0), "only ", c("shared"), " of ", F.size("c_fabricated"), " fabricated citations shared; a single shared case name is weak evidence"),
+            F.when(weak & (c("coverage") == 0), F.when(c("unique_phrases") > 0, "copied phrasing but no link or shared fabricated citation; not enough to claim propagation").otherwise("only textual similarity; not enough to claim propagation")),
+        )
+    )
+
+
 def score_edges(feats: DataFrame, pairs: DataFrame) -> DataFrame:
     """C3 for every (parent, child); the eligible parents of a child are those of its pairs that may have come first."""
-    rows = ordered_pairs(feats, pairs, ["fabricated", "g6", "g3"])
-    shared = F.size(F.array_intersect("p_fabricated", "c_fabricated"))
+    rows = ordered_pairs(feats, pairs, ["fabricated", "citation_variants", "g6", "g3"])
+    rows = rows.withColumn("shared", F.size(F.array_intersect("p_fabricated", "c_fabricated"))).withColumn("variant_names", F.array_intersect("p_citation_variants", "c_citation_variants")).withColumn("variants", F.size("variant_names"))
     # The part of the parent's errors among the child's; carriers cover two thirds of the child's.
-    rows = rows.withColumn("coverage", F.when(F.size("c_fabricated") > 0, shared / F.size("c_fabricated")).otherwise(0.0))
+    rows = rows.withColumn("coverage", F.when(F.size("c_fabricated") > 0, F.col("shared") / F.size("c_fabricated")).otherwise(0.0))
     eligible = F.col("ordering") != "impossible"
     of_child = Window.partitionBy("child")
     rows = rows.withColumn("carriers", F.sum(F.when(eligible & (F.col("coverage") >= COVERED), 1).otherwise(0)).over(of_child))
@@ -160,11 +230,11 @@ def score_edges(feats: DataFrame, pairs: DataFrame) -> DataFrame:
     grams = rows.where(eligible).select("parent", "child", F.explode("common").alias("gram"))
     only = grams.groupBy("child", "gram").agg(F.count(F.lit(1)).alias("n"), F.min("parent").alias("parent")).where("n = 1").groupBy("parent", "child").agg(F.count(F.lit(1)).alias("unique_phrases"))
     rows = rows.drop("common").join(only, ["parent", "child"], "left").withColumn("unique_phrases", F.coalesce("unique_phrases", F.lit(0)))
-    link = F.col("link")
+    link, variants = F.col("link"), F.col("variants")
     fabricated = F.when(F.col("coverage") >= COVERED, maths.rarity(F.lit(0.35), F.col("carriers"))).otherwise(F.lit(0.1) * F.col("coverage"))
-    confidence = maths.noisy_or(F.when(link, 0.6).otherwise(0.0), fabricated, F.lit(0.0), maths.capped(0.3, F.lit(0.05) * F.col("unique_phrases")), maths.capped(0.15, F.col("similarity") * 0.3))
+    confidence = maths.noisy_or(F.when(link, 0.6).otherwise(0.0), fabricated, maths.capped(0.3, F.lit(0.15) * variants), maths.capped(0.3, F.lit(0.05) * F.col("unique_phrases")), maths.capped(0.15, F.col("similarity") * 0.3))
     known = F.col("ordering").isin("strict", "from-link") | link
-    tied = link | (F.col("coverage") >= COVERED)
+    tied = link | (F.col("coverage") >= COVERED) | (variants > 0)
     timed = F.when(F.col("ordering") == "same-time", F.least(confidence, F.lit(0.6))).when(F.col("ordering") == "unknown", F.least(confidence, F.lit(0.3))).otherwise(confidence)
     dead = F.col("ordering") == "impossible"
     zero = lambda x: F.when(dead, 0.0).otherwise(x)
@@ -175,13 +245,15 @@ def score_edges(feats: DataFrame, pairs: DataFrame) -> DataFrame:
         "ordering",
         "link",
         maths.round3(F.col("coverage")).alias("coverage"),
+        F.col("variants").cast("long").alias("variants"),
         F.when(dead, 0).otherwise(F.col("unique_phrases")).cast("long").alias("unique_phrases"),
         "similarity",
         zero(maths.round3(F.when(tied, timed).otherwise(F.least(timed, F.lit(0.25))))).alias("confidence"),
         zero(maths.round3(timed)).alias("exploratory"),
         no(known & tied).alias("strong"),
-        no(link | (F.col("coverage") > 0) | (F.col("unique_phrases") > 0)).alias("meaningful"),
+        no(link | (F.col("coverage") > 0) | (variants > 0) | (F.col("unique_phrases") > 0)).alias("meaningful"),
         maths.round3((F.col("c_effective") - F.when(F.col("p_exact"), F.col("p_claimed")).otherwise(F.col("p_effective"))) / F.lit(86_400_000.0)).alias("gap_days"),
+        F.when(dead, F.array(F.lit("impossible order"))).otherwise(_reasons(rows, ~tied)).alias("reasons"),
     )
 
 
@@ -198,22 +270,16 @@ def tiers(edges: DataFrame) -> DataFrame:
 
 
 def score_candidates(feats: DataFrame, pairs: DataFrame) -> DataFrame:
-    """C4, per (target, candidate) of pairs (child, parent): the stand-alone scorer."""
-    cols = ["url", "ts_ms", "errors", "s6", "s3", "links"]
-    t, c = _side(feats, "child", "t", [*cols, "text"]), _side(feats, "parent", "c", cols)
+    """C4, per (child, parent) of candidate_pairs(): the stand-alone scorer."""
+    cols = ["ts_ms", "errors", "s3"]
+    t, c = _side(feats, "child", "t", cols), _side(feats, "parent", "c", cols)
     rows = pairs.join(t, "child").join(c, "parent").where("c_ts_ms <= t_ts_ms")
-    wanted = urls.scheme_less_url(F.col("c_url"))
-    link = F.exists("t_links", lambda x: urls.scheme_less_url(x) == wanted) | F.contains(F.lower("t_text"), wanted)
-    rows = rows.withColumn("link", link).drop("t_text").withColumn("similarity", similarity("t_s3", "c_s3")).withColumn("common", F.array_intersect("t_s6", "c_s6")).withColumn("shared", F.array_intersect("t_errors", "c_errors")).drop("t_s3", "c_s3", "t_s6", "c_s6").persist(StorageLevel.MEMORY_AND_DISK)
-    # The pool is every other document that is no later: three of them, and the target itself, from the fourth time on.
-    fourth = feats.where("ts_ms IS NOT NULL").select("ts_ms").orderBy("ts_ms").limit(4).agg(F.when(F.count(F.lit(1)) == 4, F.max("ts_ms")).alias("fourth"))
-    grams = rows.join(F.broadcast(fourth)).where("t_ts_ms >= fourth").select("parent", "child", F.explode("common").alias("gram"))
-    rare = grams.groupBy("child", "gram").agg(F.count(F.lit(1)).alias("n"), F.min("parent").alias("parent")).where("n = 1").groupBy("parent", "child").agg(F.count(F.lit(1)).alias("rare"))
+    rows = rows.withColumn("similarity", similarity("t_s3", "c_s3")).withColumn("shared", F.array_intersect("t_errors", "c_errors")).drop("t_s3", "c_s3", "t_errors", "c_errors").where(f"link OR rare > 0 OR size(shared) > 0 OR similarity >= {LEAST_SIMILARITY}").persist(StorageLevel.MEMORY_AND_DISK)
     errors = rows.select("parent", "child", F.explode("shared").alias("error"))
     counts = errors.groupBy("child", "error").agg(F.count(F.lit(1)).alias("n"))
     weights = errors.join(counts, ["child", "error"]).groupBy("parent", "child").agg(F.array_sort(F.collect_list(F.struct("error", "n"))).alias("e")).select("parent", "child", F.least(F.lit(0.7), maths.noisy_or_of(F.transform("e", lambda x: F.lit(0.5) / x["n"]))).alias("errors_weight"), F.size("e").alias("n_errors"))
-    rows = rows.join(rare, ["parent", "child"], "left").join(weights, ["parent", "child"], "left")
-    rare_n, error_n = F.coalesce("rare", F.lit(0)), F.coalesce("n_errors", F.lit(0))
+    rows = rows.join(weights, ["parent", "child"], "left")
+    rare_n, error_n = F.col("rare"), F.coalesce("n_errors", F.lit(0))
     confidence = maths.noisy_or(F.when(F.col("link"), 0.6).otherwise(0.0), F.coalesce("errors_weight", F.lit(0.0)), maths.capped(0.25, F.lit(0.04) * rare_n), maths.capped(0.15, F.col("similarity") * 0.3))
     strong = F.col("link") | (error_n > 0)
     weak = F.when(strong, confidence).otherwise(F.least(confidence, F.when(rare_n > 0, 0.4).otherwise(0.25)))
@@ -222,7 +288,8 @@ def score_candidates(feats: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def best_parents(targets: DataFrame, scored: DataFrame) -> DataFrame:
-    """C4's answer, one row per target: parent (null under .15), confidence (less if the runner-up is near) and type."""
+    """C4's answer, one row per target: parent (null under .15), confidence (less if the runner-up is near) and type.  A target without a
+    parent has the confidence of its best candidate; those that score under .1 by similarity alone are not among them (see candidate_pairs)."""
     order = Window.partitionBy("child").orderBy(F.desc("confidence"), F.desc("ts_ms"), "parent")
     best = scored.withColumn("n", F.row_number().over(order)).withColumn("next", F.lead("confidence").over(order)).where("n = 1")
     final = F.when(F.col("confidence") - F.col("next") <= 0.05, maths.round3(F.col("confidence") * 0.6)).otherwise(F.col("confidence"))
@@ -236,47 +303,74 @@ def best_parents(targets: DataFrame, scored: DataFrame) -> DataFrame:
     )
 
 
-def validate(feats: DataFrame, pairs: DataFrame, pool_grams: DataFrame | None = None) -> DataFrame:
+def to_edges(answers: DataFrame) -> DataFrame:
+    """The edges of best_parents()."""
+    return answers.where("parent IS NOT NULL").select("parent", "child", "confidence", "type")
+
+
+def validate(feats: DataFrame, pairs: DataFrame, mirrors: DataFrame | None = None, pool_grams: DataFrame | None = None) -> DataFrame:
     """The inspection of each (parent, child): eight signals, their weights and the verdict.
 
-    pool_grams(gram, n): in how many documents of the pool each 6-gram occurs; by default, the whole table."""
-    rows = ordered_pairs(feats, pairs, ["fabricated", "g6", "fingerprint", "title_key", "body_key"])
+    mirrors(id, url): all URLs of each document, by default its own.  pairs may have passage (the text that the child is said to have taken:
+    C13) and reference_url (where the proposal said that it was: C10).  pool_grams(gram, n): in how many documents of the pool each
+    6-gram occurs; by default, the whole table."""
+    for column in ("passage", "reference_url"):
+        if column not in pairs.columns:
+            pairs = pairs.withColumn(column, F.lit(None).cast("string"))
+    mirrors = feats.select("id", "url") if mirrors is None else mirrors
+    rows = ordered_pairs(feats, pairs, ["fabricated", "citation_variants", "g6", "fingerprint", "title_key", "body_key"])
+    rows = rows.withColumn("common", F.array_intersect("p_g6", "c_g6")).persist(StorageLevel.MEMORY_AND_DISK)
+    grams = rows.select("parent", "child", F.explode("common").alias("gram"))
     if pool_grams is None:
-        pool_grams = feats.select(F.explode("g6").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rows = rows.withColumn("common", F.array_intersect("p_g6", "c_g6"))
-    only = rows.select("parent", "child", F.explode("common").alias("gram")).join(pool_grams.where("n = 2").select("gram"), "gram", "left_semi").groupBy("parent", "child").agg(F.count(F.lit(1)).alias("phrases"))
+        # Only the grams that pairs share are counted in the pool.
+        asked = feats.select(F.explode("g6").alias("gram")).join(grams.select("gram").distinct(), "gram", "left_semi")
+        pool_grams = asked.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    only = grams.join(pool_grams.where("n = 2").select("gram"), "gram", "left_semi").groupBy("parent", "child").agg(F.count(F.lit(1)).alias("phrases"))
     n = F.size("c_fabricated")
-    shared = F.size(F.array_intersect("p_fabricated", "c_fabricated"))
+    shared, variants = F.size(F.array_intersect("p_fabricated", "c_fabricated")), F.size(F.array_intersect("p_citation_variants", "c_citation_variants"))
     carried = feats.select("id", F.explode("fabricated").alias("e"))
     need = rows.select("child", F.explode("c_fabricated").alias("e")).distinct()
     carriers = (
         need.join(carried, "e").where("id <> child").groupBy("child", "id").agg(F.count(F.lit(1)).alias("k"))
         .join(feats.select(F.col("id").alias("child"), F.size("fabricated").alias("size")), "child").where(F.col("k") / F.col("size") >= COVERED).groupBy("child").agg(F.count(F.lit(1)).alias("carriers"))
     )
-    rows = rows.join(only, ["parent", "child"], "left").join(carriers, "child", "left")
+    both = [x for x in ("parent", "child")]
+    asked = pairs.select("child").distinct().join(feats.select(F.col("id").alias("child")), "child", "left_semi").select(F.col("child").alias("id"))
+    their_urls = mirrors.join(pairs.select(F.col("parent").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("parent"), "url")
+    linked = url_pairs(their_urls, feats.join(asked, "id", "left_semi"), lambda u: F.lower(urls.bare_url(u))).withColumn("link", F.lit(True))
+    named = pairs.where("reference_url IS NOT NULL").select(*both, urls.canonical_url(F.col("reference_url")).alias("u")).join(their_urls.select("parent", urls.canonical_url(F.col("url")).alias("u")), ["parent", "u"], "left_semi").select(*both).distinct().withColumn("resolved", F.lit(True))
+    grams5 = lambda c: text.hashed_grams(text.words(c), 5)
+    parents5 = feats.join(pairs.where("passage IS NOT NULL").select(F.col("parent").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("parent"), grams5(F.col("text")).alias("p_g5"))
+    passages = pairs.where("passage IS NOT NULL").select(*both, grams5(F.col("passage")).alias("g5")).join(parents5, "parent").where("size(g5) > 0").select(*both, maths.round3(F.size(F.array_intersect("g5", "p_g5")) / F.size("g5")).alias("overlap"))
+    for more, on in ((only, both), (carriers, ["child"]), (linked, both), (named, both), (passages, both)):
+        rows = rows.join(more, on, "left")
     coverage = F.when(n > 0, shared / n).otherwise(0.0)
     discount = F.sqrt(F.greatest(F.lit(1), F.coalesce("carriers", F.lit(0))))
-    link = F.exists("c_links", lambda x: urls.canonical_url(x) == urls.canonical_url(F.col("p_url"))) | F.contains(F.col("c_body_key"), F.lower(urls.bare_url(F.col("p_url"))))
     titled = (F.char_length("p_title_key") >= 12) & (F.size(F.split("p_title_key", " ")) >= 3) & F.contains(F.col("c_body_key"), F.col("p_title_key"))
-    fabrications = maths.round3(maths.capped(0.7, maths.noisy_or(F.when(coverage >= COVERED, F.lit(0.35) / discount).otherwise(F.lit(0.1) * coverage), F.lit(0.0), maths.capped(0.3, F.lit(0.2) * shared / discount))))
+    set_weight = F.when(coverage >= COVERED, F.lit(0.35) / discount).otherwise(F.lit(0.1) * coverage)
+    fabrications = maths.round3(maths.capped(0.7, maths.noisy_or(set_weight, maths.capped(0.3, F.lit(0.15) * variants), maths.capped(0.3, F.lit(0.2) * shared / discount))))
     rows = rows.select(
         "parent",
         "child",
         "ordering",
         (F.col("p_fingerprint") != F.col("c_fingerprint")).alias("distinct_artifact"),
-        link.alias("link"),
+        F.coalesce("link", F.lit(False)).alias("link"),
         titled.alias("titled"),
-        F.when(shared > 0, fabrications).otherwise(0.0).alias("fabrications"),
+        F.when(F.col("reference_url").isNull(), "not-applicable").when(F.col("resolved"), "passed").otherwise("failed").alias("canonical_metadata"),
+        F.when((shared > 0) | (variants > 0), fabrications).otherwise(0.0).alias("fabrications"),
         F.coalesce("phrases", F.lit(0)).alias("phrases"),
+        "overlap",
     )
-    out_of = (~F.col("distinct_artifact")) | (F.col("ordering") == "impossible")
+    out_of = (~F.col("distinct_artifact")) | (F.col("ordering") == "impossible") | (F.col("canonical_metadata") == "failed")
     phrasing = maths.round3(maths.capped(0.3, F.lit(0.05) * F.col("phrases")))
-    raw = maths.noisy_or(F.when(F.col("link"), 0.6).otherwise(0.0), F.when(F.col("titled"), 0.45).otherwise(0.0), F.col("fabrications"), phrasing)
+    covered = F.coalesce(F.col("overlap") >= 0.5, F.lit(False))
+    passage = F.when(covered, maths.round3(maths.capped(0.2, F.lit(0.25) * F.col("overlap")))).otherwise(0.0)
+    raw = maths.noisy_or(F.when(F.col("link"), 0.6).otherwise(0.0), F.when(F.col("titled"), 0.45).otherwise(0.0), F.col("fabrications"), phrasing, passage)
     strong = F.col("link") | F.col("titled") | (F.col("fabrications") > 0)
     directed = F.col("ordering").isin("strict", "from-link") | F.col("link")
     capped = F.when(strong, raw).otherwise(F.least(raw, F.lit(0.25)))
     capped = F.when(F.col("ordering") == "unknown", F.least(capped, F.lit(0.3))).when(F.col("ordering") == "same-time", F.least(capped, F.lit(0.6))).otherwise(capped)
-    none = ~strong & (F.col("phrases") == 0)
+    none = ~strong & (F.col("phrases") == 0) & ~covered
     relation = (
         F.when(out_of, "contradicted").when(none, "unsupported").when(strong & directed & (capped >= ACCEPTED), "propagation").when(strong & ~directed, "shared-source").otherwise("similarity")
     )
@@ -289,5 +383,5 @@ def validate(feats: DataFrame, pairs: DataFrame, pool_grams: DataFrame | None =
 
 def with_titles(feats: DataFrame) -> DataFrame:
     """What validate() also needs: the text's key, and its first line as title."""
-    key = text.match_key(F.col("text"))
-    return feats.withColumn("body_key", key).withColumn("title_key", text.match_key(F.regexp_extract("text", r"^[^\n]*", 0)))
+    title = text.match_key(F.regexp_extract("text", r"^[^\n]*", 0))
+    return feats.withColumn("body_key", text.match_key(F.col("text"))).withColumn("title_key", title)

@@ -18,16 +18,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _passages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The corpus, and the stated query set: the passage (T40, without citations) of every document whose id is divisible by 20."""
     docs = corpus(spark, sf_dir).select("id", "text")
-    none = F.array().cast("array<string>")
-    return docs, docs.where("id % 20 = 0").select(F.col("id").alias("query"), text.words(text.choose_passage(F.col("text"), none, none)).alias("words"))
-
-
-def cited_queries(docs: DataFrame, cited: DataFrame, known: DataFrame) -> DataFrame:
-    """The reference's queryText for docs(id, text): the passage with most citations, and the citations, as query, words."""
-    names = cited.select("id", F.explode("citations").alias("c")).join(known.select(F.col("id").alias("c"), F.col("text").alias("name")), "c").groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("names"))
-    rows = docs.join(names, "id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
-    passage = text.choose_passage(F.col("text"), F.col("names"), F.array().cast("array<string>"))
-    return rows.select(F.col("id").alias("query"), text.words(F.concat_ws(" ", passage, "names")).alias("words"))
+    nobody = docs.select("id", F.array().cast("array<bigint>").alias("citations"))
+    return docs, retrieval.queries_of(docs.where("id % 20 = 0"), nobody, known_errors(spark, sf_dir))
 
 
 def a04_mirrors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,9 +36,8 @@ def c21_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus(spark, sf_dir).select("id", "text")
     known = known_errors(spark, sf_dir)
     cited = docs.select("id", scoring.contained(text.match_key(F.col("text")), scoring.known_keys(spark, known), "match").alias("citations"))
-    asked = "id % 20 = 0"
-    shared = retrieval.shared_citations(cited).where("query % 20 = 0")
-    return retrieval.fuse(retrieval.bm25(docs, F.col("text"), cited_queries(docs.where(asked), cited.where(asked), known), 10), shared)
+    asked = docs.where("id % 20 = 0")
+    return retrieval.related(docs, F.col("text"), retrieval.queries_of(asked, cited.join(asked, "id", "left_semi"), known), cited)
 
 
 def c22_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,10 +127,13 @@ def a16_run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def c16_build_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One run per known error: its carriers, scored and assembled.  Order matters, so SQL has no twin; see the tests."""
-    feats = scoring.features(corpus(spark, sf_dir), known_errors(spark, sf_dir))
-    edges = scoring.score_edges(feats, scoring.candidate_pairs(feats))
+    docs, _ = scoring.artifacts(corpus(spark, sf_dir))
+    known = known_errors(spark, sf_dir)
+    feats = scoring.features(docs, known)
+    edges = scoring.score_edges(feats, scoring.retrieved_pairs(feats, known))
     member = feats.select("id", F.explode("fabricated").alias("run"))
-    rows = edges.join(member.select(F.col("id").alias("child"), "run"), "child").join(member.select(F.col("id").alias("parent"), "run"), ["parent", "run"]).join(feats.select(F.col("id").alias("child"), F.col("ts_ms").alias("child_ms")), "child")
+    times = scoring.timings(feats).select(F.col("id").alias("child"), F.col("effective").alias("child_ms"))
+    rows = edges.join(member.select(F.col("id").alias("child"), "run"), "child").join(member.select(F.col("id").alias("parent"), "run"), ["parent", "run"]).join(times, "child")
     return lineage.build_trees(rows.select("run", "parent", "child", "confidence", "strong", (F.col("ordering") == "impossible").alias("impossible"), "link", "child_ms"))
 
 
@@ -204,7 +198,7 @@ ORACLES = {
     "g07_roots": f"WITH {CORPUS_SQL}, {_LINKS} SELECT id FROM corpus WHERE id NOT IN (SELECT child FROM lk)",
     "g08_depths": f"WITH RECURSIVE {_TREE}, {_REACH} SELECT doc_id AS id, coalesce(max(depth), 0) AS depth FROM documents LEFT JOIN r ON node = doc_id GROUP BY doc_id",
     "g09_primary_parents": "WITH o AS (SELECT doc_id AS child, unnest([doc_id // 2, doc_id // 3]) AS parent FROM documents WHERE doc_id > 3) SELECT child, parent FROM (SELECT *, row_number() OVER (PARTITION BY child ORDER BY parent % 2, parent % 7 / 7.0 DESC, parent) AS n FROM o) WHERE n = 1",
-    "g11_components": f"WITH {CORPUS_SQL}, {_LINKS}, m AS (SELECT id, coalesce(parent, id) AS component FROM corpus LEFT JOIN lk ON child = id) SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM m",
+    "g11_components": f"WITH RECURSIVE {CORPUS_SQL}, {_LINKS}, up AS (SELECT id, id AS top FROM corpus UNION ALL SELECT up.id, lk.parent FROM up JOIN lk ON lk.child = up.top), m AS (SELECT id, min(top) AS component FROM up GROUP BY id) SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM m",
     "t06_case_names": "SELECT item_id, 'Abel v. Cain-' || item_id || '|Roe v. Smith' AS value FROM benchmark",
     "w07_earlier_turns": "SELECT conv_id, turn, lag(role) OVER w AS before, coalesce(max(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS user_before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
 }
