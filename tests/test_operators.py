@@ -1,6 +1,5 @@
 """Hand-made cases for the scorers, the folds, the walks and the date rules."""
 
-import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -29,10 +28,11 @@ def test_edge_with_link_and_phrases(spark):
         "id long, text string, url string, ts_ms long, links array<string>",
     )
     feats = scoring.features(docs)
-    rows = {(r["parent"], r["child"]): r for r in scoring.tiers(scoring.score_edges(feats, scoring.candidate_pairs(feats))).collect()}
+    rows = {(r["parent"], r["child"]): r for r in scoring.tiers(scoring.score_edges(feats, spark.createDataFrame([(1, 2), (2, 1)], "parent long, child long"))).collect()}
     edge = rows[1, 2]
     assert (edge["ordering"], edge["unique_phrases"], edge["gap_days"], edge["tier"], edge["type"]) == ("from-link", 4, 2.0, "validated", "propagation")
     want = 1 - 0.4 * 0.8 * (1 - min(0.15, edge["similarity"] * 0.3))
+    assert edge["reasons"] == ["2 links to 1", "4 copied 6-word phrases (outside quotations) found in no other possible parent", f"word overlap {edge['similarity']}", "2 links to a page published on or after 1970-01-03, so it follows 1"][:3]
     assert edge["confidence"] == int(want * 1000 + 0.5) / 1000
     assert rows[2, 1]["ordering"] == "impossible" and rows[2, 1]["confidence"] == 0
 
@@ -50,18 +50,37 @@ def test_backdated_page_is_bounded_by_its_links(spark):
     assert got == {1: (5 * DAY, True), 2: (5 * DAY, False), 3: (5 * DAY, False)}
 
 
-def test_tree_keeps_explicit_links_and_refuses_cycles():
-    row = lambda p, c, conf, link, ms: {"parent": p, "child": c, "confidence": conf, "strong": True, "impossible": False, "link": link, "child_ms": ms}
-    got = lineage.assemble(pd.DataFrame([row(1, 2, 0.7, True, 1), row(3, 2, 0.65, True, 1), row(2, 3, 0.9, True, 2), row(1, 4, 0.5, False, 3), row(2, 4, 0.48, False, 3)]))
-    status = {(r.parent, r.child): (r.status, r.confidence) for r in got.itertuples()}
+def test_tree_keeps_explicit_links_and_refuses_cycles(spark):
+    rows = [(1, 1, 2, 0.7, True, False, True, 1), (1, 3, 2, 0.65, True, False, True, 1), (1, 2, 3, 0.9, True, False, True, 2), (1, 1, 4, 0.5, True, False, False, 3), (1, 2, 4, 0.48, True, False, False, 3), (1, 3, 4, 0.9, False, False, False, 3), (1, 5, 4, 0.9, True, True, False, 3), (1, 6, 4, 0.2, True, False, False, 3)]
+    got = lineage.build_trees(spark.createDataFrame(rows, "run long, parent long, child long, confidence double, strong boolean, impossible boolean, link boolean, child_ms long")).collect()
+    status = {(r.parent, r.child): (r.status, r.confidence, r.place) for r in got}
     assert status[1, 2][0] == status[3, 2][0] == "accepted" and status[2, 3][0] == "cycle"
-    assert status[1, 4] == ("accepted", 0.4) and status[2, 4][0] == "weaker"
+    assert status[1, 4] == ("accepted", 0.4, None) and status[2, 4] == ("weaker", 0.48, 3)
+    assert {k[0]: v[::2] for k, v in status.items() if k[1] == 4 and v[2]} == {3: ("insufficient", 1), 5: ("impossible", 2), 2: ("weaker", 3), 6: ("below", 4)}
 
 
-def test_reconstruction_refuses_duplicates_and_cycles():
-    rows = pd.DataFrame([(1, 2, True, False, 0.5, 0, 1), (1, 2, True, False, 0.4, 0, 1), (2, 1, True, False, 0.5, 1, 0), (1, 3, False, False, 0.1, 0, 2)], columns=["parent", "child", "accepted", "impossible", "confidence", "parent_ms", "child_ms"])
-    got = {(r.parent, r.child, r.confidence): r.status for r in lineage.reconstruct(rows).itertuples()}
-    assert got == {(1, 2, 0.5): "accepted", (1, 2, 0.4): "duplicate", (2, 1, 0.5): "cycle", (1, 3, 0.1): "not accepted"}
+def test_accepted_edges_never_close_a_cycle(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(run, rng.randint(1, 9), rng.randint(1, 9), rng.randint(1, 100) / 100, True, False, True, rng.randint(0, 5)) for run in range(5) for _ in range(40)]
+    got = lineage.build_trees(spark.createDataFrame(rows, "run long, parent long, child long, confidence double, strong boolean, impossible boolean, link boolean, child_ms long")).collect()
+    for run in range(5):
+        edges = {(r.parent, r.child) for r in got if r.run == run and r.status == "accepted"}
+        closed = set(edges)
+        while more := {(a, d) for a, b in closed for c, d in edges if b == c} - closed:
+            closed |= more
+        assert edges and not any(a == b for a, b in closed)
+        # What was refused as a cycle would have closed one.
+        for r in got:
+            if r.run == run and r.status == "cycle":
+                assert r.parent == r.child or (r.child, r.parent) in closed
+
+
+def test_reconstruction_refuses_duplicates_and_cycles(spark):
+    rows = [(7, 1, 2, True, False, 0.5, 0, 1), (7, 1, 2, True, False, 0.4, 0, 1), (7, 2, 1, True, False, 0.5, 1, 0), (7, 1, 3, False, False, 0.1, 0, 2), (7, 2, 3, True, True, 0.6, 1, 2)]
+    got = lineage.reconstruct(spark.createDataFrame(rows, "run long, parent long, child long, accepted boolean, impossible boolean, confidence double, parent_ms long, child_ms long")).collect()
+    assert {(r.parent, r.child, r.confidence): r.status for r in got} == {(1, 2, 0.5): "accepted", (1, 2, 0.4): "duplicate", (2, 1, 0.5): "cycle", (1, 3, 0.1): "not accepted", (2, 3, 0.6): "impossible order"}
 
 
 def test_rejected_proposals_use_up_no_cap():
@@ -139,40 +158,98 @@ def test_stream_keeps_each_text_once(spark, tmp_path):
     assert spark.table("kept").count() == 2
 
 
-def brute_candidates(spark, docs, known):
-    """C4 over every earlier document, without a join on evidence."""
-    feats = scoring.features(docs, known)
-    every = feats.select(F.col("id").alias("parent")).crossJoin(feats.select(F.col("id").alias("child"))).where("parent <> child")
-    return feats, every
-
+def brute_parents(rows, known):
+    """C4 by plain loops over every earlier document."""
+    import re
+
+    normal = lambda t: " ".join(re.sub(r"[^a-z0-9.\s-]", " ", re.sub("[‘’“”\"'`]", "", (t or "").lower())).split())
+    grams = lambda t, n: {" ".join(w[i : i + n]) for w in [normal(t).split()] for i in range(len(w) - n + 1)}
+    bare = lambda u: re.sub(r"^https?://(www\.)?", "", u.lower()).rstrip("/")
+    r3, out = (lambda x: int(x * 1000 + 0.5) / 1000), {}
+    for i, t, _, ms, links in rows:
+        eligible = [r for r in rows if r[0] != i and r[3] <= ms]
+        mine = {normal(k) for k in known if normal(k) and normal(k) in normal(t)}
+        scored = []
+        for c in eligible:
+            shared = [m for m in mine if m in normal(c[1])]
+            w = 1.0
+            for m in shared:
+                w *= 1 - 0.5 / sum(m in normal(x[1]) for x in eligible)
+            rare = [g for g in grams(t, 6) & grams(c[1], 6) if sum(g in grams(x[1], 6) for x in eligible) == 1] if len(eligible) >= 3 else []
+            a, b = grams(t, 3), grams(c[1], 3)
+            sim = r3(len(a & b) / len(a | b)) if a and b else 0.0
+            link = any(bare(x) == bare(c[2]) for x in links) or bare(c[2]) in t.lower()
+            conf = 1 - (0.4 if link else 1) * (1 - min(0.7, 1 - w)) * (1 - min(0.25, 0.04 * len(rare))) * (1 - min(0.15, sim * 0.3))
+            if not (link or shared):
+                conf = min(conf, 0.4 if rare else 0.25)
+            scored.append((-r3(min(conf, 0.6) if c[3] == ms else conf), -c[3], c[0]))
+        scored.sort()
+        best = -scored[0][0] if scored else 0
+        ambiguous = len(scored) > 1 and best + scored[1][0] <= 0.05
+        out[i] = (scored[0][2], r3(best * 0.6) if ambiguous else best) if best >= 0.15 else None
+    return out
+
+
+def test_parents_are_those_of_all_pairs(spark):
+    """A known error in different texts, a rare six-gram, a short text within a long one, URLs, times that tie; then made-up texts."""
+    import random
 
-def test_pairs_share_any_evidence(spark):
-    """A known error in different texts, a rare six-gram, a short text within a long one, and a URL in the text; against all pairs."""
     long = " ".join(f"w{i}x" for i in range(300))
-    docs = spark.createDataFrame(
-        [
-            (1, "entirely separate beginnings hold the moon is made of cheese", "https://a.test/1", 0, []),
-            (2, "The moon is made of cheese! some other ending altogether here", "https://www.b.test/2/", DAY, []),
-            (3, long, "https://c.test/3", 2 * DAY, []),
-            (4, " ".join(f"w{i}x" for i in range(150, 162)), "https://d.test/4", 3 * DAY, []),
-            (5, "we read (https://A.test/1), yes", "https://e.test/5", 4 * DAY, []),
-            (6, "nothing in common whatever", "https://f.test/6", 5 * DAY, []),
-            (7, "made of cheese", "https://g.test/7", 6 * DAY, []),
-            (8, "nothing in common whatever", "https://h.test/8", 6 * DAY, []),
-        ],
-        "id long, text string, url string, ts_ms long, links array<string>",
-    )
-    feats, every = brute_candidates(spark, docs, [(1, "The moon is made of cheese")])
-    pairs = scoring.candidate_pairs(feats)
-    got = {tuple(r) for r in pairs.collect()}
-    assert {(1, 2), (3, 4), (1, 5), (6, 8), (2, 7)} <= got and (3, 6) not in got
-    for score in (lambda p: scoring.score_candidates(feats, p), lambda p: scoring.tiers(scoring.score_edges(feats, p))):
-        weigh = lambda rows: {tuple(r) for r in rows.where("confidence > 0").collect()}
-        assert weigh(score(pairs)) == weigh(score(every)) != set()
-    best = lambda p: {tuple(r) for r in scoring.best_parents(feats, scoring.score_candidates(feats, p)).collect()}
-    assert best(pairs) == best(every)
-    parents = {r[0]: r[1] for r in best(pairs)}
-    assert (parents[2], parents[4], parents[5]) == (1, 3, 1)
+    schema = "id long, text string, url string, ts_ms long, links array<string>"
+    made = [
+        (1, "entirely separate beginnings hold the moon is made of cheese", "https://a.test/1", 0, []),
+        (2, "The moon is made of cheese! some other ending altogether here", "https://www.b.test/2/", DAY, []),
+        (3, long, "https://c.test/3", 2 * DAY, []),
+        (4, " ".join(f"w{i}x" for i in range(150, 162)), "https://d.test/4", 3 * DAY, []),
+        (5, "we read (https://A.test/1), yes", "https://e.test/5", 4 * DAY, []),
+        (6, "nothing in common whatever", "https://f.test/6", 5 * DAY, []),
+        (7, "made of cheese", "https://g.test/7", 6 * DAY, []),
+        (8, "nothing in common whatever", "https://h.test/8", 6 * DAY, []),
+    ]
+    rng = random.Random(6)
+    base = [" ".join(rng.choices("abcdefgh", k=30)) for _ in range(4)]
+    mixed = [(i, " ".join(rng.choice(base).split()[rng.randint(0, 9) :][: rng.randint(2, 30)] + rng.choices("abcdxyz", k=rng.randint(0, 6))), f"https://h{i % 3}.test/{i}", rng.randint(0, 6) * DAY, [f"https://h{j % 3}.test/{j}" for j in [rng.randint(0, 39)] if rng.random() < 0.2]) for i in range(40)]
+    for rows, known in ((made, ["The moon is made of cheese"]), (mixed, ["a b", "b c d", "a  B"])):
+        feats = scoring.features(spark.createDataFrame(rows, schema), list(enumerate(known)))
+        got = scoring.best_parents(feats, scoring.score_candidates(feats, scoring.candidate_pairs(feats))).collect()
+        assert {r["child"]: (r["parent"], r["confidence"]) if r["parent"] is not None else None for r in got} == brute_parents(rows, known)
+
+
+def test_full_width_and_ligatures_are_folded(spark):
+    """T1-T12 apply NFKC: what only looks different is the same."""
+    odd, plain = "Ｔhe ﬁrst “ＯＮＥ”\u3000of ２０２４", 'The first "ONE" of 2024'
+    for f in (text.canonical_text, text.match_key, text.words, text.case_key, text.unquoted, text.unit_key, text.unicode_words):
+        assert one(spark, f(F.lit(odd)), f(F.lit(plain)))[0] == one(spark, f(F.lit(plain)))[0]
+    assert one(spark, text.content_fingerprint(F.lit("ﬁ  ２")))[0] == one(spark, text.content_fingerprint(F.lit("fi 2")))[0]
+    df = text.stable(spark.createDataFrame([(odd, 1), (None, 2)], "t string, n int"), "t")
+    assert [tuple(r) for r in df.collect()] == [("The first “ONE” of 2024", 1), (None, 2)]
+
+
+def test_variants_of_citations(spark):
+    known = ["Abel v. Cainson", "Roe v. Smith", "Abel v. Cainsen"]
+    body = "See Abel v. Cainson. In Abel v. Cainsons, and Roe v. Smith; Roe v. Smyth. Abel v. Other."
+    got = spark.createDataFrame([(body,), (None,), ("",)], "t string").select(F.col("t"), walks.matched_citations(spark, known)("t").alias("m")).collect()
+    assert got[0]["m"]["citations"] == ["Abel v. Cainson", "Roe v. Smith"] and got[0]["m"]["variants"] == ["Abel v. Cainsons", "Roe v. Smyth"]
+    assert got[1]["m"]["case_names"] == got[2]["m"]["case_names"] == []
+    for a, b in (("cainson", "cainsen"), ("abc", "xbcd"), ("", "ab"), ("kitten", "sitting")):
+        full = one(spark, F.levenshtein(F.lit(a), F.lit(b)))[0]
+        assert (walks.edits(a, b, 2) <= 2) == (full <= 2) and (full > 2 or walks.edits(a, b, 2) == full)
+
+
+def test_validation_signals(spark):
+    schema = "id long, text string, url string, ts_ms long, links array<string>, citation_variants array<string>"
+    rows = [
+        (1, "A long title of this document\nthe quick brown fox jumps over the lazy dog today and here", "https://a.test/1", 0, [], ["Abel v. Cainsen"]),
+        (2, "other words first\nthe quick brown fox jumps over the lazy dog today and there", "https://b.test/2", DAY, ["https://mirror.test/one/"], ["Abel v. Cainsen"]),
+    ]
+    feats = scoring.with_titles(scoring.features(spark.createDataFrame(rows, schema)))
+    mirrors = spark.createDataFrame([(1, "https://a.test/1"), (1, "https://www.mirror.test/one"), (2, "https://b.test/2")], "id long, url string")
+    pairs = spark.createDataFrame([(1, 2, "the quick brown fox jumps over the lazy dog", "https://mirror.test/one?utm_x=1")], "parent long, child long, passage string, reference_url string")
+    got = scoring.validate(feats, pairs, mirrors).collect()[0]
+    assert (got["link"], got["canonical_metadata"], got["overlap"], got["phrases"], got["accepted"]) == (True, "passed", 1.0, 6, True)
+    assert got["fabrications"] == 0.15
+    other = scoring.validate(feats, pairs.withColumn("reference_url", F.lit("https://else.test/")), mirrors).collect()[0]
+    assert (other["canonical_metadata"], other["relationship"], other["confidence"]) == ("failed", "contradicted", 0.0)
 
 
 def test_known_errors_of_any_number(spark):
@@ -181,21 +258,19 @@ def test_known_errors_of_any_number(spark):
     texts = ["claim 7 holds and claim 1499 holds", "CLAIM 12 HOLDS", "claim 12 hold", None, "", "so ÜNÏ - test", "claim 1 holdsx"]
     docs = spark.createDataFrame([(i, t, f"https://a.test/{i}", 0, []) for i, t in enumerate(texts)], "id long, text string, url string, ts_ms long, links array<string>")
     got = {r["id"]: r["fabricated"] for r in scoring.features(docs, items).select("id", "fabricated").collect()}
-    assert got == {0: [7, 1499, 2001], 1: [12], 2: [], 3: [], 4: [], 5: [2003], 6: [1, 2000]}
+    assert got == {0: [7, 1499], 1: [12], 2: [], 3: [], 4: [], 5: [2003], 6: [1, 2000]}
     known = scoring.known_keys(spark, items)
     blocks = list(walks.key_blocks(known.select("id", "match"), 50_000))
     keys = [(k.decode(), i) for b in blocks for k, v in b.items() for i in v]
-    assert len(blocks) > 1 and len(keys) == 1503
+    assert len(blocks) > 1 and len(keys) == 1502
     for body in ("claim 7 holds and claim 1499 holds", "ünï - test"):
         assert sorted(i for b in blocks for i in walks.Keys(b).within(body)) == sorted(i for k, i in keys if k in body)
 
 
 def test_query_is_passage_and_citations(spark):
     """The first paragraph, even after empty lines; with citations, the paragraph that has most, and their names."""
-    from tracewell.plans import graphs
-
     docs = spark.createDataFrame([(20, "\n\nplain start\nlater"), (40, "plain start\nhere Abel v Cain\nhere Abel v Cain and Roe v Doe"), (60, "")], "id long, text string")
     known = spark.createDataFrame([(1, "Abel v Cain"), (2, "Roe v Doe"), (3, "Not cited")], "id long, text string")
     cited = docs.select("id", scoring.contained(text.match_key(F.col("text")), scoring.known_keys(spark, known), "match").alias("citations"))
-    got = {r["query"]: r["words"] for r in graphs.cited_queries(docs, cited, known).collect()}
+    got = {r["query"]: r["words"] for r in retrieval.queries_of(docs, cited, known).collect()}
     assert got == {20: ["plain", "start"], 40: "here abel v cain and roe v doe abel v cain roe v doe".split(), 60: []}

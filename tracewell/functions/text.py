@@ -66,9 +66,8 @@ def match_key(c: Column, compat: bool = True) -> Column:
 
 def words(c: Column, compat: bool = True) -> Column:
     """ASCII words, numbers, dots and dashes, without dots and dashes at a word's ends."""
-    kept = F.regexp_replace(match_key(c, compat), r"[^a-z0-9.\s-]", " ")
-    bare = F.regexp_replace(F.regexp_replace(kept, r"(^|\s)[.-]+", "$1"), r"[.-]+(\s|$)", "$1")
-    return F.filter(F.split(bare, r"\s+"), lambda w: w != "")
+    c = F.lower(F.translate(nfkc(c) if compat else c, DASHES, "-" * len(DASHES)))
+    return F.regexp_extract_all(c, F.lit(r"[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?"), F.lit(0))
 
 
 def shingles(w: Column, n: int) -> Column:
@@ -149,7 +148,7 @@ def scorer_text(c: Column) -> Column:
 
 
 def scorer_words(c: Column) -> Column:
-    return F.filter(F.split(scorer_text(c), " "), lambda w: w != "")
+    return F.regexp_extract_all(F.translate(F.lower(c), QUOTES_DROPPED, ""), F.lit(r"[a-z0-9.-]+"), F.lit(0))
 
 
 def unicode_words(c: Column) -> Column:

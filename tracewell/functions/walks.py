@@ -16,8 +16,11 @@ from tracewell.functions.text import DASHES, DOUBLE_QUOTES, SINGLE_QUOTES
 
 _SWAP = str.maketrans({**dict.fromkeys(SINGLE_QUOTES, "'"), **dict.fromkeys(DOUBLE_QUOTES, '"'), **dict.fromkeys(DASHES, "-")})
 _BLANK = re.compile("[\\s​﻿]+")
-_PARTY = re.compile(r"(?:[A-Z][\w'&.-]*|of|the|de|la|&)", re.A)
-_SIGNALS = frozenset("See Cf In Also Compare Accord But Citing Under Per From And The".split())
+# What a word of a party looks like, its little words, words that open a citation, and the limits of the walk.
+_NAMED = re.compile(r"[A-Z][\w'&.-]*", re.A)
+_LITTLE = frozenset(("of", "the", "de", "la", "&"))
+_OPENERS = frozenset("See Cf In Also Compare Accord But Citing Under Per From And The".split())
+_BEFORE, _AFTER, _WORDS_BEFORE, _WORDS_AFTER = 80, 100, 4, 5
 
 
 def canonical(s: str | None) -> str:
@@ -28,37 +31,100 @@ def words(s: str) -> list[str]:
     return [w for w in (x.strip(".-") for x in re.sub(r"[^a-z0-9.\s-]", " ", canonical(s).lower()).split()) if w]
 
 
-def _trimmed(party: list[str]) -> str:
-    while party and not party[0][:1].isupper():
-        party = party[1:]
-    while party and not party[-1][:1].isupper():
-        party = party[:-1]
-    return re.sub(r"[,;:.)?!]+$", "", " ".join(party))
+def _named_span(flags: list[str]) -> tuple[int, int]:
+    """From the first to behind the last capitalised word of a party, by one letter per word: C capitalised, o little."""
+    line = "".join(flags)
+    return line.find("C"), line.rfind("C") + 1
+
+
+def _kind(word: str) -> str:
+    return "C" if _NAMED.fullmatch(word) else "o" if word in _LITTLE else "-"
+
+
+def _before(chunk: str) -> list[str]:
+    """The party that ends where the chunk does."""
+    words = chunk.split(" ")[-_WORDS_BEFORE:]
+    kinds = [_kind(w) if w and w[-1] not in ",;:." else "-" for w in words]
+    words, kinds = words[(cut := "".join(kinds).rfind("-") + 1) :], kinds[cut:]
+    skip = next((i for i, w in enumerate(words) if w not in _OPENERS), len(words))
+    return [words[skip:][i] for i in range(*_named_span(kinds[skip:]))] if "C" in kinds[skip:] else []
+
+
+def _after(chunk: str) -> list[str]:
+    """The party with which the chunk begins; punctuation behind a word ends it."""
+    words = chunk.split(" ")[:_WORDS_AFTER]
+    bare = [w.rstrip(",;:.)?!") for w in words]
+    ends = next((i + 1 for i, (w, x) in enumerate(zip(words, bare, strict=True)) if w != x), len(words))
+    kinds = "".join(map(_kind, bare[:ends])).split("-")[0]
+    return bare[slice(*_named_span(list(kinds)))] if "C" in kinds else []
 
 
 def case_names(s: str | None) -> list[str]:
     """Names `A v. B`: at most four capitalised words before, five after, up to punctuation; each once, in order."""
-    text, found = canonical(s), {}
-    for m in re.finditer(r"\sv\.\s", text):
-        left: list[str] = []
-        for w in reversed(text[max(0, m.start() - 80) : m.start()].split(" ")):
-            if len(left) == 4 or not w or w[-1] in ",;:." or not _PARTY.fullmatch(w):
-                break
-            left.insert(0, w)
-        right: list[str] = []
-        for w in text[m.end() : m.end() + 100].split(" "):
-            bare = re.sub(r"[,;:.)?!]+$", "", w)
-            if len(right) == 5 or not bare or not _PARTY.fullmatch(bare):
-                break
-            right.append(bare)
-            if bare != w:
-                break
-        while left and left[0] in _SIGNALS:
-            left.pop(0)
-        a, b = _trimmed(left), _trimmed(right)
-        if a and b:
-            found[f"{a} v. {b}"] = True
-    return list(found)
+    text = canonical(s)
+    marks = [i for i in range(len(text) - 3) if text.startswith(" v. ", i)] if " v. " in text else []
+    sides = ((_before(text[max(0, i - _BEFORE) : i]), _after(text[i + 4 : i + 4 + _AFTER])) for i in marks)
+    names = (" v. ".join(re.sub(r"[,;:.)?!]+$", "", " ".join(x)) for x in two) for two in sides if all(two))
+    return list(dict.fromkeys(names))
+
+
+def case_key(s: str) -> str:
+    return re.sub(r"\s*-\s*", "-", canonical(s).lower())
+
+
+def edits(a: str, b: str, most: int) -> int:
+    """T8 up to most, else more: a band of the distance table."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    row = np.arange(len(b) + 1)
+    y = np.array([ord(c) for c in b], np.int64)
+    for i, c in enumerate(a, 1):
+        new = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (y != ord(c)))])
+        row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+        if row.min() > most:
+            return most + 1
+    return int(row[-1])
+
+
+class Citations:
+    """Known citations by key and by first party, in their order."""
+
+    def __init__(self, known: list[str]):
+        self.exact: dict[str, int] = {}
+        self.near: dict[str, list[tuple[int, str]]] = {}
+        self.known = known
+        for i, citation in enumerate(known):
+            key = case_key(citation)
+            self.exact.setdefault(key, i)
+            parties = key.split(" v. ")
+            if len(parties) > 1 and parties[0] and len(parties[1]) >= 5:
+                self.near.setdefault(parties[0], []).append((i, parties[1]))
+
+    def match(self, name: str) -> tuple[str, bool] | None:
+        """The first citation that the name is, or is a misspelling of: the same first party, a second one within two edits."""
+        key = case_key(name)
+        parties = key.split(" v. ")
+        found = [(self.exact[key], False)] if key in self.exact else []
+        if len(parties) > 1 and parties[0] and parties[1]:
+            found += [(i, True) for i, other in self.near.get(parties[0], ()) if edits(parties[1], other, 2) <= 2]
+        best = min(found, default=None)
+        return best and (self.known[best[0]], best[1])
+
+
+def matched_citations(spark, known: list[str]):
+    """T6, T9 on a text column: struct(case_names, citations, variants); known is a request's list."""
+    shared = spark.sparkContext.broadcast(Citations(known))
+    names = ArrayType(StringType())
+
+    @F.pandas_udf(StructType([StructField("case_names", names), StructField("citations", names), StructField("variants", names)]))
+    def matched(s: pd.Series) -> pd.DataFrame:
+        rows = []
+        for found in s.map(case_names):
+            hits = [(n, shared.value.match(n)) for n in found]
+            rows.append((found, list(dict.fromkeys(h[0] for _, h in hits if h)), list(dict.fromkeys(n for n, h in hits if h and h[1]))))
+        return pd.DataFrame(rows, columns=["case_names", "citations", "variants"])
+
+    return matched
 
 
 def longest_common_substring(a: str, b: str) -> int:
@@ -87,11 +153,20 @@ def check_passage(passage: str, page: str, names: list[str], same_url: bool = Tr
     return (True, "contiguous") if enough else (False, "too short a run")
 
 
+# Abbreviations that end no sentence, and what a sentence begins with.
+_ENDS = re.compile(r"[.!?]\s+(?=[\"'(\[A-Z0-9])")
+_NO_END = re.compile(r"(?:\b[vV]|\b(?:Mr|Mrs|Ms|Dr|Prof|No))\.$")
+
+
 def sentences(s: str | None) -> list[str]:
     """Sentences of four words and more; `v.` and titles don't end one."""
-    held = re.sub(r"\b(Mr|Mrs|Ms|Dr|Prof|No)\.\s", "\\1\ue000 ", re.sub(r"\bv\.\s", "v\ue000 ", canonical(s), flags=re.I))
-    parts = re.split(r"(?<=[.!?])\s+(?=[\"'(\[A-Z0-9])", held)
-    return [p for p in (x.replace("\ue000", ".").strip() for x in parts) if len(words(p)) >= 4]
+    text, out, begin = canonical(s), [], 0
+    for m in _ENDS.finditer(text):
+        if not _NO_END.search(text, max(begin, m.start() - 6), m.start() + 1):
+            out.append(text[begin : m.start() + 1])
+            begin = m.end()
+    out.append(text[begin:])
+    return [p.strip() for p in out if len(words(p)) >= 4]
 
 
 def _quoted(s: str) -> str:

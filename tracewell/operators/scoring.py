@@ -38,9 +38,9 @@ def known_keys(spark: SparkSession, known: DataFrame | Sequence[tuple[int, str]]
 def artifacts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """C19 without arrays: of docs(id, url, text, ...), the row of the least id per content fingerprint, and mirrors(id, url): all URLs of
     each artifact, as rows, so that a page copied a million times is no problem."""
-    rows = docs.withColumn("fingerprint", text.content_fingerprint(F.col("text")))
-    least = rows.groupBy("fingerprint").agg(F.min("id").alias("id"))
-    return rows.join(least, ["fingerprint", "id"]), rows.select("fingerprint", "url").join(least, "fingerprint").select("id", "url").distinct()
+    prints = docs.select("id", "url", text.content_fingerprint(F.col("text")).alias("fingerprint")).persist(StorageLevel.MEMORY_AND_DISK)
+    least = prints.groupBy("fingerprint").agg(F.min("id").alias("id"))
+    return docs.join(least.select("id"), "id", "left_semi"), prints.select("fingerprint", "url").join(least, "fingerprint").select("id", "url").distinct()
 
 
 def features(docs: DataFrame, known: DataFrame | Sequence[tuple[int, str]] = ()) -> DataFrame:
