@@ -360,14 +360,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     best = both.groupBy("a").agg(F.min_by("b", F.struct(-F.col("votes"), F.col("b"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     best = scratch.keep(best)
     found = components(confirmed(best, docs, words, percent), scratch)
-    rest = likely(between(pairs.join(best, ["a", "b"], "left_anti").select("a", "b"), found), reps, percent)
-    if not hot.isEmpty():
-        rest = rest.unionByName(rest_of_dense(docs, reps, hot, found, words, percent, scratch)).distinct()
-    rest = scratch.keep(rest)
 
-    # Of the pairs between two components the likeliest comes first; the links that these give leave few others open.
-    likeliest = scratch.keep(rest.groupBy("ca", "cb").agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b", "ca", "cb"))
-    if not likeliest.isEmpty():
+    def looked_at(rest: DataFrame, found: DataFrame) -> DataFrame:
+        """The components once the pairs rest(a, b, ca, cb, apart) have been confirmed.  Of the pairs between two components the
+        likeliest comes first; the links that these give leave few others open."""
+        rest = scratch.keep(rest)
+        likeliest = scratch.keep(rest.groupBy("ca", "cb").agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b", "ca", "cb"))
+        if likeliest.isEmpty():
+            return found
         across = lambda pairs: pairs.join(confirmed(pairs, docs, words, percent), ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         some = scratch.keep(across(likeliest))
         up = components(some, scratch)
@@ -376,7 +376,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         if not left.isEmpty():
             up = components(some.unionByName(across(left)), scratch)
         lifted = found.join(up.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        found = lifted.unionByName(up)
+        return scratch.keep(lifted.unionByName(up), found, some, left)
+
+    # The forest's other pairs join what they can before the dense regions' shingles are joined across components.
+    found = looked_at(likely(between(pairs.join(best, ["a", "b"], "left_anti").select("a", "b"), found), reps, percent), found)
+    if not hot.isEmpty():
+        found = looked_at(rest_of_dense(docs, reps, hot, found, words, percent, scratch).distinct(), found)
 
     known = sketches.where("key IS NOT NULL AND doc_id IS NOT NULL")
     of_rep = known.join(reps.select("key", "rep"), "key").select("doc_id", "rep")
