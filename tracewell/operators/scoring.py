@@ -318,6 +318,7 @@ def validate(feats: DataFrame, pairs: DataFrame, mirrors: DataFrame | None = Non
         if column not in pairs.columns:
             pairs = pairs.withColumn(column, F.lit(None).cast("string"))
     mirrors = feats.select("id", "url") if mirrors is None else mirrors
+    pairs = pairs.persist(StorageLevel.MEMORY_AND_DISK)  # read for every signal
     rows = ordered_pairs(feats, pairs, ["fabricated", "citation_variants", "g6", "fingerprint", "title_key", "body_key"])
     rows = rows.withColumn("common", F.array_intersect("p_g6", "c_g6")).persist(StorageLevel.MEMORY_AND_DISK)
     grams = rows.select("parent", "child", F.explode("common").alias("gram"))
@@ -334,14 +335,16 @@ def validate(feats: DataFrame, pairs: DataFrame, mirrors: DataFrame | None = Non
         need.join(carried, "e").where("id <> child").groupBy("child", "id").agg(F.count(F.lit(1)).alias("k"))
         .join(feats.select(F.col("id").alias("child"), F.size("fabricated").alias("size")), "child").where(F.col("k") / F.col("size") >= COVERED).groupBy("child").agg(F.count(F.lit(1)).alias("carriers"))
     )
-    both = [x for x in ("parent", "child")]
+    both = ["parent", "child"]
     asked = pairs.select("child").distinct().join(feats.select(F.col("id").alias("child")), "child", "left_semi").select(F.col("child").alias("id"))
     their_urls = mirrors.join(pairs.select(F.col("parent").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("parent"), "url")
     linked = url_pairs(their_urls, feats.join(asked, "id", "left_semi"), lambda u: F.lower(urls.bare_url(u))).withColumn("link", F.lit(True))
     named = pairs.where("reference_url IS NOT NULL").select(*both, urls.canonical_url(F.col("reference_url")).alias("u")).join(their_urls.select("parent", urls.canonical_url(F.col("url")).alias("u")), ["parent", "u"], "left_semi").select(*both).distinct().withColumn("resolved", F.lit(True))
-    grams5 = lambda c: text.hashed_grams(text.words(c), 5)
-    parents5 = feats.join(pairs.where("passage IS NOT NULL").select(F.col("parent").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("parent"), grams5(F.col("text")).alias("p_g5"))
-    passages = pairs.where("passage IS NOT NULL").select(*both, grams5(F.col("passage")).alias("g5")).join(parents5, "parent").where("size(g5) > 0").select(*both, maths.round3(F.size(F.array_intersect("g5", "p_g5")) / F.size("g5")).alias("overlap"))
+    grams5 = lambda c: text.hashed_grams(text.words(F.col(c), False), 5)
+    taken = pairs.where("passage IS NOT NULL")
+    sources = feats.join(taken.select(F.col("parent").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("parent"), "text")
+    parents5 = text.stable(sources, "text").select("parent", grams5("text").alias("p_g5"))
+    passages = text.stable(taken.select(*both, "passage"), "passage").select(*both, grams5("passage").alias("g5")).join(parents5, "parent").where("size(g5) > 0").select(*both, maths.round3(F.size(F.array_intersect("g5", "p_g5")) / F.size("g5")).alias("overlap"))
     for more, on in ((only, both), (carriers, ["child"]), (linked, both), (named, both), (passages, both)):
         rows = rows.join(more, on, "left")
     coverage = F.when(n > 0, shared / n).otherwise(0.0)
