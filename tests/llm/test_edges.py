@@ -264,3 +264,42 @@ def test_order_minhash_by_hand(spark):
             mine = sorted(((x - (1 << 64)) if x >> 63 else x) & mask for x, _ in keyed if x >> shift == b)[: fingerprints.KEPT]
             assert (got[i][b] is None) == (not mine)
 
+
+
+def _plain_repair(seq, least):
+    """Rounds of Re-Pair by plain counts over the whole sequence."""
+    rules = []
+    while True:
+        pairs = list(zip(seq, seq[1:], strict=False))
+        frequent = [p for p in dict.fromkeys(pairs) if pairs.count(p) >= least]
+        if not frequent:
+            return seq, rules
+        name = {p: repair_ids.FIRST_RULE + len(rules) + k for k, p in enumerate(frequent)}
+        rules += frequent
+        out, i = [], 0
+        while i < len(seq):
+            if tuple(seq[i : i + 2]) in name:
+                out.append(name[tuple(seq[i : i + 2])])
+                i += 2
+            else:
+                out.append(seq[i])
+                i += 1
+        seq = out
+
+
+def test_repair_equals_plain_counts():
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        ids = r.integers(0, r.integers(1, 6), r.integers(0, 90)).astype(np.int32)
+        seq, rules = repair_ids.compress(ids)
+        want_seq, want_rules = _plain_repair(ids.tolist(), repair_ids.LEAST)
+        assert seq.tolist() == want_seq
+        assert [tuple(x) for x in rules.tolist()] == want_rules
+        assert repair_ids.expand(seq, rules).tolist() == ids.tolist()
+
+
+def test_repair_in_rounds_over_many_pairs():
+    """Long enough for the hashed first counts."""
+    ids = np.tile(np.random.default_rng(4).integers(0, 300, 20_000), 5).astype(np.int32)
+    seq, rules = repair_ids.compress(ids)
+    assert len(seq) < len(ids) // 4 and repair_ids.expand(seq, rules).tolist() == ids.tolist()

@@ -34,38 +34,53 @@ BINS_LOG2 = 20
 SHARD_SCHEMA = "task int, shard int, n_docs long, n_null long, n_ids long, docs binary, starts binary, rules binary, lengths binary, sequence binary, places binary"
 
 
-def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """The sequence and the rules (pairs of symbols) that expand to ids."""
-    seq, rules = ids.astype(np.uint32), np.zeros((0, 2), np.uint32)
-    while len(seq) > 1:
-        a, b = seq[:-1], seq[1:]
+def _frequent(a: np.ndarray, b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of the pairs occur often enough, the number of each one's distinct pair, and these pairs in order of appearance."""
+    at = np.arange(len(a))
+    if len(a) > 1 << 16:
         # Pairs that occur often enough are in full bins; what else is there is left out by the exact counts.
         key = (a * np.uint32(2654435769) ^ (b * np.uint32(2246822519)) >> np.uint32(7)) >> np.uint32(32 - BINS_LOG2)
-        total = np.bincount(key, minlength=1 << BINS_LOG2)
-        at = np.flatnonzero((total >= least)[key])
-        pair = (a[at].astype(np.uint64) << np.uint64(32)) | b[at]
-        code, distinct = pd.factorize(pair)
-        n = np.bincount(code, minlength=len(distinct))
-        good = n >= least
-        if not good.any():
+        at = np.flatnonzero((np.bincount(key, minlength=1 << BINS_LOG2) >= least)[key])
+    code, distinct = pd.factorize((a[at].astype(np.uint64) << np.uint64(32)) | b[at])
+    good = np.bincount(code, minlength=len(distinct)) >= least
+    keep = good[code]
+    return at[keep], (np.cumsum(good) - 1)[code[keep]], distinct[good]
+
+
+def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """The sequence and the rules (pairs of symbols) that expand to ids.
+
+    Symbols stay at their places and are linked to their neighbours.  A round can only add pairs that hold one of its new nonterminals, and
+    a pair that was too rare stays so: after the first round, only the places next to replaced pairs, and frequent ones that were not replaced,
+    are counted, which is exact."""
+    seq, n = ids.astype(np.uint32), len(ids)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    alive, rules, n_rules = np.ones(n + 1, bool), [np.zeros((0, 2), np.uint32)], 0
+    at = np.arange(max(0, n - 1))
+    while len(at):
+        some, code, made = _frequent(seq[at], seq[after[at]], least)
+        if not len(made):
             break
-        number = np.cumsum(good) - 1
-        keep = good[code]
-        at, code = at[keep], code[keep]
+        at = at[some]
         # In a run of overlapping pairs every other one is replaced, from the left.
         new = np.ones(len(at), bool)
-        new[1:] = at[1:] != at[:-1] + 1
+        new[1:] = at[1:] != after[at[:-1]]
         run = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - run) % 2 == 0
-        at, code = at[take], code[take]
-        seq = seq.copy()
-        seq[at] = (FIRST_RULE + len(rules) + number[code]).astype(np.uint32)
-        rest = np.ones(len(seq), bool)
-        rest[at + 1] = False
-        seq = seq[rest]
-        made = distinct[good]
-        rules = np.concatenate([rules, np.stack([made >> np.uint64(32), made & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)])
-    return seq, rules
+        first = at[take]
+        gone = after[first]
+        seq[first] = (FIRST_RULE + n_rules + code[take]).astype(np.uint32)
+        alive[gone] = False
+        after[first] = after[gone]
+        before[after[first]] = first
+        left = before[first]
+        open_ = np.zeros(n, bool)
+        open_[at] = open_[first] = open_[left[left >= 0]] = True
+        at = np.flatnonzero(open_ & alive[:n])
+        at = at[after[at] < n]
+        rules.append(np.stack([made >> np.uint64(32), made & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
+        n_rules += len(made)
+    return seq[alive[:n]], np.concatenate(rules)
 
 
 def rule_lengths(rules: np.ndarray) -> np.ndarray:
