@@ -177,14 +177,18 @@ class PieceEncoder:
         if self.offsets:
             self.lo = np.concatenate([self.lo, *(x[:, 0] for x in spans)])
             self.hi = np.concatenate([self.hi, *(x[:, 1] for x in spans)])
-        keys, at = np.concatenate([self.keys, h]), np.concatenate([self.at, at])
-        by = np.argsort(keys, kind="stable")
-        self.keys, self.at = keys[by], at[by]
+        # Only the new keys are sorted; they are merged with the others.
+        by = np.argsort(h)
+        to = np.searchsorted(self.keys, h[by])
+        self.keys, self.at = np.insert(self.keys, to, h[by]), np.insert(self.at, to, at[by])
 
     def _look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.keys):
             return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        i = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        # Keys looked for in order are found several times faster.
+        by = np.argsort(h)
+        i = np.empty(len(h), np.int64)
+        i[by] = np.minimum(np.searchsorted(self.keys, h[by]), len(self.keys) - 1)
         return self.at[i], self.keys[i] == h
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
