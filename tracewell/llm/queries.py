@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tracewell.llm import decontaminate, fingerprints, html_main, langid, neardup, packing, quality, repair_ids, sharding, token_counts
+from tracewell.llm import decontaminate, fingerprints, html_main, langid, neardup, packing, periodic, quality, repair_ids, sharding, spelling, token_counts, vector_packing
 from tracewell.llm._spark import ship, table, tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +81,24 @@ def op10_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs the token ids of all documents into sequences of 2,048; the ids of each piece as their crc32."""
+    packed = vector_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
+
+
+@query
+def op12_parity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with one letter left out of every 199th run of letters or so, as its hash has it."""
+    return spelling.variants(table(spark, sf_dir, "documents"), gaps=199)
+
+
+@query
+def op13_bit_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.summary(periodic.detect(table(spark, sf_dir, "documents"), alter=True))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
