@@ -24,12 +24,18 @@ def test_edge_with_link_and_phrases(spark):
     """A link, four phrases of the one parent's own and some overlap."""
     shared = "alpha beta gamma delta epsilon zeta eta theta iota"
     docs = spark.createDataFrame(
-        [(1, f"{shared} one two three.", "https://a.test/1", 0, []), (2, f"{shared} four five six seven.", "https://b.test/2", 2 * DAY, ["https://a.test/1"])],
-        "id long, text string, url string, ts_ms long, links array<string>",
+        [
+            (1, f"{shared} one two three.", "https://a.test/1", 0, [], ["a"]),
+            (2, f"{shared} four five six seven.", "https://b.test/2", 2 * DAY, ["https://a.test/1"], ["b"]),
+            (3, f"outside {shared} one two", "https://c.test/3", DAY, [], []),
+        ],
+        "id long, text string, url string, ts_ms long, links array<string>, citation_variants array<string>",
     )
-    feats = scoring.features(docs)
-    rows = {(r["parent"], r["child"]): r for r in scoring.tiers(scoring.score_edges(feats, spark.createDataFrame([(1, 2), (2, 1)], "parent long, child long"))).collect()}
+    rows = {(r["parent"], r["child"]): r for r in scoring.tiers(scoring.score_edges(scoring.Corpus(docs), spark.createDataFrame([(1, 2), (2, 1), (3, 2)], "parent long, child long"))).collect()}
     edge = rows[1, 2]
+    # An outsider is scored against the same eligible parents, and never accepted.
+    assert rows[3, 2]["impossible"] == "3 does not repeat any of the fabricated citations" and not rows[3, 2]["strong"] and rows[3, 2]["tier"] != "validated"
+    assert rows[2, 1]["reasons"] == [rows[2, 1]["impossible"]] == ["2 links to 1, so it was written after it"]
     assert (edge["ordering"], edge["unique_phrases"], edge["gap_days"], edge["tier"], edge["type"]) == ("from-link", 4, 2.0, "validated", "propagation")
     want = 1 - 0.4 * 0.8 * (1 - min(0.15, edge["similarity"] * 0.3))
     assert edge["reasons"] == ["2 links to 1", "4 copied 6-word phrases (outside quotations) found in no other possible parent", f"word overlap {edge['similarity']}", "2 links to a page published on or after 1970-01-03, so it follows 1"][:3]
@@ -39,8 +45,7 @@ def test_edge_with_link_and_phrases(spark):
 
 def test_no_candidates_gives_no_parent(spark):
     docs = spark.createDataFrame([(1, "a few lonely words", "https://a.test/1", 0, [])], "id long, text string, url string, ts_ms long, links array<string>")
-    feats = scoring.features(docs)
-    got = scoring.best_parents(feats, scoring.score_candidates(feats, scoring.candidate_pairs(feats))).collect()
+    got = scoring.score_parents(docs).collect()
     assert [tuple(r) for r in got] == [(1, None, 0.0, "similarity")]
 
 
@@ -186,7 +191,7 @@ def brute_parents(rows, known):
         scored.sort()
         best = -scored[0][0] if scored else 0
         ambiguous = len(scored) > 1 and best + scored[1][0] <= 0.05
-        out[i] = (scored[0][2], r3(best * 0.6) if ambiguous else best) if best >= 0.15 else None
+        out[i] = (scored[0][2], r3(best * 0.6) if ambiguous else best) if best >= 0.15 else (None, best)
     return out
 
 
@@ -210,9 +215,8 @@ def test_parents_are_those_of_all_pairs(spark):
     base = [" ".join(rng.choices("abcdefgh", k=30)) for _ in range(4)]
     mixed = [(i, " ".join(rng.choice(base).split()[rng.randint(0, 9) :][: rng.randint(2, 30)] + rng.choices("abcdxyz", k=rng.randint(0, 6))), f"https://h{i % 3}.test/{i}", rng.randint(0, 6) * DAY, [f"https://h{j % 3}.test/{j}" for j in [rng.randint(0, 39)] if rng.random() < 0.2]) for i in range(40)]
     for rows, known in ((made, ["The moon is made of cheese"]), (mixed, ["a b", "b c d", "a  B"])):
-        feats = scoring.features(spark.createDataFrame(rows, schema), list(enumerate(known)))
-        got = scoring.best_parents(feats, scoring.score_candidates(feats, scoring.candidate_pairs(feats))).collect()
-        assert {r["child"]: (r["parent"], r["confidence"]) if r["parent"] is not None else None for r in got} == brute_parents(rows, known)
+        got = scoring.score_parents(spark.createDataFrame(rows, schema), list(enumerate(known))).collect()
+        assert {r["child"]: (r["parent"], r["confidence"]) for r in got} == brute_parents(rows, known)
 
 
 def test_full_width_and_ligatures_are_folded(spark):
@@ -242,7 +246,7 @@ def test_validation_signals(spark):
         (1, "A long title of this document\nthe quick brown fox jumps over the lazy dog today and here", "https://a.test/1", 0, [], ["Abel v. Cainsen"]),
         (2, "other words first\nthe quick brown fox jumps over the lazy dog today and there", "https://b.test/2", DAY, ["https://mirror.test/one/"], ["Abel v. Cainsen"]),
     ]
-    feats = scoring.with_titles(scoring.features(spark.createDataFrame(rows, schema)))
+    feats = scoring.Corpus(spark.createDataFrame(rows, schema))
     mirrors = spark.createDataFrame([(1, "https://a.test/1"), (1, "https://www.mirror.test/one"), (2, "https://b.test/2")], "id long, url string")
     pairs = spark.createDataFrame([(1, 2, "the quick brown fox jumps over the lazy dog", "https://mirror.test/one?utm_x=1")], "parent long, child long, passage string, reference_url string")
     got = scoring.validate(feats, pairs, mirrors).collect()[0]
@@ -274,3 +278,53 @@ def test_query_is_passage_and_citations(spark):
     cited = docs.select("id", scoring.contained(text.match_key(F.col("text")), scoring.known_keys(spark, known), "match").alias("citations"))
     got = {r["query"]: r["words"] for r in retrieval.queries_of(docs, cited, known).collect()}
     assert got == {20: ["plain", "start"], 40: "here abel v cain and roe v doe abel v cain roe v doe".split(), 60: []}
+
+
+def test_confidence_without_a_parent_is_that_of_the_most_similar(spark):
+    """Similarities under every bound, and shared grams that all documents have."""
+    import random
+
+    rng = random.Random(12)
+    common = " ".join(f"c{i}" for i in range(6))
+    rows = []
+    for i in range(40):
+        own = [f"o{rng.randrange(60)}" for _ in range(rng.randint(3, 200))]
+        rows.append((i, " ".join(own) + (f" {common}" if i % 3 else ""), f"https://h.test/{i}", rng.randint(0, 20) * DAY, []))
+    got = scoring.score_parents(spark.createDataFrame(rows, "id long, text string, url string, ts_ms long, links array<string>")).collect()
+    assert {r["child"]: (r["parent"], r["confidence"]) for r in got} == brute_parents(rows, [])
+    assert len({r["confidence"] for r in got}) > 4
+
+
+def test_urls_in_texts_of_dots(spark):
+    """A run of 100,000 dots, and URLs among dots."""
+    docs = spark.createDataFrame(
+        [(1, "." * 100_000, "https://a.test/1", 0, []), (2, "see ...https://www.a.test/1... so", "https://b.test/2", DAY, []), (3, "x.b.test/2y", "https://c.test/3", DAY, []), (4, None, "https://d.test/4", DAY, [])],
+        "id long, text string, url string, ts_ms long, links array<string>",
+    )
+    got = scoring.url_pairs(docs.select(F.col("id").alias("parent"), "url"), docs, urls.scheme_less_url).collect()
+    assert {tuple(r) for r in got} == {(1, 2), (2, 3)}
+
+
+def test_tables_of_a_query_are_deleted_two_queries_later(spark):
+    from pathlib import Path
+
+    from tracewell.operators import hold
+
+    hold.begin()
+    first = hold.hold(spark.range(5))
+    path = Path(first.inputFiles()[0].removeprefix("file:")).parent
+    hold.begin()
+    assert path.exists() and first.count() == 5
+    hold.begin()
+    hold.begin()
+    assert not path.exists()
+
+
+def test_queries_leave_nothing_in_memory(spark):
+    from tracewell.plans import registry
+
+    context = spark.sparkContext._jsc.sc()
+    before = context.getPersistentRDDs().size()
+    for _ in range(3):
+        registry.QUERIES["g02_timings"](spark, "/root/testdata/sf0.001").collect()
+    assert context.getPersistentRDDs().size() == before

@@ -1,24 +1,26 @@
 """Evidence features, candidate pairs, timings and the three scorers, which are kept apart on purpose.
 
-Every function takes and returns DataFrames keyed by ids.  Features are arrays of 64-bit gram hashes, made once per document.  Pairs come
-from equi-joins alone: retrieval and links for the corpus scorer, and evidence that can decide for the stand-alone one.
+Every function takes and returns DataFrames keyed by ids.  Features are arrays of 64-bit gram hashes; they are columns that are made only
+where they are read, and for the documents that are asked for.  Pairs come from equi-joins alone: retrieval and links for the corpus scorer,
+and evidence that can decide for the stand-alone one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import maths, text, urls, walks
 from tracewell.operators import retrieval
+from tracewell.operators.hold import hold
 
 COVERED = 2 / 3
 ACCEPTED, PROBABLE, RELATED = 0.35, 0.2, 0.05
-#: Similarity alone weighs .3 of itself: below this it can neither make a parent (.15) nor come within .05 of one.
-LEAST_SIMILARITY = 0.331
+#: Similarity alone weighs .3 of itself: below this it can neither make a parent (.15) nor come within .05 of one.  It can still be the
+#: confidence of a target without a parent, which falling bounds find.
+LEAST_SIMILARITY, FALLING = 0.331, (0.1, 0.02)
 
 
 def contained(body: Column, known: DataFrame, key: str) -> Column:
@@ -38,52 +40,90 @@ def known_keys(spark: SparkSession, known: DataFrame | Sequence[tuple[int, str]]
 def artifacts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """C19 without arrays: of docs(id, url, text, ...), the row of the least id per content fingerprint, and mirrors(id, url): all URLs of
     each artifact, as rows, so that a page copied a million times is no problem."""
-    prints = docs.select("id", "url", text.content_fingerprint(F.col("text")).alias("fingerprint")).persist(StorageLevel.MEMORY_AND_DISK)
+    prints = docs.select("id", "url", text.content_fingerprint(F.col("text")).alias("fingerprint"))
+    prints = hold(prints)
     least = prints.groupBy("fingerprint").agg(F.min("id").alias("id"))
     return docs.join(least.select("id"), "id", "left_semi"), prints.select("fingerprint", "url").join(least, "fingerprint").select("id", "url").distinct()
 
 
 def features(docs: DataFrame, known: DataFrame | Sequence[tuple[int, str]] = ()) -> DataFrame:
     """docs(id, text, url, ts_ms, links, ...) with gram hashes, known errors and keys of both normal forms; citation_variants is empty
-    unless docs has it (see walks.matched_citations)."""
-    # One exchange by id spreads the work and serves the joins on either side's id; the arrays are made once and kept.
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    unless docs has it (see walks.matched_citations).  Nothing is computed that is not read: select what you need, and hold() what you
+    read more than once."""
     keys = known_keys(docs.sparkSession, known)
     if "citation_variants" not in docs.columns:
         docs = docs.withColumn("citation_variants", F.array().cast("array<string>"))
+    return (
+        gram_columns(_spread(docs))
+        .withColumn("fabricated", contained(F.col("_key"), keys, "match"))
+        .withColumn("errors", contained(F.col("_scorer"), keys, "scorer"))
+        .drop("_nf", "_key", "_scorer", "_sw")
+    )
+
+
+def gram_columns(docs: DataFrame) -> DataFrame:
+    """docs(text, ...) with the normal forms (_nf, _key, _scorer, _sw), the gram hashes of both, and the fingerprint."""
     nf, body = F.col("_nf"), F.col("text")
     return (
-        docs.repartition(n, "id")
-        .withColumn("_nf", text.nfkc(body))
+        docs.withColumn("_nf", text.nfkc(body))
         .withColumn("_key", text.match_key(nf, False))
         .withColumn("_scorer", text.scorer_text(body))
-        .withColumn("fabricated", contained(F.col("_key"), keys, "match"))
-        .withColumn("errors", contained(F.col("_scorer"), keys, "scorer"))
         .withColumn("g6", text.hashed_grams(text.words(text.unquoted(nf, False), False), 6))
         .withColumn("g3", text.hashed_grams(text.words(nf, False), 3))
         .withColumn("_sw", text.scorer_words(body))
         .withColumn("s6", text.hashed_grams(F.col("_sw"), 6))
         .withColumn("s3", text.hashed_grams(F.col("_sw"), 3))
         .withColumn("fingerprint", text.content_fingerprint(nf, False))
-        .drop("_nf", "_key", "_scorer", "_sw")
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
 
 
+def _spread(docs: DataFrame) -> DataFrame:
+    """A table of fewer files than there are cores is dealt out once; others are read where they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
+NARROW = ["id", "url", "ts_ms", "links", "fabricated", "errors", "citation_variants"]
+
+
+class Corpus:
+    """Documents (id, text, url, ts_ms, links), the known errors, and, from one scan, what is known of every document without its text."""
+
+    def __init__(self, docs: DataFrame, known: DataFrame | Sequence[tuple[int, str]] = ()):
+        self.docs, self.known = docs, known
+        self.base = hold(features(docs, known).select(*NARROW))
+
+    def members(self) -> DataFrame:
+        return self.base.where(included(self.base))
+
+    def timings(self) -> DataFrame:
+        """G2 with the lineage's members as anchors."""
+        return timings(self.base, self.members().select("id"))
+
+    def of_pairs(self, pairs: DataFrame, columns: Sequence[str]) -> DataFrame:
+        """The documents that occur in pairs, held: only their texts are read again, and made into those columns."""
+        ids = hold(pairs.select(F.col("parent").alias("id")).unionByName(pairs.select(F.col("child").alias("id"))).distinct())
+        made = [c for c in columns if c not in NARROW]
+        texts = gram_columns(_spread(hold(self.docs.select("id", "text").join(ids, "id", "left_semi"))))
+        if "title_key" in columns:
+            texts = with_titles(texts)
+        return hold(texts.select("id", *made).join(self.base.join(ids, "id", "left_semi"), "id").select("id", "url", "links", *columns))
+
+
 def included(feats: DataFrame) -> Column:
     """what belongs to the lineage of known errors: a document that repeats one, or a variant of one."""
     return (F.size("fabricated") > 0) | (F.size("citation_variants") > 0)
 
 
-def retrieved_pairs(feats: DataFrame, known: DataFrame, most: int = 10) -> DataFrame:
-    """(parent, child) of included documents: the child's top documents by fused rank, and those that it links to."""
-    members = feats.where(included(feats)).select("id")
-    cited = feats.where(F.size("fabricated") > 0).select("id", F.col("fabricated").alias("citations"))
-    queries = retrieval.queries_of(feats.join(members, "id", "left_semi"), cited, known)
-    top = retrieval.related(feats, F.col("text"), queries, cited, most).select(F.col("id").alias("parent"), F.col("query").alias("child"))
-    links = feats.select(F.col("id").alias("child"), F.explode("links").alias("url")).join(feats.select(F.col("id").alias("parent"), "url"), "url").select("parent", "child")
-    every = top.unionByName(links).where("parent <> child").distinct()
-    return every.join(members.withColumnRenamed("id", "parent"), "parent", "left_semi").join(members.withColumnRenamed("id", "child"), "child", "left_semi").select("parent", "child").persist(StorageLevel.MEMORY_AND_DISK)
+def retrieved_pairs(corpus: Corpus, most: int = 10) -> DataFrame:
+    """(parent, child) of included children: the child's top documents by fused rank, and those that it links to.  Parents outside
+    the lineage are among them: they are scored for explanation and never accepted."""
+    base, members, docs = corpus.base, corpus.members().select("id"), corpus.docs.select("id", "text")
+    cited = base.where(F.size("fabricated") > 0).select("id", F.col("fabricated").alias("citations"))
+    queries = retrieval.queries_of(docs.join(members, "id", "left_semi"), cited, corpus.known)
+    top = retrieval.related(docs, F.col("text"), queries, cited, most).select(F.col("id").alias("parent"), F.col("query").alias("child"))
+    links = base.join(members, "id", "left_semi").select(F.col("id").alias("child"), F.explode("links").alias("url")).join(base.select(F.col("id").alias("parent"), "url"), "url").select("parent", "child")
+    return hold(top.unionByName(links).where("parent <> child").distinct())
 
 
 def url_pairs(urls_of: DataFrame, docs: DataFrame, form) -> DataFrame:
@@ -91,14 +131,15 @@ def url_pairs(urls_of: DataFrame, docs: DataFrame, form) -> DataFrame:
     urls_of = urls_of.select("parent", form(F.col("url")).alias("bare")).where("bare <> ''").distinct()
     links = docs.select(F.col("id").alias("child"), F.explode("links").alias("link")).select("child", form(F.col("link")).alias("bare"))
     linked = links.join(urls_of, "bare").select("parent", "child")
-    # A URL is found in a text by its tail from the first dot on, among the pieces of the text's tokens that begin with a dot and have the
-    # length of such a tail; the few pairs that agree in it are compared in full.
+    # A URL is found in a text by its tail from the first dot on: of what follows each dot of the text, as far as the longest tail goes, the
+    # beginnings that have the length of a tail; the few pairs that agree in it are compared in full.  A text costs its dots times that length.
     plain = urls_of.where(r"bare RLIKE '^[^\\s.]*\\.\\S*$'").withColumn("tail", F.expr("substring(bare, locate('.', bare))"))
     sizes = plain.agg(F.collect_set(F.length("tail")).alias("sizes"))  # at most as many as a URL has letters
+    longest = plain.agg(F.max(F.length("tail"))).first()[0] or 1
     low = docs.select(F.col("id").alias("child"), F.lower("text").alias("body"))
-    dotted = low.select("child", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"\S*\.\S+"), 0))).alias("t"))
-    starts = dotted.select("child", F.explode(F.expr("transform(filter(sequence(1, length(t)), i -> substring(t, i, 1) = '.'), i -> substring(t, i))")).alias("t"))
-    pieces = starts.join(F.broadcast(sizes)).select("child", F.explode(F.expr("transform(filter(sizes, n -> n <= length(t)), n -> left(t, n))")).alias("tail")).distinct()
+    after = low.select("child", F.array_distinct(F.regexp_extract_all("body", F.lit(rf"\.(?=(\S{{1,{longest}}}))"), 1)).alias("after"))
+    cut = F.expr("flatten(transform(after, t -> transform(filter(sizes, n -> n <= length(t) + 1), n -> concat('.', left(t, n - 1)))))")
+    pieces = after.join(F.broadcast(sizes)).select("child", F.explode(F.array_distinct(cut)).alias("tail"))
     found = pieces.join(plain, "tail").select("parent", "child", "bare").join(low, "child").where(F.contains("body", F.col("bare"))).select("parent", "child")
     # What has no dot is no host; it counts where it is a whole token.
     tokens = low.select("child", F.explode(F.array_distinct(F.split("body", r"\s+"))).alias("bare"))
@@ -120,30 +161,58 @@ def rare_phrases(feats: DataFrame) -> DataFrame:
     return pairs.join(late, "child", "left_semi")
 
 
-def similar_pairs(feats: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
-    """(parent, child), the parent no later, of a 3-gram similarity of at least that: by the rarest grams of each, so many that two
-    similar enough sets share one (prefix filtering), then by size.  Grams of one document alone are counted, never joined."""
+def placed_grams(feats: DataFrame) -> DataFrame:
+    """(id, ts_ms, n, place, gram): the 3-grams that documents share, each document's from its rarest to its most frequent; n counts all of
+    a document's.  Grams of one document alone are counted, never joined."""
     rows = feats.where("ts_ms IS NOT NULL").select("id", "ts_ms", F.size("s3").alias("n"), F.explode("s3").alias("gram"))
     df = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = rows.join(df, "gram")
     mine = Window.partitionBy("id")
-    placed = shared.withColumn("place", F.col("n") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("df", "gram")))
-    kept = placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1).select("id", "ts_ms", "n", "place", "gram")
-    p, c = kept.alias("p"), kept.alias("c")
+    place = F.col("n") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("df", "gram"))
+    return rows.join(df, "gram").withColumn("place", place).select("id", "ts_ms", "n", "place", "gram")
+
+
+def similar_pairs(placed: DataFrame, least: float = LEAST_SIMILARITY, targets: DataFrame | None = None) -> DataFrame:
+    """(parent, child), the parent no later, of a 3-gram similarity of at least that: by the rarest grams of each, so many that two
+    similar enough sets share one (prefix filtering), then by size.  targets(id): the children asked for."""
+    kept = placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1)
+    p, c = kept.alias("p"), (kept if targets is None else kept.join(targets.select("id"), "id", "left_semi")).alias("c")
     able = F.expr(f"p.id <> c.id AND p.ts_ms <= c.ts_ms AND least(p.n, c.n) >= {least} * greatest(p.n, c.n) AND least(p.n - p.place, c.n - c.place) + 1 >= {least} / (1 + {least}) * (p.n + c.n)")
     return p.join(c, (F.col("p.gram") == F.col("c.gram")) & able).select(F.col("p.id").alias("parent"), F.col("c.id").alias("child")).distinct()
 
 
-def candidate_pairs(feats: DataFrame) -> DataFrame:
-    """(parent, child, link, rare) for the stand-alone scorer: the parent no later, and a shared known error, a link or the URL in the text,
-    a phrase found in no other earlier document, or a similarity that can matter.  All other pairs score under .1: they are no parents
-    and make none ambiguous."""
+def most_similar(feats: DataFrame, placed: DataFrame, targets: DataFrame) -> DataFrame:
+    """(child, similarity): the greatest similarity of each of targets(id) to a document no later, where there is any.  The bound falls step
+    by step: what is found over a bound is the greatest, and only the other targets go on, so the most frequent grams are joined for those
+    alone that share no others."""
+    left, sets = targets.select("id"), feats.select("id", "s3")
+    out = None
+    for least in FALLING:
+        pairs = similar_pairs(placed, least, left).join(sets.select(F.col("id").alias("child"), F.col("s3").alias("a")), "child").join(sets.select(F.col("id").alias("parent"), F.col("s3").alias("b")), "parent")
+        best = hold(pairs.groupBy("child").agg(F.max(text.jaccard(F.col("a"), F.col("b"))).alias("similarity")).where(F.col("similarity") >= least))
+        out = best if out is None else out.unionByName(best)
+        left = left.join(best.select(F.col("child").alias("id")), "id", "left_anti")
+    # For the rest all shared grams are counted.
+    p, c = placed.alias("p"), placed.join(left, "id", "left_semi").alias("c")
+    shared = p.join(c, F.expr("p.gram = c.gram AND p.id <> c.id AND p.ts_ms <= c.ts_ms")).groupBy(F.col("c.id").alias("child"), F.col("p.id").alias("parent"), F.expr("p.n + c.n").alias("both")).agg(F.count(F.lit(1)).alias("k"))
+    rest = shared.groupBy("child").agg(F.max(F.col("k") / (F.col("both") - F.col("k"))).alias("similarity"))
+    return out.unionByName(rest).select("child", maths.round3(F.col("similarity")).alias("similarity"))
+
+
+def scored_features(feats: DataFrame) -> DataFrame:
+    """What the stand-alone scorer reads of every document several times, held; texts are not among it."""
+    return hold(feats.select("id", "ts_ms", "errors", "s3", "s6"))
+
+
+def candidate_pairs(docs: DataFrame, feats: DataFrame, placed: DataFrame) -> DataFrame:
+    """(parent, child, link, rare) for the stand-alone scorer, of docs(id, url, text, links), scored_features() and placed_grams(): the parent
+    no later, and a shared known error, a link or the URL in the text, a phrase found in no other earlier document, or a similarity that can
+    make a parent.  All other pairs score under .1: they are no parents and make none ambiguous."""
     errors = feats.select("id", F.explode("errors").alias("error"))
     shared = errors.withColumnRenamed("id", "parent").join(errors.withColumnRenamed("id", "child"), "error").where("parent <> child").select("parent", "child")
     no = lambda df: df.select("parent", "child", F.lit(False).alias("link"), F.lit(0).cast("long").alias("rare"))
-    linked = url_pairs(feats.select(F.col("id").alias("parent"), "url"), feats, urls.scheme_less_url).select("parent", "child", F.lit(True).alias("link"), F.lit(0).cast("long").alias("rare"))
-    every = no(shared).unionByName(no(similar_pairs(feats))).unionByName(linked).unionByName(rare_phrases(feats).select("parent", "child", F.lit(False).alias("link"), "rare"))
-    return every.groupBy("parent", "child").agg(F.max("link").alias("link"), F.max("rare").alias("rare")).persist(StorageLevel.MEMORY_AND_DISK)
+    linked = url_pairs(docs.select(F.col("id").alias("parent"), "url"), docs, urls.scheme_less_url).select("parent", "child", F.lit(True).alias("link"), F.lit(0).cast("long").alias("rare"))
+    every = no(shared).unionByName(no(similar_pairs(placed))).unionByName(linked).unionByName(rare_phrases(feats).select("parent", "child", F.lit(False).alias("link"), "rare"))
+    return every.groupBy("parent", "child").agg(F.max("link").alias("link"), F.max("rare").alias("rare"))
 
 
 def _side(feats: DataFrame, key: str, prefix: str, cols: list[str]) -> DataFrame:
@@ -155,16 +224,33 @@ def similarity(a: str, b: str) -> Column:
     return maths.round3(text.jaccard(F.col(a), F.col(b)))
 
 
-def timings(docs: DataFrame, passes: int = 4) -> DataFrame:
-    """Id, claimed, effective, exact, lower.  A document is no older than what it links to; four passes along links."""
-    links = docs.select(F.col("id").alias("child"), F.explode("links").alias("link")).join(docs.select(F.col("id").alias("target"), F.col("url").alias("link")), "link").where("child <> target").select("child", "target")
+def timings(docs: DataFrame, anchors: DataFrame | None = None, passes: int = 4) -> DataFrame:
+    """Id, claimed, effective, exact, lower, conflict.  A document is no older than what it links to; four passes along links.
+    anchors(id): whose dates may bound others, the lineage's members; by default all.  Only documents that link to an anchor change, so
+    the passes are over those links."""
+    targets = docs if anchors is None else docs.join(anchors.select("id"), "id", "left_semi")
+    out = docs.select(F.col("id").alias("child"), F.posexplode("links").alias("pos", "link"))
+    links = out.join(targets.select(F.col("id").alias("target"), F.col("url").alias("link")), "link").where("child <> target")
+    links = hold(links.groupBy("child", "target").agg(F.min("pos").alias("pos")))
     base = docs.select("id", F.col("ts_ms").alias("claimed"))
-    now = base.withColumn("effective", F.col("claimed")).withColumn("lower", F.lit(None).cast("long"))
-    for _ in range(passes):
-        lower = links.join(now.select(F.col("id").alias("target"), "effective"), "target").groupBy(F.col("child").alias("id")).agg(F.max("effective").alias("lower"))
-        later = F.col("lower").isNotNull() & (F.col("claimed").isNull() | (F.col("lower") > F.col("claimed")))
-        now = base.join(lower, "id", "left").withColumn("effective", F.when(later, F.col("lower")).otherwise(F.col("claimed")))
-    return now.select("id", "claimed", "effective", (F.col("claimed").isNotNull() & (F.col("effective") == F.col("claimed"))).alias("exact"), "lower")
+    linked = hold(base.join(links.select(F.col("child").alias("id")).distinct(), "id", "left_semi"))
+    # What an anchor without links of its own says never changes.
+    firm = base.join(links.select(F.col("target").alias("id")).distinct(), "id", "left_semi").join(linked.select("id"), "id", "left_anti").select("id", F.col("claimed").alias("effective"))
+    now = linked.select("id", F.col("claimed").alias("effective"))
+    for k in range(passes):
+        said = links.join(now.unionByName(firm).select(F.col("id").alias("target"), "effective"), "target").where("effective IS NOT NULL")
+        # Of the latest targets the first that is linked to gives the reason.
+        lower = said.groupBy(F.col("child").alias("id")).agg(F.max(F.struct("effective", (-F.col("pos")).alias("pos"), "target")).alias("by"))
+        rows = linked.join(lower, "id", "left")
+        later = F.coalesce(F.col("by.effective") > F.col("claimed"), F.col("by").isNotNull())
+        rows = rows.withColumn("effective", F.when(later, F.col("by.effective")).otherwise(F.col("claimed")))
+        now = rows.select("id", "effective")
+    day = lambda ms: F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd")
+    clash = F.when(F.col("by.effective") > F.col("claimed"), F.concat(F.lit("claims "), day(F.col("claimed")), F.lit(" but links to "), F.col("by.target").cast("string"), F.lit(", published "), day(F.col("by.effective"))))
+    bounded = rows.select("id", F.col("effective").alias("e"), F.col("by.effective").alias("lower"), clash.alias("conflict"), F.lit(True).alias("has"))
+    effective = F.when(F.col("has"), F.col("e")).otherwise(F.col("claimed"))
+    done = base.join(bounded, "id", "left").withColumn("effective", effective)
+    return done.select("id", "claimed", "effective", F.coalesce(F.col("effective") == F.col("claimed"), F.lit(False)).alias("exact"), "lower", "conflict")
 
 
 def ordering(p: str, c: str) -> Column:
@@ -181,11 +267,11 @@ def ordering(p: str, c: str) -> Column:
     )
 
 
-def ordered_pairs(feats: DataFrame, pairs: DataFrame, cols: list[str]) -> DataFrame:
+def ordered_pairs(feats: DataFrame, pairs: DataFrame, cols: list[str], timed: DataFrame) -> DataFrame:
     """The pairs with both sides' columns, timings and ordering."""
-    timed = feats.join(timings(feats.select("id", "url", "ts_ms", "links")), "id")
-    own = ["url", "links", "claimed", "effective", "exact", *cols]
-    return pairs.join(_side(timed, "parent", "p", own), "parent").join(_side(timed, "child", "c", own), "child").withColumn("ordering", ordering("p", "c"))
+    own = ["url", "links", "claimed", "effective", "exact", "conflict", *cols]
+    rows = feats.join(timed, "id")
+    return pairs.join(_side(rows, "parent", "p", own), "parent").join(_side(rows, "child", "c", own), "child").withColumn("ordering", ordering("p", "c"))
 
 
 # The wording of reasons.
@@ -209,27 +295,49 @@ def _reasons(rows: DataFrame, weak: Column) -> Column:
             say(order == "strict", c("parent"), " (", day(c("p_claimed")), ") precedes ", c("child"), " (", day(c("c_effective")), ")"),
             F.when(order == "same-time", F.when(c("link"), "same timestamp; direction taken from the link").otherwise("same timestamp and no link: direction unknown (both may copy an unseen common source)")),
             say((order == "from-link") & ~c("link"), c("child"), " links to a page published on or after ", day(c("c_effective")), ", so it follows ", c("parent")),
-            F.when(order == "unknown", "order unknown: no trustworthy timestamp"),
+            F.when(order == "unknown", F.coalesce(F.concat(F.lit("order unknown: "), c("parent").cast("string"), F.lit(" "), c("p_conflict")), F.lit("order unknown: no trustworthy timestamp"))),
             say(weak & (c("coverage") > 0), "only ", c("shared"), " of ", F.size("c_fabricated"), " fabricated citations shared; a single shared case name is weak evidence"),
             F.when(weak & (c("coverage") == 0), F.when(c("unique_phrases") > 0, "copied phrasing but no link or shared fabricated citation; not enough to claim propagation").otherwise("only textual similarity; not enough to claim propagation")),
         )
     )
 
 
-def score_edges(feats: DataFrame, pairs: DataFrame) -> DataFrame:
-    """C3 for every (parent, child); the eligible parents of a child are those of its pairs that may have come first."""
-    rows = ordered_pairs(feats, pairs, ["fabricated", "citation_variants", "g6", "g3"])
+def _impossible() -> Column:
+    """Why the order of a pair can't be, if it can't."""
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    c, day = F.col, lambda ms: F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd")
+    why = (
+        F.when(F.array_contains("p_links", c("c_url")), say(c("parent"), " links to ", c("child"), ", so it was written after it"))
+        .when(c("p_exact"), say(c("parent"), " (", day(c("p_claimed")), ") was published after ", c("child"), " (", day(c("c_claimed")), ")"))
+        .otherwise(say(c("parent"), " links to material from ", day(c("p_effective")), ", after ", c("child"), " (", day(c("c_claimed")), ")"))
+    )
+    return F.when(c("ordering") == "impossible", why)
+
+
+def score_edges(corpus: Corpus, pairs: DataFrame, pool: DataFrame | None = None) -> DataFrame:
+    """C3 for every (parent, child).  The eligible parents of a child,
+    among which evidence is rare, are those of its pairs that are members and may have come first; pool(parent, child): others.
+    Parents outside the lineage are scored, marked impossible and never strong."""
+    cols = ["fabricated", "citation_variants", "g6", "g3"]
+    asked = pairs if pool is None else pool.unionByName(pairs).distinct()
+    wanted = None if pool is None else pairs.withColumn("asked", F.lit(True))
+    rows = ordered_pairs(corpus.of_pairs(asked, cols), asked, cols, corpus.timings())
+    rows = rows.withColumn("member", (F.size("p_fabricated") > 0) | (F.size("p_citation_variants") > 0)).withColumn("why", _impossible())
     rows = rows.withColumn("shared", F.size(F.array_intersect("p_fabricated", "c_fabricated"))).withColumn("variant_names", F.array_intersect("p_citation_variants", "c_citation_variants")).withColumn("variants", F.size("variant_names"))
     # The part of the parent's errors among the child's; carriers cover two thirds of the child's.
     rows = rows.withColumn("coverage", F.when(F.size("c_fabricated") > 0, F.col("shared") / F.size("c_fabricated")).otherwise(0.0))
-    eligible = F.col("ordering") != "impossible"
+    eligible = (F.col("ordering") != "impossible") & F.col("member")
     of_child = Window.partitionBy("child")
     rows = rows.withColumn("carriers", F.sum(F.when(eligible & (F.col("coverage") >= COVERED), 1).otherwise(0)).over(of_child))
     rows = rows.withColumn("common", F.array_intersect("p_g6", "c_g6")).withColumn("link", F.array_contains("c_links", F.col("p_url"))).withColumn("similarity", similarity("c_g3", "p_g3"))
-    rows = rows.drop("p_g6", "c_g6", "p_g3", "c_g3").persist(StorageLevel.MEMORY_AND_DISK)
-    grams = rows.where(eligible).select("parent", "child", F.explode("common").alias("gram"))
-    only = grams.groupBy("child", "gram").agg(F.count(F.lit(1)).alias("n"), F.min("parent").alias("parent")).where("n = 1").groupBy("parent", "child").agg(F.count(F.lit(1)).alias("unique_phrases"))
+    rows = hold(rows.drop("p_g6", "c_g6", "p_g3", "c_g3").withColumn("eligible", eligible))
+    # A phrase is a parent's own if no other eligible parent of the child has it.
+    grams = rows.where("ordering <> 'impossible'").select("parent", "child", "eligible", F.explode("common").alias("gram"))
+    others = F.sum(F.col("eligible").cast("int")).over(Window.partitionBy("child", "gram")) - F.col("eligible").cast("int")
+    only = grams.withColumn("others", others).where("others = 0").groupBy("parent", "child").agg(F.count(F.lit(1)).alias("unique_phrases"))
     rows = rows.drop("common").join(only, ["parent", "child"], "left").withColumn("unique_phrases", F.coalesce("unique_phrases", F.lit(0)))
+    if wanted is not None:
+        rows = rows.join(wanted, ["parent", "child"], "left_semi")
     link, variants = F.col("link"), F.col("variants")
     fabricated = F.when(F.col("coverage") >= COVERED, maths.rarity(F.lit(0.35), F.col("carriers"))).otherwise(F.lit(0.1) * F.col("coverage"))
     confidence = maths.noisy_or(F.when(link, 0.6).otherwise(0.0), fabricated, maths.capped(0.3, F.lit(0.15) * variants), maths.capped(0.3, F.lit(0.05) * F.col("unique_phrases")), maths.capped(0.15, F.col("similarity") * 0.3))
@@ -250,10 +358,11 @@ def score_edges(feats: DataFrame, pairs: DataFrame) -> DataFrame:
         "similarity",
         zero(maths.round3(F.when(tied, timed).otherwise(F.least(timed, F.lit(0.25))))).alias("confidence"),
         zero(maths.round3(timed)).alias("exploratory"),
-        no(known & tied).alias("strong"),
+        (no(known & tied) & F.col("member")).alias("strong"),
         no(link | (F.col("coverage") > 0) | (variants > 0) | (F.col("unique_phrases") > 0)).alias("meaningful"),
         maths.round3((F.col("c_effective") - F.when(F.col("p_exact"), F.col("p_claimed")).otherwise(F.col("p_effective"))) / F.lit(86_400_000.0)).alias("gap_days"),
-        F.when(dead, F.array(F.lit("impossible order"))).otherwise(_reasons(rows, ~tied)).alias("reasons"),
+        F.when(dead, F.array("why")).otherwise(_reasons(rows, ~tied)).alias("reasons"),
+        F.coalesce("why", F.when(~F.col("member"), F.concat(F.col("parent").cast("string"), F.lit(" does not repeat any of the fabricated citations")))).alias("impossible"),
     )
 
 
@@ -274,7 +383,8 @@ def score_candidates(feats: DataFrame, pairs: DataFrame) -> DataFrame:
     cols = ["ts_ms", "errors", "s3"]
     t, c = _side(feats, "child", "t", cols), _side(feats, "parent", "c", cols)
     rows = pairs.join(t, "child").join(c, "parent").where("c_ts_ms <= t_ts_ms")
-    rows = rows.withColumn("similarity", similarity("t_s3", "c_s3")).withColumn("shared", F.array_intersect("t_errors", "c_errors")).drop("t_s3", "c_s3", "t_errors", "c_errors").where(f"link OR rare > 0 OR size(shared) > 0 OR similarity >= {LEAST_SIMILARITY}").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = rows.withColumn("similarity", similarity("t_s3", "c_s3")).withColumn("shared", F.array_intersect("t_errors", "c_errors")).drop("t_s3", "c_s3", "t_errors", "c_errors")
+    rows = hold(rows.where(f"link OR rare > 0 OR size(shared) > 0 OR similarity >= {LEAST_SIMILARITY}"))
     errors = rows.select("parent", "child", F.explode("shared").alias("error"))
     counts = errors.groupBy("child", "error").agg(F.count(F.lit(1)).alias("n"))
     weights = errors.join(counts, ["child", "error"]).groupBy("parent", "child").agg(F.array_sort(F.collect_list(F.struct("error", "n"))).alias("e")).select("parent", "child", F.least(F.lit(0.7), maths.noisy_or_of(F.transform("e", lambda x: F.lit(0.5) / x["n"]))).alias("errors_weight"), F.size("e").alias("n_errors"))
@@ -287,28 +397,39 @@ def score_candidates(feats: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.select("child", "parent", F.col("c_ts_ms").alias("ts_ms"), "link", error_n.cast("long").alias("shared_errors"), rare_n.cast("long").alias("rare_phrases"), "similarity", maths.round3(same).alias("confidence"))
 
 
-def best_parents(targets: DataFrame, scored: DataFrame) -> DataFrame:
+def best_parents(targets: DataFrame, scored: DataFrame, weak: DataFrame | None = None) -> DataFrame:
     """C4's answer, one row per target: parent (null under .15), confidence (less if the runner-up is near) and type.  A target without a
-    parent has the confidence of its best candidate; those that score under .1 by similarity alone are not among them (see candidate_pairs)."""
+    parent has the confidence of its best candidate.  weak: most_similar() of the targets that no evidence brings to .1."""
     order = Window.partitionBy("child").orderBy(F.desc("confidence"), F.desc("ts_ms"), "parent")
     best = scored.withColumn("n", F.row_number().over(order)).withColumn("next", F.lead("confidence").over(order)).where("n = 1")
     final = F.when(F.col("confidence") - F.col("next") <= 0.05, maths.round3(F.col("confidence") * 0.6)).otherwise(F.col("confidence"))
     ok = F.coalesce(F.col("confidence") >= 0.15, F.lit(False))
     strong = (F.col("link") | (F.col("shared_errors") > 0)) & (final >= 0.5) & ok
-    return targets.select(F.col("id").alias("child")).join(best, "child", "left").select(
+    rows = targets.select(F.col("id").alias("child")).join(best.drop("similarity"), "child", "left")
+    rows = rows.withColumn("thin", F.lit(0.0)) if weak is None else rows.join(weak.select("child", maths.round3(maths.noisy_or(maths.capped(0.15, F.col("similarity") * 0.3))).alias("thin")), "child", "left")
+    return rows.select(
         "child",
         F.when(ok, F.col("parent")).alias("parent"),
-        F.when(ok, final).otherwise(F.coalesce("confidence", F.lit(0.0))).alias("confidence"),
+        F.when(ok, final).otherwise(F.greatest(F.coalesce("confidence", F.lit(0.0)), F.coalesce("thin", F.lit(0.0)))).alias("confidence"),
         F.when(F.coalesce(strong, F.lit(False)), "propagation").otherwise("similarity").alias("type"),
     )
 
 
+def score_parents(docs: DataFrame, known: DataFrame | Sequence[tuple[int, str]] = ()) -> DataFrame:
+    """C4 whole: best_parents() of all docs(id, text, url, ts_ms, links)."""
+    feats = scored_features(features(docs, known))
+    placed = hold(placed_grams(feats))
+    scored = hold(score_candidates(feats, candidate_pairs(docs, feats, placed)))
+    decided = scored.where("confidence >= 0.1").select(F.col("child").alias("id")).distinct()
+    return best_parents(feats, scored, most_similar(feats, placed, feats.where("ts_ms IS NOT NULL").select("id").join(decided, "id", "left_anti")))
+
+
 def to_edges(answers: DataFrame) -> DataFrame:
     """The edges of best_parents()."""
     return answers.where("parent IS NOT NULL").select("parent", "child", "confidence", "type")
 
 
-def validate(feats: DataFrame, pairs: DataFrame, mirrors: DataFrame | None = None, pool_grams: DataFrame | None = None) -> DataFrame:
+def validate(corpus: Corpus, pairs: DataFrame, mirrors: DataFrame | None = None, pool_grams: DataFrame | None = None) -> DataFrame:
     """The inspection of each (parent, child): eight signals, their weights and the verdict.
 
     mirrors(id, url): all URLs of each document, by default its own.  pairs may have passage (the text that the child is said to have taken:
@@ -317,32 +438,34 @@ def validate(feats: DataFrame, pairs: DataFrame, mirrors: DataFrame | None = Non
     for column in ("passage", "reference_url"):
         if column not in pairs.columns:
             pairs = pairs.withColumn(column, F.lit(None).cast("string"))
-    mirrors = feats.select("id", "url") if mirrors is None else mirrors
-    pairs = pairs.persist(StorageLevel.MEMORY_AND_DISK)  # read for every signal
-    rows = ordered_pairs(feats, pairs, ["fabricated", "citation_variants", "g6", "fingerprint", "title_key", "body_key"])
-    rows = rows.withColumn("common", F.array_intersect("p_g6", "c_g6")).persist(StorageLevel.MEMORY_AND_DISK)
+    docs, held = corpus.docs, corpus.base
+    mirrors = held.select("id", "url") if mirrors is None else mirrors
+    pairs = hold(pairs)  # read for every signal
+    cols = ["fabricated", "citation_variants", "g6", "fingerprint", "title_key", "body_key"]
+    rows = ordered_pairs(corpus.of_pairs(pairs, cols), pairs, cols, corpus.timings())
+    rows = hold(rows.withColumn("common", F.array_intersect("p_g6", "c_g6")).drop("p_g6", "c_g6"))
     grams = rows.select("parent", "child", F.explode("common").alias("gram"))
     if pool_grams is None:
         # Only the grams that pairs share are counted in the pool.
-        asked = feats.select(F.explode("g6").alias("gram")).join(grams.select("gram").distinct(), "gram", "left_semi")
+        asked = gram_columns(_spread(docs.select("id", "text"))).select(F.explode("g6").alias("gram")).join(grams.select("gram").distinct(), "gram", "left_semi")
         pool_grams = asked.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     only = grams.join(pool_grams.where("n = 2").select("gram"), "gram", "left_semi").groupBy("parent", "child").agg(F.count(F.lit(1)).alias("phrases"))
     n = F.size("c_fabricated")
     shared, variants = F.size(F.array_intersect("p_fabricated", "c_fabricated")), F.size(F.array_intersect("p_citation_variants", "c_citation_variants"))
-    carried = feats.select("id", F.explode("fabricated").alias("e"))
+    carried = held.select("id", F.explode("fabricated").alias("e"))
     need = rows.select("child", F.explode("c_fabricated").alias("e")).distinct()
     carriers = (
         need.join(carried, "e").where("id <> child").groupBy("child", "id").agg(F.count(F.lit(1)).alias("k"))
-        .join(feats.select(F.col("id").alias("child"), F.size("fabricated").alias("size")), "child").where(F.col("k") / F.col("size") >= COVERED).groupBy("child").agg(F.count(F.lit(1)).alias("carriers"))
+        .join(held.select(F.col("id").alias("child"), F.size("fabricated").alias("size")), "child").where(F.col("k") / F.col("size") >= COVERED).groupBy("child").agg(F.count(F.lit(1)).alias("carriers"))
     )
     both = ["parent", "child"]
-    asked = pairs.select("child").distinct().join(feats.select(F.col("id").alias("child")), "child", "left_semi").select(F.col("child").alias("id"))
+    asked = pairs.select(F.col("child").alias("id")).distinct()
     their_urls = mirrors.join(pairs.select(F.col("parent").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("parent"), "url")
-    linked = url_pairs(their_urls, feats.join(asked, "id", "left_semi"), lambda u: F.lower(urls.bare_url(u))).withColumn("link", F.lit(True))
+    linked = url_pairs(their_urls, docs.join(asked, "id", "left_semi"), lambda u: F.lower(urls.bare_url(u))).withColumn("link", F.lit(True))
     named = pairs.where("reference_url IS NOT NULL").select(*both, urls.canonical_url(F.col("reference_url")).alias("u")).join(their_urls.select("parent", urls.canonical_url(F.col("url")).alias("u")), ["parent", "u"], "left_semi").select(*both).distinct().withColumn("resolved", F.lit(True))
     grams5 = lambda c: text.hashed_grams(text.words(F.col(c), False), 5)
     taken = pairs.where("passage IS NOT NULL")
-    sources = feats.join(taken.select(F.col("parent").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("parent"), "text")
+    sources = docs.join(taken.select(F.col("parent").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("parent"), "text")
     parents5 = text.stable(sources, "text").select("parent", grams5("text").alias("p_g5"))
     passages = text.stable(taken.select(*both, "passage"), "passage").select(*both, grams5("passage").alias("g5")).join(parents5, "parent").where("size(g5) > 0").select(*both, maths.round3(F.size(F.array_intersect("g5", "p_g5")) / F.size("g5")).alias("overlap"))
     for more, on in ((only, both), (carriers, ["child"]), (linked, both), (named, both), (passages, both)):
@@ -385,6 +508,6 @@ def validate(feats: DataFrame, pairs: DataFrame, mirrors: DataFrame | None = Non
 
 
 def with_titles(feats: DataFrame) -> DataFrame:
-    """What validate() also needs: the text's key, and its first line as title."""
+    """What C6 to C14 also read: the text's key, and its first line as title."""
     title = text.match_key(F.regexp_extract("text", r"^[^\n]*", 0))
     return feats.withColumn("body_key", text.match_key(F.col("text"))).withColumn("title_key", title)

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import text, urls, walks
 from tracewell.operators import lineage, proposals, retrieval, scoring
+from tracewell.operators.hold import hold
 from tracewell.plans import duck
 from tracewell.plans.adapters import CORPUS_SQL, corpus, known_errors
+from tracewell.plans.scoring import HELD_SQL, KNOWN_SQL, asked_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -128,11 +130,10 @@ def a16_run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c16_build_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One run per known error: its carriers, scored and assembled.  Order matters, so SQL has no twin; see the tests."""
     docs, _ = scoring.artifacts(corpus(spark, sf_dir))
-    known = known_errors(spark, sf_dir)
-    feats = scoring.features(docs, known)
-    edges = scoring.score_edges(feats, scoring.retrieved_pairs(feats, known))
-    member = feats.select("id", F.explode("fabricated").alias("run"))
-    times = scoring.timings(feats).select(F.col("id").alias("child"), F.col("effective").alias("child_ms"))
+    docs = scoring.Corpus(docs, known_errors(spark, sf_dir))
+    edges = hold(scoring.score_edges(docs, scoring.retrieved_pairs(docs)))
+    member = docs.base.select("id", F.explode("fabricated").alias("run"))
+    times = docs.timings().select(F.col("id").alias("child"), F.col("effective").alias("child_ms"))
     rows = edges.join(member.select(F.col("id").alias("child"), "run"), "child").join(member.select(F.col("id").alias("parent"), "run"), ["parent", "run"]).join(times, "child")
     return lineage.build_trees(rows.select("run", "parent", "child", "confidence", "strong", (F.col("ordering") == "impossible").alias("impossible"), "link", "child_ms"))
 
@@ -168,9 +169,13 @@ QUERIES = {
     )
 }
 
+_ASKED = asked_sql("id % 20 = 0")
+#: No citations, and those of the known errors.
+_BARE = "known AS (SELECT item_id, text FROM benchmark), f AS (SELECT doc_id AS id, text, []::BIGINT[] AS fab FROM documents)"
+_KNOWING = f"{KNOWN_SQL}, w AS MATERIALIZED (SELECT doc_id AS id, text, {duck.match_key('text')} AS k, {duck.scorer_text('text')} AS sk FROM documents), f AS MATERIALIZED (SELECT id, text, {HELD_SQL} FROM w)"
 _BM25 = f"""ws AS MATERIALIZED (SELECT doc_id AS id, {duck.words('text')} AS w FROM documents), p AS MATERIALIZED (SELECT id, term, count(*) AS tf, any_value(n) AS len FROM (SELECT id, len(w) AS n, unnest(w) AS term FROM ws) GROUP BY id, term),
   st AS (SELECT count(*) AS total, avg(len(w)) AS av FROM ws), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-  q AS (SELECT DISTINCT query, term FROM (SELECT doc_id AS query, unnest({duck.words("regexp_extract(text, '^[^\\n]*', 0)")}) AS term FROM documents WHERE doc_id % 20 = 0)),
+  q AS (SELECT DISTINCT query, unnest(words) AS term FROM qs),
   sc AS (SELECT query, id, round(sum(ln(1 + (total - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * (1.2::DOUBLE + 1) / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * len / av))), 6) AS score FROM q JOIN p USING (term) JOIN df USING (term), st WHERE id <> query GROUP BY query, id),
   bm AS (SELECT * FROM (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM sc WHERE score > 0) WHERE rank <= 10)"""
 _TREE = "e AS (SELECT doc_id // 3 AS parent, doc_id AS child FROM documents WHERE doc_id > 0)"
@@ -182,8 +187,8 @@ ORACLES = {
     "a13_hits": f"SELECT {duck.canonical_url('url')} AS url, min(page_id % 5) AS best_rank, count(DISTINCT page_id % 7) AS n_queries FROM pages GROUP BY 1",
     "a14_merge": f"SELECT 'url:https://' || h || '/' AS key, min(page_id) AS place, 'https://' || h || '/' AS url, CASE WHEN min(page_id) FILTER (page_id % 2 = 0) IS NOT NULL THEN 't' || min(page_id) FILTER (page_id % 2 = 0) END AS title, array_to_string(list_sort(list(DISTINCT 'c' || page_id % 3)), '|') AS channels FROM (SELECT page_id, {duck.host('url')} AS h FROM pages) GROUP BY h",
     "a16_run_stats": f"WITH {CORPUS_SQL}, {_LINKS}, n AS (SELECT child, count(*) AS n FROM lk GROUP BY child) SELECT source, count(*) AS n_docs, coalesce(sum(n), 0)::BIGINT AS n_links, coalesce(sum(greatest(n - 1, 0)), 0)::BIGINT AS crosslinks, coalesce(bool_or(n > 0), false) AS any_link FROM corpus LEFT JOIN n ON n.child = id GROUP BY source",
-    "c20_bm25": f"WITH {_BM25} SELECT query, id, score, rank FROM bm",
-    "c21_rrf": f"""WITH {_BM25}, k AS MATERIALIZED (SELECT doc_id AS id, item_id FROM (SELECT doc_id, {duck.match_key('text')} AS k FROM documents) d JOIN (SELECT item_id, {duck.match_key('text')} AS s FROM benchmark) b ON contains(d.k, b.s)),
+    "c20_bm25": f"WITH {_BARE}, {_ASKED}, {_BM25} SELECT query, id, score, rank FROM bm",
+    "c21_rrf": f"""WITH {_KNOWING}, {_ASKED}, {_BM25}, k AS MATERIALIZED (SELECT id, unnest(fab) AS item_id FROM f),
       sh AS (SELECT x.id AS query, y.id, count(*) AS n FROM k x JOIN k y USING (item_id) WHERE x.id <> y.id GROUP BY 1, 2), sr AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY n DESC, id) AS rank FROM sh),
       fu AS (SELECT query, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query, id, rank FROM bm UNION ALL SELECT query, id, rank FROM sr WHERE query % 20 = 0) GROUP BY query, id)
       SELECT * FROM (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM fu) WHERE rank <= 10""",

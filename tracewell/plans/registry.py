@@ -2,7 +2,25 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tracewell.operators.hold import begin
 from tracewell.plans import graphs, scalars, scoring
 
-QUERIES: dict = {**scoring.QUERIES, **graphs.QUERIES, **scalars.QUERIES}
+
+def _alone(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query with intermediate tables of its own."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        begin()
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES: dict = {name: _alone(query) for name, query in {**scoring.QUERIES, **graphs.QUERIES, **scalars.QUERIES}.items()}
 ORACLES: dict[str, str] = {**scoring.ORACLES, **graphs.ORACLES, **scalars.ORACLES}
