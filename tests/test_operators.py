@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tracewell.functions import dates, maths, text, urls, walks
-from tracewell.operators import lineage, proposals, retrieval, scoring
+from tracewell.operators import changes, lineage, proposals, retrieval, scoring
 from tracewell.streaming import ingest
 
 DAY = 86_400_000
@@ -107,9 +107,51 @@ def test_case_names_and_passages():
     assert walks.check_passage("“Abel v. Cain” was cited", 'It said "Abel v. Cain" was cited there.', ["Abel v. Cain"]) == (True, "exact")
 
 
-def test_claim_changes():
-    changes = walks.claim_changes("The cat sat on the mat. Dogs bark at night loudly.", "Dogs bark at noon loudly. THE CAT sat on the mat! New words come here today.")
-    assert [c["type"] for c in changes] == ["reframed", "added"]
+def plain_changes(parent, child):
+    """C18 on lists of (sentence, key, words): the best pair that is left, again and again."""
+    gone_p, gone_c, told = set(), set(), []
+    for key in {k for _, k, _ in parent if k}:
+        ps, cs = ([i for i, x in enumerate(side) if x[1] == key] for side in (parent, child))
+        gone_p |= set(ps[: len(cs)])
+        gone_c |= set(cs[: len(ps)])
+    while True:
+        options = [(-len(p[2] & c[2]) / len(p[2] | c[2]), i, j) for i, p in enumerate(parent) for j, c in enumerate(child) if i not in gone_p and j not in gone_c and p[2] & c[2]]
+        best = min(options, default=(0, 0, 0))
+        if -best[0] < 0.28:
+            break
+        gone_p.add(best[1])
+        gone_c.add(best[2])
+        told.append((0, best[2], "reframed", parent[best[1]][0], child[best[2]][0]))
+    told += [(1, j, "added", None, c[0]) for j, c in enumerate(child) if j not in gone_c]
+    told += [(2, i, "omitted", p[0], None) for i, p in enumerate(parent) if i not in gone_p]
+    return [x[2:] for x in sorted(told, key=lambda x: x[:2])[:6]]
+
+
+def test_claim_changes(spark):
+    rows = [(1, "The cat sat on the mat. Dogs bark at night loudly.", "Dogs bark at noon loudly. THE CAT sat on the mat! New words come here today.", None), (2, None, "", None)]
+    rows.append((3, "They cite Abel v. Cain as real law.", "They cite ABEL V. CAIN as old law today, said Dr. Roe there.", ["Abel v. Cain"]))
+    got = changes.claim_changes(spark.createDataFrame(rows, "id int, parent string, child string, citations array<string>"), ["id"]).orderBy("id", "n").collect()
+    assert [(r["id"], r["type"]) for r in got] == [(1, "reframed"), (1, "added"), (3, "reframed")]
+    assert got[0]["summary"] == "Reframed “Dogs bark at night loudly.” as “Dogs bark at noon loudly.”"
+
+
+def test_claim_changes_equal_plain_loops(spark):
+    import random
+
+    rng = random.Random(4)
+    made, rows = {}, []
+    for i in range(150):
+        sides = []
+        for _ in range(2):
+            units = [" ".join(rng.choice("abcdefgh") * 2 for _ in range(rng.randint(4, 7))) for _ in range(rng.randint(0, 7))]
+            units += rng.choices(units, k=2) if units else []
+            units += rng.sample(["same words in both of them", "other words stand in both"], k=rng.randint(0, 2))
+            sides.append(units)
+        rng.shuffle(sides[1])
+        made[i] = plain_changes(*[[(f"X {u}.", f"x {u}", {"x", *u.split()}) for u in s] for s in sides])
+        rows.append((i, *[" ".join(f"X {u}." for u in s) for s in sides]))
+    got = changes.claim_changes(spark.createDataFrame(rows, "id int, parent string, child string"), ["id"]).orderBy("id", "n").collect()
+    assert {i: [(r["type"], r["before"], r["after"]) for r in got if r["id"] == i] for i in made} == made
 
 
 @settings(max_examples=60, deadline=None)

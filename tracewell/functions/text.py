@@ -126,9 +126,19 @@ def canonical_document_id(fingerprint: Column) -> Column:
     return F.concat(F.lit("sha256:"), fingerprint)
 
 
-def unit_key(c: Column) -> Column:
+# A sentence ends at these signs before what a sentence begins with, but not behind these abbreviations.
+SENTENCE_END = r"(?<=[.!?])(?<!\b[vV]\.)(?<!\b(?:Mr|Mrs|Ms|Dr|Prof|No)\.)\s+(?=[\"'(\[A-Z0-9])"
+
+
+def sentences(c: Column, compat: bool = True) -> Column:
+    """The sentences of four words and more."""
+    parts = F.split(canonical_text(c) if compat else c, SENTENCE_END)
+    return F.coalesce(F.filter(F.transform(parts, F.trim), lambda s: F.size(words(s, False)) >= 4), F.array().cast("array<string>"))
+
+
+def unit_key(c: Column, compat: bool = True) -> Column:
     """The key under which two claim sentences count as equal."""
-    return F.trim(F.regexp_replace(F.regexp_replace(match_key(c), r"[^a-z0-9\s-]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(match_key(c, compat), r"[^a-z0-9\s-]", " "), r"\s+", " "))
 
 
 def quote(c: Column, most: int = 240) -> Column:

@@ -1,5 +1,5 @@
-"""Text walks that keep state from word to word, as Arrow-batched functions: case names, common substrings, sentences,
-claim changes, known keys within texts.  All else about text is in ``text.py``."""
+"""Text walks that keep state from word to word, as Arrow-batched functions: case names, common substrings, known
+keys within texts.  All else about text is in ``text.py``."""
 
 from __future__ import annotations
 
@@ -153,57 +153,6 @@ def check_passage(passage: str, page: str, names: list[str], same_url: bool = Tr
     return (True, "contiguous") if enough else (False, "too short a run")
 
 
-# Abbreviations that end no sentence, and what a sentence begins with.
-_ENDS = re.compile(r"[.!?]\s+(?=[\"'(\[A-Z0-9])")
-_NO_END = re.compile(r"(?:\b[vV]|\b(?:Mr|Mrs|Ms|Dr|Prof|No))\.$")
-
-
-def sentences(s: str | None) -> list[str]:
-    """Sentences of four words and more; `v.` and titles don't end one."""
-    text, out, begin = canonical(s), [], 0
-    for m in _ENDS.finditer(text):
-        if not _NO_END.search(text, max(begin, m.start() - 6), m.start() + 1):
-            out.append(text[begin : m.start() + 1])
-            begin = m.end()
-    out.append(text[begin:])
-    return [p.strip() for p in out if len(words(p)) >= 4]
-
-
-def _quoted(s: str) -> str:
-    return f"“{s}”" if len(s) <= 240 else f"“{s[:239].rstrip()}…”"
-
-
-def claim_changes(parent: str | None, child: str | None, citations: list[str] = (), most: int = 6) -> list[dict]:
-    """Equal sentences are matched one to one; of the rest the most alike (.28 and more) are reframed; what is left was added or omitted."""
-    gone = re.compile("|".join(re.escape(c) for c in citations), re.I) if citations else None
-
-    def units(s: str | None) -> list[tuple[str, str, set[str]]]:
-        return [(t, " ".join(re.sub(r"[^a-z0-9\s-]", " ", canonical(t).lower()).split()), set(words(gone.sub(" ", t) if gone else t))) for t in sentences(s)]
-
-    ps, cs = units(parent), units(child)
-    used_p, used_c, out = set(), set(), []
-    for j, (_, key, _) in enumerate(cs):
-        i = next((i for i, p in enumerate(ps) if i not in used_p and p[1] and p[1] == key), None)
-        if i is not None:
-            used_p.add(i)
-            used_c.add(j)
-    alike = []
-    for i, p in enumerate(ps):
-        for j, c in enumerate(cs):
-            n = len(p[2] & c[2])
-            s = n / (len(p[2]) + len(c[2]) - n) if p[2] and c[2] else 0
-            if s >= 0.28:
-                alike.append((-s, i, j))
-    for _, i, j in sorted(alike):
-        if i not in used_p and j not in used_c:
-            used_p.add(i)
-            used_c.add(j)
-            out.append((0, j, {"type": "reframed", "summary": f"Reframed {_quoted(ps[i][0])} as {_quoted(cs[j][0])}", "before": ps[i][0], "after": cs[j][0]}))
-    out += [(1, j, {"type": "added", "summary": f"Added claim: {_quoted(c[0])}", "before": None, "after": c[0]}) for j, c in enumerate(cs) if j not in used_c]
-    out += [(2, i, {"type": "omitted", "summary": f"Omitted claim: {_quoted(p[0])}", "before": p[0], "after": None}) for i, p in enumerate(ps) if i not in used_p]
-    return [x for _, _, x in sorted(out, key=lambda x: (x[0], x[1], x[2]["summary"]))][:most]
-
-
 @F.pandas_udf(ArrayType(StringType()))
 def case_names_of(s: pd.Series) -> pd.Series:
     return s.map(case_names)
@@ -214,16 +163,6 @@ def common_substring_of(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([longest_common_substring(canonical(x), canonical(y)) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def sentences_of(s: pd.Series) -> pd.Series:
-    return s.map(sentences)
-
-
-@F.pandas_udf(ArrayType(StructType([StructField(n, StringType()) for n in ("type", "summary", "before", "after")])))
-def claim_changes_of(parent: pd.Series, child: pd.Series) -> pd.Series:
-    return pd.Series([claim_changes(p, c) for p, c in zip(parent, child, strict=True)])
-
-
 def key_blocks(keys, block_bytes: int = 16_000_000) -> Iterator[dict[bytes, list[int]]]:
     """The rows of keys(id, key) as key -> ids, in blocks of about that much text; null and empty keys are in no text."""
     held, size = {}, 0

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import text, urls, walks
-from tracewell.operators import lineage, proposals, retrieval, scoring
+from tracewell.operators import changes, lineage, proposals, retrieval, scoring
 from tracewell.operators.hold import hold
 from tracewell.plans import duck
 from tracewell.plans.adapters import CORPUS_SQL, corpus, known_errors
@@ -142,7 +142,7 @@ def c18_claim_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How each turn's claims differ from those of the turn before."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("parent"))
-    return turns.join(before, ["conv_id", "turn"]).select("conv_id", "turn", F.inline(walks.claim_changes_of("parent", "text")))
+    return changes.claim_changes(turns.join(before, ["conv_id", "turn"]).withColumnRenamed("text", "child"), ["conv_id", "turn"])
 
 
 def t06_case_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +152,7 @@ def t06_case_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t13_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(walks.sentences_of("text"), "|").alias("value"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.sentences(F.col("text")), "|").alias("value"))
 
 
 def t17_common_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,5 +205,8 @@ ORACLES = {
     "g09_primary_parents": "WITH o AS (SELECT doc_id AS child, unnest([doc_id // 2, doc_id // 3]) AS parent FROM documents WHERE doc_id > 3) SELECT child, parent FROM (SELECT *, row_number() OVER (PARTITION BY child ORDER BY parent % 2, parent % 7 / 7.0 DESC, parent) AS n FROM o) WHERE n = 1",
     "g11_components": f"WITH RECURSIVE {CORPUS_SQL}, {_LINKS}, up AS (SELECT id, id AS top FROM corpus UNION ALL SELECT up.id, lk.parent FROM up JOIN lk ON lk.child = up.top), m AS (SELECT id, min(top) AS component FROM up GROUP BY id) SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM m",
     "t06_case_names": "SELECT item_id, 'Abel v. Cain-' || item_id || '|Roe v. Smith' AS value FROM benchmark",
+    # A mark ends each sentence and is taken back behind abbreviations.
+    "t13_sentences": rf"""WITH m AS (SELECT doc_id, regexp_replace(regexp_replace({duck.canonical('text')}, '([.!?])\s+([\x22\x27(\[A-Z0-9])', '\1' || chr(1) || '\2', 'g'), '(\b[vV]\.|\b(?:Mr|Mrs|Ms|Dr|Prof|No)\.)' || chr(1), '\1 ', 'g') AS s FROM documents),
+      p AS (SELECT doc_id, list_filter(list_transform(string_split(s, chr(1)), lambda x: trim(x)), lambda x: len({duck.words('x')}) >= 4) AS parts FROM m) SELECT doc_id, array_to_string(parts, '|') AS value FROM p""",
     "w07_earlier_turns": "SELECT conv_id, turn, lag(role) OVER w AS before, coalesce(max(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS user_before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
 }
