@@ -88,11 +88,6 @@ def test_reconstruction_refuses_duplicates_and_cycles(spark):
     assert {(r.parent, r.child, r.confidence): r.status for r in got} == {(1, 2, 0.5): "accepted", (1, 2, 0.4): "duplicate", (2, 1, 0.5): "cycle", (1, 3, 0.1): "not accepted", (2, 3, 0.6): "impossible order"}
 
 
-def test_rejected_proposals_use_up_no_cap():
-    got = lineage.capped_acceptance([{"tier": t} for t in ["probable", "rejected", "probable", "probable", "probable", "validated"]])
-    assert [x["kept"] for x in got] == [True, False, True, True, False, True]
-
-
 def test_depths_and_cycles(spark):
     nodes = spark.range(1, 6).select("id")
     edges = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (4, 5), (5, 4)], "parent long, child long")

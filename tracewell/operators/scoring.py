@@ -314,15 +314,16 @@ def _impossible() -> Column:
     return F.when(c("ordering") == "impossible", why)
 
 
-def score_edges(corpus: Corpus, pairs: DataFrame, pool: DataFrame | None = None) -> DataFrame:
+def score_edges(corpus: Corpus, pairs: DataFrame, pool: DataFrame | None = None, lineage: bool = True) -> DataFrame:
     """C3 for every (parent, child).  The eligible parents of a child,
     among which evidence is rare, are those of its pairs that are members and may have come first; pool(parent, child): others.
-    Parents outside the lineage are scored, marked impossible and never strong."""
+    Parents outside the lineage are scored, marked impossible and never strong; without lineage there is no outside."""
     cols = ["fabricated", "citation_variants", "g6", "g3"]
     asked = pairs if pool is None else pool.unionByName(pairs).distinct()
     wanted = None if pool is None else pairs.withColumn("asked", F.lit(True))
     rows = ordered_pairs(corpus.of_pairs(asked, cols), asked, cols, corpus.timings())
-    rows = rows.withColumn("member", (F.size("p_fabricated") > 0) | (F.size("p_citation_variants") > 0)).withColumn("why", _impossible())
+    member = (F.size("p_fabricated") > 0) | (F.size("p_citation_variants") > 0)
+    rows = rows.withColumn("member", member if lineage else F.lit(True)).withColumn("why", _impossible())
     rows = rows.withColumn("shared", F.size(F.array_intersect("p_fabricated", "c_fabricated"))).withColumn("variant_names", F.array_intersect("p_citation_variants", "c_citation_variants")).withColumn("variants", F.size("variant_names"))
     # The part of the parent's errors among the child's; carriers cover two thirds of the child's.
     rows = rows.withColumn("coverage", F.when(F.size("c_fabricated") > 0, F.col("shared") / F.size("c_fabricated")).otherwise(0.0))

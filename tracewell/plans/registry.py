@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.operators.hold import begin
-from tracewell.plans import graphs, scalars, scoring
+from tracewell.plans import graphs, scalars, scoring, traversals
 
 
 def _alone(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -22,5 +22,5 @@ def _alone(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
     return run
 
 
-QUERIES: dict = {name: _alone(query) for name, query in {**scoring.QUERIES, **graphs.QUERIES, **scalars.QUERIES}.items()}
-ORACLES: dict[str, str] = {**scoring.ORACLES, **graphs.ORACLES, **scalars.ORACLES}
+QUERIES: dict = {name: _alone(query) for name, query in {**scoring.QUERIES, **graphs.QUERIES, **scalars.QUERIES, **traversals.QUERIES}.items()}
+ORACLES: dict[str, str] = {**scoring.ORACLES, **graphs.ORACLES, **scalars.ORACLES, **traversals.ORACLES}
