@@ -131,3 +131,33 @@ def lookup_terms(url: Column) -> Column:
     """The host's first label and the path's words of over two letters, for a source without a title."""
     terms = F.filter(F.split(F.lower(F.coalesce(part(url, "PATH"), F.lit(""))), "[^a-z0-9]+"), lambda w: F.char_length(w) > 2)
     return F.concat_ws(" ", host(url), F.array_join(terms, " "))
+
+
+def _encoded(path: Column) -> Column:
+    """What no URL may hold is written by its bytes."""
+    return F.array_join(F.transform(F.split(path, ""), lambda c: F.when((F.ascii(c) > 126) | c.rlike(r'[\s"<>`{}]'), F.regexp_replace(F.url_encode(c), r"\+", "%20")).otherwise(c)), "")
+
+
+def resolve(base: Column, href: Column) -> Column:
+    """The http(s) URL that a link of the page at base leads to; null for others."""
+    h = F.regexp_replace(F.trim(href), r"[\t\n\r]", "")
+    origin = F.concat(part(base, "PROTOCOL"), F.lit("://"), part(base, "AUTHORITY"))
+    path = F.coalesce(F.nullif(part(base, "PATH"), F.lit("")), F.lit("/"))
+    query = F.coalesce(F.concat(F.lit("?"), part(base, "QUERY")), F.lit(""))
+    whole = (
+        F.when(h.rlike("(?i)^https?://"), h)
+        .when(h.rlike("(?i)^[a-z][a-z0-9+.-]*:"), F.lit(None))
+        .when(h.startswith("//"), F.concat(part(base, "PROTOCOL"), F.lit(":"), h))
+        .when(h.startswith("/"), F.concat(origin, h))
+        .when(h.startswith("?"), F.concat(origin, path, h))
+        .when((h == "") | h.startswith("#"), F.concat(origin, path, query, h))
+        .otherwise(F.concat(origin, F.regexp_replace(path, r"[^/]*$", ""), h))
+    )
+    pattern = r"(?is)^(https?://[^/?#]*)([^?#]*)(.*)$"
+    steps = F.aggregate(
+        F.split(F.regexp_extract(whole, pattern, 2), "/"),
+        F.array().cast("array<string>"),
+        lambda done, s: F.when(s == ".", done).when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.array_append(done, s)),
+    )
+    plain = F.concat(F.regexp_extract(whole, pattern, 1), F.array_join(steps, "/"), F.regexp_extract(whole, pattern, 3))
+    return F.when(whole.isNotNull() & (F.regexp_extract(whole, pattern, 1) != ""), _encoded(F.regexp_replace(plain, "#.*$", "")))

@@ -1 +1 @@
-
+"""Scans that turn pages into documents."""
