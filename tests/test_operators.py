@@ -365,3 +365,87 @@ def test_queries_leave_nothing_in_memory(spark):
     for _ in range(3):
         registry.QUERIES["g02_timings"](spark, "/root/testdata/sf0.001").collect()
     assert context.getPersistentRDDs().size() == before
+
+
+def plain_primary(nodes, links):
+    """G9 by walks."""
+    ids, first, up = [i for i, _ in nodes], {}, {}
+    for p, c, rank, conf in links:
+        if p != c and p in ids and c in ids:
+            first.setdefault((p, c), (rank, conf))
+    depth, edges = {}, set(first)
+    todo = set(ids)
+    while True:
+        ready = {i for i in todo if all(p in depth for p, c in edges if c == i)}
+        if not ready:
+            break
+        depth |= {i: max((depth[p] + 1 for p, c in edges if c == i), default=0) for i in ready}
+        todo -= ready
+    deepest = max(depth.values(), default=-1) + 1
+    times = dict(nodes)
+    for c in ids:
+        options = [(r, -k, times[p] is None, times[p] or 0, -depth.get(p, deepest), p) for (p, x), (r, k) in first.items() if x == c]
+        up[c] = min(options)[-1] if options else None
+    for i in ids:
+        seen = []
+        while i is not None and i not in seen:
+            seen.append(i)
+            i = up[i]
+        if i is not None:
+            up[min(seen[seen.index(i) :])] = None
+    return up
+
+
+def plain_depths(ids, links, up, seeds):
+    near = {i: {p for p, c, *_ in links if c == i} | {c for p, c, *_ in links if p == i} for i in ids}
+    depth, front = {s: 0 for s in seeds}, set(seeds)
+    while front:
+        front = {b for a in front for b in near[a]} - set(depth)
+        depth |= {b: max(depth.values()) + 1 for b in front}
+
+    def steps(i):
+        return 0 if up[i] is None else 1 + steps(up[i])
+
+    return {i: depth.get(i, steps(i)) for i in ids}
+
+
+def test_primary_tree_and_depths_equal_walks(spark):
+    import random
+
+    rng = random.Random(11)
+    for n, k in ((14, 18), (30, 25)):
+        nodes = [(i, rng.choice([None, 5, 6, 7])) for i in range(n)]
+        links = [(rng.randrange(n), rng.randrange(n), rng.randrange(2), rng.randrange(3) / 2) for _ in range(k)]
+        links += [(x, y, 0, 1.0) for x, y in ((1, 2), (2, 3), (3, 1), (3, 3), (99, 1))]  # a cycle, a loop, an unknown end
+        node_df = spark.createDataFrame(nodes, "id long, ts_ms long")
+        link_df = spark.createDataFrame([(i, *x) for i, x in enumerate(links)], "place long, parent long, child long, status_rank int, confidence double")
+        tree = lineage.primary_tree(node_df, link_df)
+        got = {r["id"]: r["parent"] for r in tree.collect()}
+        want = plain_primary(nodes, links)
+        assert got == want
+        seeds = [0, n - 1]
+        inside = [x for x in links if x[0] < n]
+        depths = lineage.seeded_depths(node_df, link_df.where(f"parent < {n}"), tree, spark.createDataFrame([(s,) for s in seeds], "id long"))
+        assert {r["id"]: r["depth"] for r in depths.collect()} == plain_depths(range(n), inside, want, seeds)
+
+
+def test_whole_collapse_of_mirrors(spark):
+    schema = "place int, url string, content_fingerprint string, mirror_urls array<string>, links array<string>, case_names array<string>, discovered_via array<string>, title string"
+    rows = [
+        (0, "https://b.test/x", "f1", ["https://a.test/z"], ["l2", "l1"], ["B", "A"], ["web"], "late"),
+        (1, "https://a.test/x", "f1", None, ["l3"], ["C", "A"], ["seed", "web"], "first"),
+        (2, "https://a.test/x", "f1", [], None, ["D"], None, "same url"),
+        (3, "https://a.test/X/", "f2", None, [], [], ["x"], "other"),
+        (4, "https://c.test/q", "f3", ["https://a.test/z"], None, None, None, None),
+    ]
+    docs, unions, by_url = retrieval.canonicalize(spark.createDataFrame(rows, schema))
+    got = {r["content_fingerprint"]: (r["id"], r["url"], r["title"]) for r in docs.collect()}
+    assert got == {"f1": ("a-x-f1", "https://a.test/x", "first"), "f2": ("a-x-f2", "https://a.test/X/", "other"), "f3": ("a-z", "https://a.test/z", None)}
+    lists = {}
+    for r in unions.orderBy("n").collect():
+        lists.setdefault((r["id"], r["kind"]), []).append(r["value"])
+    assert lists["a-x-f1", "case_names"] == ["C", "A", "D", "B"] and lists["a-x-f1", "links"] == ["l1", "l2", "l3"]
+    assert lists["a-x-f1", "discovered_via"] == ["seed", "web"] and lists["a-x-f1", "mirror_urls"] == ["https://a.test/z", "https://b.test/x"]
+    assert {r["url"]: r["id"] for r in by_url.collect()} == {"https://b.test/x": "a-x-f1", "https://a.test/x": "a-x-f1", "https://a.test/z": "a-z", "https://a.test/X/": "a-x-f2", "https://c.test/q": "a-z"}
+    asked = spark.createDataFrame([("https://www.b.test/x/?utm_a=1",), ("https://none.test/",)], "url string")
+    assert [r["id"] for r in retrieval.documents_of(asked, by_url).orderBy("url").collect()] == [None, "a-x-f1"]
