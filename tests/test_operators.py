@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tracewell.functions import dates, maths, text, urls, walks
-from tracewell.operators import changes, lineage, proposals, retrieval, scoring
+from tracewell.operators import changes, lineage, planning, proposals, retrieval, scoring
 from tracewell.streaming import ingest
 
 DAY = 86_400_000
@@ -449,3 +449,34 @@ def test_whole_collapse_of_mirrors(spark):
     assert {r["url"]: r["id"] for r in by_url.collect()} == {"https://b.test/x": "a-x-f1", "https://a.test/x": "a-x-f1", "https://a.test/z": "a-z", "https://a.test/X/": "a-x-f2", "https://c.test/q": "a-z"}
     asked = spark.createDataFrame([("https://www.b.test/x/?utm_a=1",), ("https://none.test/",)], "url string")
     assert [r["id"] for r in retrieval.documents_of(asked, by_url).orderBy("url").collect()] == [None, "a-x-f1"]
+
+
+def test_topics_and_fragments(spark):
+    rows = [
+        (1, "The early termination of supervised release, (granted) quickly; early termination requested."),
+        (2, None),
+        (3, "and the of"),
+        (4, "one Alpha2 beta gamma"),
+        (5, "a b c Delta1 ¦ zeta Quixotic99 zebra crossings Manhattan borough registry shut ok ¦ tail words"),
+    ]
+    df = spark.createDataFrame(rows, "id long, text string")
+    topics = {r["id"]: r["topic"] for r in planning.topic_words(df).collect()}
+    assert topics == {1: ["supervised", "release", "early", "termination"], 2: [], 3: [], 4: ["beta", "gamma"], 5: ["zebra", "crossings", "manhattan", "borough"]}
+    fragments = {r["id"]: r["fragment"] for r in planning.distinctive_fragment(df).collect()}
+    assert fragments == {1: "early termination of supervised release, (granted) quickly; early", 2: None, 3: None, 4: None, 5: "zeta Quixotic99 zebra crossings Manhattan borough registry shut"}
+
+
+def test_phrases_are_found_in_all_texts(spark):
+    near = "Here is the CASE of mice. A neighbour sentence that has plenty of words in it! Short one."
+    rows = [
+        (1, f"first paragraph that is far away from all of this here\nbefore: eight words are standing right in this line.\n{near}\nafter it says eight words \"quoted\" in one line"),
+        (2, f"x\n{near}\nafter it see Abel v. Cain with many more words in line"),
+        (3, "a neighbour  sentence THAT has plenty of words in it, says nobody"),
+        (4, None),
+    ]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    keys = scoring.known_keys(spark, [(7, "the case of mice")])
+    phrases = planning.phrase_queries(planning.fingerprint_sentences(docs, keys)).orderBy("n").collect()
+    assert [(r["phrase"], r["df"]) for r in phrases] == [("before: eight words are standing right in this line", 1), ("a neighbour sentence that has plenty of words in it", 2)]
+    hits = planning.phrase_hits(docs, planning.phrase_queries(planning.fingerprint_sentences(docs, keys))).collect()
+    assert {(r["n"], r["id"]) for r in hits} == {(1, 1), (2, 1), (2, 2), (2, 3)}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.operators.hold import begin
-from tracewell.plans import graphs, ingest, scalars, scoring, traversals, views
+from tracewell.plans import graphs, ingest, planning, scalars, scoring, traversals, views
 
 
 def _alone(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -22,5 +22,5 @@ def _alone(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
     return run
 
 
-QUERIES: dict = {name: _alone(query) for name, query in {**scoring.QUERIES, **graphs.QUERIES, **scalars.QUERIES, **ingest.QUERIES, **traversals.QUERIES, **views.QUERIES}.items()}
-ORACLES: dict[str, str] = {**scoring.ORACLES, **graphs.ORACLES, **scalars.ORACLES, **ingest.ORACLES, **traversals.ORACLES, **views.ORACLES}
+QUERIES: dict = {name: _alone(query) for name, query in {**scoring.QUERIES, **graphs.QUERIES, **scalars.QUERIES, **ingest.QUERIES, **traversals.QUERIES, **views.QUERIES, **planning.QUERIES}.items()}
+ORACLES: dict[str, str] = {**scoring.ORACLES, **graphs.ORACLES, **scalars.ORACLES, **ingest.ORACLES, **traversals.ORACLES, **views.ORACLES, **planning.ORACLES}
