@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tracewell.functions import dates, maths, text, urls, walks
-from tracewell.operators import changes, lineage, planning, proposals, retrieval, scoring
+from tracewell.operators import changes, lineage, papers, planning, proposals, retrieval, scoring
 from tracewell.streaming import ingest
 
 DAY = 86_400_000
@@ -480,3 +480,19 @@ def test_phrases_are_found_in_all_texts(spark):
     assert [(r["phrase"], r["df"]) for r in phrases] == [("before: eight words are standing right in this line", 1), ("a neighbour sentence that has plenty of words in it", 2)]
     hits = planning.phrase_hits(docs, planning.phrase_queries(planning.fingerprint_sentences(docs, keys))).collect()
     assert {(r["n"], r["id"]) for r in hits} == {(1, 1), (2, 1), (2, 2), (2, 3)}
+
+
+def test_papers_by_title_surname_and_year(spark):
+    schema = "paper long, title string, authors array<string>, year int"
+    rows = [
+        (1, "On the  Nature: of things", ["Ann Lee", "Bo Zhu"], 2001),
+        (2, "on the nature of things", ["B. ZHU", "A. Lee"], None),
+        (3, "On the nature of things!", ["C. Lee"], 2002),
+        (4, "On the nature of things", ["C. Day"], 2001),
+        (5, None, ["Lee"], 2001),
+        (6, "On the nature of things", None, 2001),
+        (7, "", ["Lee"], None),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    got = sorted(tuple(r) for r in papers.same_papers(df.withColumnRenamed("paper", "id"), df).collect())
+    assert got == [(1, 1), (1, 2), (2, 1), (2, 2), (2, 3), (3, 2), (3, 3), (4, 4)]
