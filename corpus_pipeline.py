@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import decontaminate, langid, neardup, packing, quality
-from tracewell.llm._spark import Scratch, batch_rows, filter_rows, shared_dir, ship, tokenizer_file
+from tracewell.llm._spark import Scratch, batch_rows, filter_rows, remove, shared_dir, ship, tokenizer_file
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.2) -> DataFrame:
@@ -35,19 +35,23 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str, least: f
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays: that of the least doc_id.
-    Of repeated rows of one doc_id, the first in the order of their text stays; rows without a doc_id stay."""
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays: that of the least doc_id.  Rows whose doc_id
+    is null or stands in several rows are documents of their own, under numbers above all doc_ids: different texts all stay, and of copies
+    one does.  Null and empty texts are near nothing and stay; other columns are carried along, no documents give no rows."""
     ship(spark)
-    marked = neardup.near_duplicates(docs)
     scratch = Scratch(spark, "near-duplicates")
-    gone = scratch.keep(marked.where("NOT kept").select("doc_id").distinct())
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = scratch.keep(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    repeated = scratch.keep(docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select("doc_id"))
     if repeated.isEmpty():
-        return kept
-    first = Window.partitionBy("doc_id").orderBy("text")
-    once = kept.join(repeated, "doc_id", "left_semi").withColumn("_tracewell_n", F.row_number().over(first)).where("_tracewell_n = 1")
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+        gone = scratch.keep(neardup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct())
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    odd = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi")
+    plain = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["doc_id"]), "left_anti")
+    above = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0)) + 1).first()[0]
+    odd = scratch.keep(odd.withColumn("_tracewell_row", F.monotonically_increasing_id() + F.lit(above)))
+    marked = neardup.near_duplicates(plain.select("doc_id", "text").unionByName(odd.select(F.col("_tracewell_row").alias("doc_id"), "text")))
+    gone = scratch.keep(marked.where("NOT kept").select("doc_id").distinct())
+    own = odd.join(gone.withColumnRenamed("doc_id", "_tracewell_row"), "_tracewell_row", "left_anti")
+    return plain.join(gone, "doc_id", "left_anti").select(*docs.columns).unionByName(own.select(*docs.columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,10 +82,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to documents; each stage's rows are written and read again before the next."""
+    """Applies all stages to documents; each stage's rows are written and read again before the next, and deleted when that is done."""
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs

@@ -410,6 +410,17 @@ def test_stages_keep_columns_and_odd_rows(spark):
         assert stage(spark, docs.where("false"), SF).count() == 0
 
 
+def test_texts_of_one_doc_id_are_documents_of_their_own(spark):
+    """Different texts under one doc_id, or under none, all stay; of copies one does, that of a single doc_id if there is one."""
+    import corpus_pipeline as p
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (1, b), (2, a), (None, c), (None, d), (None, d), (3, c + " more"), (4, None), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    got = Counter((r["doc_id"], r["text"]) for r in p.drop_near_duplicates(spark, docs, SF).collect())
+    assert got == Counter([(1, b), (2, a), (None, d), (3, c + " more"), (4, None), (4, None), (5, "")])
+
+
 def test_range_hashes():
     data = np.frombuffer(b"abc xabc abcd", np.uint8)
     h = _text.range_hashes(data, np.array([0, 5, 9]), np.array([3, 8, 12]))
