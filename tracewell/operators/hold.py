@@ -14,7 +14,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 _KEPT = 2
-_QUERIES: list[list[tuple[SparkSession, str] | Broadcast]] = [[]]
+_QUERIES: list[list[tuple[SparkSession, str | Broadcast]]] = [[]]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,16 +48,19 @@ def hold(df: DataFrame) -> DataFrame:
 
 def share(spark: SparkSession, value: object) -> Broadcast:
     """A broadcast value of the running query; what is read after its release is sent anew."""
-    _QUERIES[-1].append(spark.sparkContext.broadcast(value))
-    return _QUERIES[-1][-1]
+    sent = spark.sparkContext.broadcast(value)
+    _QUERIES[-1].append((spark, sent))
+    return sent
 
 
 def begin(kept: int = _KEPT) -> None:
     """A new query begins: of earlier ones only the last are kept."""
     while len(_QUERIES) > kept:
-        for what in _QUERIES.pop(0):
+        for spark, what in _QUERIES.pop(0):
+            if spark.sparkContext._jsc is None:  # stopped since
+                continue
             if isinstance(what, Broadcast):
                 what.unpersist()
-            elif what[0].sparkContext._jsc is not None:
-                remove(*what)
+            else:
+                remove(spark, what)
     _QUERIES.append([])
