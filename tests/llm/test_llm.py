@@ -373,7 +373,7 @@ def test_section_counts(docs, none, tokenizer):
 # Queries and the pipeline
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"pipeline"}))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"pipeline", "op12_parity_bands"}))  # the latter returns words
 def test_queries_return_whole_tables(spark, name):
     got = queries.QUERIES[name](spark, SF)
     table, key = ("pages", "page_id") if name.startswith("op6") else ("documents", "doc_id")
