@@ -60,6 +60,8 @@ def test_tree_keeps_explicit_links_and_refuses_cycles(spark):
     got = lineage.build_trees(spark.createDataFrame(rows, "run long, parent long, child long, confidence double, strong boolean, impossible boolean, link boolean, child_ms long")).collect()
     status = {(r.parent, r.child): (r.status, r.confidence, r.place) for r in got}
     assert status[1, 2][0] == status[3, 2][0] == "accepted" and status[2, 3][0] == "cycle"
+    # What was chosen and refused is a rejection, not an alternative.
+    assert {(r.parent, r.child): (r.place, r.alternative) for r in got}[2, 3] == (1, None)
     assert status[1, 4] == ("accepted", 0.4, None) and status[2, 4] == ("weaker", 0.48, 3)
     assert {k[0]: v[::2] for k, v in status.items() if k[1] == 4 and v[2]} == {3: ("insufficient", 1), 5: ("impossible", 2), 2: ("weaker", 3), 6: ("below", 4)}
 
