@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import urls
 from tracewell.sources import pages
 
-KNOWN = ["United States v. Figueroa-Florez", "United States v. Ortiz", "United States v. Amato"]
+KNOWN = ["State v. Harrow-Lane", "State v. Ortega", "State v. Amadi"]
 
 
 def page(head, body):
@@ -17,7 +17,7 @@ def page(head, body):
 
 GRAPH = json.dumps([{"x": 1}, {"@graph": [{"datePublished": 5}, [{"datePublished": "2023-12-29T21:00:00Z", "publisher": {"name": "Deep News"}}]]}])
 MADE = {
-    "meta": ("https://news.test/story", page('<title>A &amp; B</title><meta property="og:site_name" content=" News Test "><meta property="article:published_time" content="2023-12-13T15:00:00Z">', '<p>Intro paragraph.</p><p>The motion cited United States v. Ortiz and United States v. Amatos.</p><p>See the <a href="/docs/order#top">order</a> and <a href="mailto:x@y.test">mail</a>.')),
+    "meta": ("https://news.test/story", page('<title>A &amp; B</title><meta property="og:site_name" content=" News Test "><meta property="article:published_time" content="2023-12-13T15:00:00Z">', '<p>Intro paragraph.</p><p>The motion cited State v. Ortega and State v. Amadis.</p><p>See the <a href="/docs/order#top">order</a> and <a href="mailto:x@y.test">mail</a>.')),
     "graph": ("https://news.test/a", page(f'<script type="application/ld+json">{GRAPH}</script><script type="application/ld+json">{{bad</script>', "<p>x")),
     "time": ("https://news.test/2020/01/02/b", page("", '<time datetime="2024-01-05">Jan 5</time><p>x</p>')),
     "url": ("https://d.test/2023/12/01/story", page("", "<p>x</p>")),
@@ -41,9 +41,9 @@ def parsed(spark):
 def test_head_text_links_and_citations(parsed):
     r = parsed["meta"]
     assert (r["title"], r["publisher"], str(r["timestamp"]), r["timestamp_source"], r["timestamp_confidence"]) == ("A & B", "News Test", "2023-12-13 15:00:00", "meta", "strong")
-    assert r["text"] == "Intro paragraph.\nThe motion cited United States v. Ortiz and United States v. Amatos.\nSee the order and mail."
-    assert r["links"] == ["https://news.test/docs/order"] and "Ortiz" in r["passage"] and r["id"] == "news-story" and r["row_"] == 1
-    assert r["fabricated_citations"] == ["United States v. Ortiz", "United States v. Amato"] and r["citation_variants"] == ["United States v. Amatos"]
+    assert r["text"] == "Intro paragraph.\nThe motion cited State v. Ortega and State v. Amadis.\nSee the order and mail."
+    assert r["links"] == ["https://news.test/docs/order"] and "Ortega" in r["passage"] and r["id"] == "news-story" and r["row_"] == 1
+    assert r["fabricated_citations"] == ["State v. Ortega", "State v. Amadi"] and r["citation_variants"] == ["State v. Amadis"]
 
 
 def test_date_evidence(parsed):

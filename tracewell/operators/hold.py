@@ -19,16 +19,17 @@ _QUERIES: list[list[tuple[SparkSession, str | Broadcast]]] = [[]]
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where none is set, a temporary one in local mode, and an error on a cluster."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_tracewell_shared", None)
     if not path:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        current = context._jsc.sc().getCheckpointDir()
         if current.isDefined():
             path = current.get()
-        elif spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
+        elif context.master.startswith("local") and "cluster" not in context.master:
             path = tempfile.mkdtemp(prefix="tracewell-")
         else:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.conf.set("spark.checkpoint.dir", path)
+        context._tracewell_shared = path
     return path
 
 
