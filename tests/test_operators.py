@@ -465,7 +465,7 @@ def test_topics_and_fragments(spark):
     topics = {r["id"]: r["topic"] for r in planning.topic_words(df).collect()}
     assert topics == {1: ["supervised", "release", "early", "termination"], 2: [], 3: [], 4: ["beta", "gamma"], 5: ["zebra", "crossings", "manhattan", "borough"]}
     fragments = {r["id"]: r["fragment"] for r in planning.distinctive_fragment(df).collect()}
-    assert fragments == {1: "early termination of supervised release, (granted) quickly; early", 2: None, 3: None, 4: None, 5: "zeta Quixotic99 zebra crossings Manhattan borough registry shut"}
+    assert fragments == {1: "termination of supervised release, (granted) quickly; early termination", 2: None, 3: None, 4: None, 5: "zeta Quixotic99 zebra crossings Manhattan borough registry shut"}
 
 
 def test_phrases_are_found_in_all_texts(spark):
