@@ -498,3 +498,11 @@ def test_papers_by_title_surname_and_year(spark):
     df = spark.createDataFrame(rows, schema)
     got = sorted(tuple(r) for r in papers.same_papers(df.withColumnRenamed("paper", "id"), df).collect())
     assert got == [(1, 1), (1, 2), (2, 1), (2, 2), (2, 3), (3, 2), (3, 3), (4, 4)]
+
+
+def test_sentences_and_passages_keep_the_digits_at_their_ends(spark):
+    """A sentence or paragraph that begins or ends with the figure of its own place is left whole; blanks at its ends go."""
+    body = "Zero comes first of all. 1 comes second of all. 28.68 comes third of all 2"
+    got = one(spark, text.sentences(F.lit(body)), text.choose_passage(F.lit("  01 of many, then 555-8630 \n\n1 b"), F.array().cast("array<string>"), F.array().cast("array<string>")))
+    assert got[0] == ["Zero comes first of all.", "1 comes second of all.", "28.68 comes third of all 2"]
+    assert got[1] == "01 of many, then 555-8630"
