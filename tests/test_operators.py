@@ -506,3 +506,63 @@ def test_sentences_and_passages_keep_the_digits_at_their_ends(spark):
     got = one(spark, text.sentences(F.lit(body)), text.choose_passage(F.lit("  01 of many, then 555-8630 \n\n1 b"), F.array().cast("array<string>"), F.array().cast("array<string>")))
     assert got[0] == ["Zero comes first of all.", "1 comes second of all.", "28.68 comes third of all 2"]
     assert got[1] == "01 of many, then 555-8630"
+
+
+def test_only_texts_that_folding_may_change_go_to_python(spark):
+    """What UNSTABLE lets pass is what NFKC leaves alone; the others are folded, in both ways, in any batch."""
+    import unicodedata
+
+    every = [(i, chr(i)) for i in range(0x3100) if not 0xD800 <= i < 0xE000]
+    rows = spark.createDataFrame(every, "i long, c string")
+    passed = [r["c"] for r in rows.where(~F.col("c").rlike(text._ODD)).collect()]
+    assert passed == [r["c"] for r in rows.where(~F.col("c").rlike(text.UNSTABLE)).collect()]
+    assert len(passed) > 350 and all(unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c) for c in passed)
+    want = {i: unicodedata.normalize("NFKC", c) for i, c in every}
+    assert {r["i"]: r["n"] for r in rows.select("i", text.nfkc(F.col("c")).alias("n")).collect()} == want
+    assert {r["i"]: r["c"] for r in text.stable(rows, "c").collect()} == want
+    sent = spark.createDataFrame([("plain",), ("\u00c9t\u00e9 \u201cz\u201d",), ("\ufb01n",), (None,)], "t string").select("t", text.nfkc(F.col("t")).alias("n"))
+    assert [tuple(r) for r in sent.collect()] == [("plain", "plain"), ("\u00c9t\u00e9 \u201cz\u201d",) * 2, ("\ufb01n", "fin"), (None, None)]
+    # Plain texts are not sent: Python's part of the plan reads a null for them.
+    assert "RLIKE" in sent._jdf.queryExecution().toString()
+
+
+def test_bounded_bm25_equals_all_scores(spark, monkeypatch):
+    """With bounds from a few documents, small blocks, copies and ties, the best are those among all scores; common words do not decide."""
+    import random
+
+    import numpy as np
+
+    dice = random.Random(3)
+    common, rare = [f"the{i}" for i in range(8)], [f"rare{i}" for i in range(150)]
+    bodies = [" ".join(dice.choices(common, k=dice.randint(1, 20)) + dice.choices(rare, k=dice.randint(0, 6))) for _ in range(300)]
+    docs = spark.createDataFrame([(i, bodies[i - i % 7 % 2]) for i in range(300)], "id long, text string")
+    queries = docs.where("id % 5 = 0").select(F.col("id").alias("query"), F.split("text", " ").alias("words"))
+    every = retrieval.bm25(docs, F.col("text"), queries, None).where("rank <= 4").collect()
+    monkeypatch.setattr(retrieval, "BOUNDING", 30)
+    some = retrieval.bm25(docs, F.col("text"), queries, 4, block=7).collect()
+    assert len(some) == 60 * 4 and sorted(map(tuple, some)) == sorted(map(tuple, every))
+
+    class Row(dict):
+        pass
+
+    block = retrieval._Block([Row(query=1, h=[10, 20, 30]), Row(query=2, h=[20])]).bounded(np.ones(3), np.array([1.0, 2.0, 9.0]), np.array([5.0, 0.0]))
+    assert block.rest.tolist() == [3.0, 0.0] and block.asks.tolist() == [1, 0] and block.start.tolist() == [0, 0, 1, 2]
+
+
+def test_cosine_in_tiles_equals_one_product(spark):
+    import numpy as np
+
+    v = np.random.default_rng(5).integers(-2, 3, (1300, 3)).astype(float)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").repartition(2)
+    got = {(r["query"], r["rank"]): (r["id"], r["score"]) for r in retrieval.cosine_top(table, table.where("id < 600").select(F.col("id").alias("query"), F.col("v").alias("q")), 3).collect()}
+    size = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    u = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
+    s = np.round(u[:600] @ u.T, 6)
+    s[np.arange(600), np.arange(600)] = -np.inf
+    want = {(i, k + 1): (int(j), s[i, j]) for i in range(600) for k, j in enumerate(np.lexsort((np.arange(1300), -s[i]))[:3])}
+    assert got == want
+
+
+def test_python_gets_a_few_megabytes_at_a_time(spark):
+    scoring.contained(F.lit("x"), spark.createDataFrame([(1, "x")], "id long, key string"), "key")
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("4m", "4194304", "4194304b", "4096k")
