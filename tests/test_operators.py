@@ -566,3 +566,24 @@ def test_cosine_in_tiles_equals_one_product(spark):
 def test_python_gets_a_few_megabytes_at_a_time(spark):
     scoring.contained(F.lit("x"), spark.createDataFrame([(1, "x")], "id long, key string"), "key")
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("4m", "4194304", "4194304b", "4096k")
+
+
+def test_cycle_edges_equal_walks_and_hold_no_closure(spark, monkeypatch):
+    import random
+
+    dice = random.Random(11)
+    edges = {(dice.randrange(40), dice.randrange(40)) for _ in range(55)}
+
+    def leads(a, b):
+        seen, todo = set(), [a]
+        while todo:
+            x = todo.pop()
+            for y in [c for p, c in edges if p == x]:
+                if y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+        return b in seen
+
+    monkeypatch.setattr(lineage, "ancestry", None)
+    got = lineage.cycle_edges(spark.createDataFrame(sorted(edges), "parent long, child long"))
+    assert {tuple(r) for r in got.collect()} == {(p, c) for p, c in edges if p == c or leads(c, p)}
