@@ -549,6 +549,30 @@ def test_bounded_bm25_equals_all_scores(spark, monkeypatch):
     assert block.rest.tolist() == [3.0, 0.0] and block.asks.tolist() == [1, 0] and block.start.tolist() == [0, 0, 1, 2]
 
 
+def test_frequent_terms_are_multiplied_and_the_best_scored_exactly(spark, monkeypatch):
+    """The same best whether all terms are multiplied, some or none, with words that occur many times and ties; terms of few pairs are not among them."""
+    import random
+
+    import numpy as np
+
+    dice = random.Random(8)
+    bodies = [" ".join(dice.choices(["the", "of", "and"], k=dice.randint(0, 400)) + dice.choices([f"w{i}" for i in range(60)], k=dice.randint(1, 30))) for _ in range(160)]
+    docs = spark.createDataFrame([(i, bodies[i - i % 3 % 2]) for i in range(160)], "id long, text string")
+    queries = docs.where("id % 4 = 0").select(F.col("id").alias("query"), F.split("text", " ").alias("words"))
+    want = sorted(map(tuple, retrieval.bm25(docs, F.col("text"), queries, None).where("rank <= 3").collect()))
+    monkeypatch.setattr(retrieval, "BOUNDING", 20)
+    for most, pairs in ((1024, 0.0), (2, 0.003), (0, 0.0)):
+        monkeypatch.setattr(retrieval, "FREQUENT", most)
+        monkeypatch.setattr(retrieval, "PAIRS", pairs)
+        assert sorted(map(tuple, retrieval.bm25(docs, F.col("text"), queries, 3).collect())) == want
+    monkeypatch.undo()
+    block = retrieval._Block([{"query": 1, "h": [10, 20]}, {"query": 2, "h": [20, 30]}])
+    often = block.frequent(np.array([0.0, 50.0, 40.0]), 100)
+    assert often.tolist() == [1, 2]
+    block.bounded(np.ones(3), np.ones(3), np.zeros(2), often)
+    assert block.matrix().tolist() == [[1, 1], [0, 1]] and block.asks.tolist() == [0] and block.start.tolist() == [0, 1, 1, 1]
+
+
 def test_cosine_in_tiles_equals_one_product(spark):
     import numpy as np
 
