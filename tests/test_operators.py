@@ -611,3 +611,22 @@ def test_cycle_edges_equal_walks_and_hold_no_closure(spark, monkeypatch):
     monkeypatch.setattr(lineage, "ancestry", None)
     got = lineage.cycle_edges(spark.createDataFrame(sorted(edges), "parent long, child long"))
     assert {tuple(r) for r in got.collect()} == {(p, c) for p, c in edges if p == c or leads(c, p)}
+
+
+def test_topic_words_and_fragments_are_found_within_their_rows(spark):
+    """Blanks of any kind, words of punctuation alone, ties, repeated ids, nulls; without any exchange."""
+    rows = [(1, "alpha beta, gamma delta -- epsilon zeta ( eta-theta"), (1, "Under12 the Kappa"), (2, None), (3, ""), (4, "abcd. efgh"), (5, "Zeta one — 'quoted' Lambda2, of omicron ¦ the of and to in")]
+    docs = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    topics, fragments = planning.topic_words(docs), planning.distinctive_fragment(docs)
+    for df in (topics, fragments):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in topics.collect()] == [(1, ["gamma", "delta", "epsilon", "zeta"]), (1, ["kappa"]), (2, []), (3, []), (4, ["abcd", "efgh"]), (5, ["quoted", "omicron"])]
+    assert [r["fragment"] for r in fragments.collect()] == ["alpha beta, gamma delta epsilon zeta eta-theta", None, None, None, None, "Zeta one 'quoted' Lambda2, of omicron"]
+
+
+def test_timings_look_for_known_errors_once(spark):
+    """What the corpus knows of a document is found in one of its normal forms; the stand-alone scorer's is not looked for."""
+    docs = spark.createDataFrame([(1, "the known words", "u1", 5, ["u2"]), (2, "The Known Words again", "u2", 9, [])], "id long, text string, url string, ts_ms long, links array<string>")
+    corpus = scoring.Corpus(docs, [(7, "known words")])
+    assert "errors" not in corpus.base.columns
+    assert [(r["id"], r["effective"], r["exact"]) for r in corpus.timings().orderBy("id").collect()] == [(1, 9, False), (2, 9, True)]
