@@ -303,3 +303,11 @@ def test_repair_in_rounds_over_many_pairs():
     ids = np.tile(np.random.default_rng(4).integers(0, 300, 20_000), 5).astype(np.int32)
     seq, rules = repair_ids.compress(ids)
     assert len(seq) < len(ids) // 4 and repair_ids.expand(seq, rules).tolist() == ids.tolist()
+
+
+def test_pages_are_packed_between_stages(spark):
+    """Pages are dealt out as packed lines, not as html, and tables between stages are packed; null and empty pages come through."""
+    pages = spark.createDataFrame([(1, "https://a.com/x", "<article><p>One text here</p></article>"), (2, "https://a.com/y", None), (3, None, "")], "page_id long, url string, html string")
+    out = html_main.extract(pages)
+    assert all(f.endswith(".zstd.parquet") for f in out.inputFiles()) and out.inputFiles()
+    assert [tuple(r) for r in out.orderBy("page_id").collect()] == [(1, "https://a.com/x", "One text here", 13), (2, "https://a.com/y", "", 0), (3, None, "", 0)]

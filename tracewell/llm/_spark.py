@@ -48,7 +48,8 @@ class Scratch:
 
     _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, compression: str | None = None):
+        self.compression = compression  # of its tables; by default the session's
         self.spark, self.folder, self.made = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
         self.paths: dict[int, str] = {}
 
@@ -59,7 +60,7 @@ class Scratch:
         before = self.spark.conf.get(self._CLEAN)
         self.spark.conf.set(self._CLEAN, "true")
         try:
-            df.write.parquet(path)
+            df.write.parquet(path, compression=self.compression)
         finally:
             self.spark.conf.set(self._CLEAN, before)
         out = self.spark.read.schema(df.schema).parquet(path)

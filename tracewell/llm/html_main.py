@@ -26,6 +26,7 @@ import html
 import os
 import pickle
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -251,7 +252,14 @@ def extract(pages: DataFrame) -> DataFrame:
         F.regexp_replace(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), r"(\.html?)?/*$", "").alias("path"),
     )
     order = ("host", "path", "page_id")
-    dealt = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(page=[zlib.compress(pickle.dumps(candidates(x))) for x in batch["html"]])[["page_id", "url", "page", "host", "path"]]
+
+    # Pages are parsed where they are read: their lines are dealt out, packed.
+    parsed = map_frames(rows, parse, "page_id long, url string, page binary, host string, path string")
+    dealt = parsed.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get().partitionId()
@@ -259,8 +267,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
         for batch in batches:
             done = []
-            for page, url, raw, host, path in zip(batch["page_id"], batch["url"], batch["html"], batch["host"], batch["path"], strict=True):
-                found = candidates(raw)
+            for page, url, lines, host, path in zip(batch["page_id"], batch["url"], batch["page"], batch["host"], batch["path"], strict=True):
+                found = pickle.loads(zlib.decompress(lines))
                 row = (None if pd.isna(page) else int(page), url, path, found)
                 if held is not None and held.host == host and held.text == own(found):
                     held.pages.append(row)
@@ -298,7 +306,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 done.append(_finish(near[0], row.host, (None if pd.isna(row.page_id) else int(row.page_id), row.url, row.path, pickle.loads(row.page)), near[1]))
             yield _frame(done)[["page_id", "url", "text", "n_chars"]]
 
-    scratch = Scratch(spark, "pages")
+    scratch = Scratch(spark, "pages", "zstd")
     made = scratch.keep(map_frames(dealt, run, f"{_SCHEMA}, host string, path string, task int, slot int, page binary, key binary, before binary, after binary, first_page binary, last_page binary"))
     ends = made.where("slot IS NOT NULL AND page IS NULL")
     narrow = ends.where("key IS NOT NULL").select("task", "slot", "key", F.col("before").isNotNull().alias("has_before"), F.col("after").isNotNull().alias("has_after"))
