@@ -630,3 +630,28 @@ def test_timings_look_for_known_errors_once(spark):
     corpus = scoring.Corpus(docs, [(7, "known words")])
     assert "errors" not in corpus.base.columns
     assert [(r["id"], r["effective"], r["exact"]) for r in corpus.timings().orderBy("id").collect()] == [(1, 9, False), (2, 9, True)]
+
+
+def test_only_grams_that_documents_share_are_kept(spark):
+    """Of three documents two share a passage; one has no time, so it makes no gram shared.  The order is one for all documents."""
+    import numpy as np
+
+    from tracewell.operators import grams
+
+    rng = np.random.default_rng(3)
+    words = {i: [int(x) for x in rng.integers(-(2**62), 2**62, 40)] for i in range(5)}
+    words[1][:20], words[2][5:25], words[4] = words[0][:20], words[0][:20], words[3]
+    rows = [(i, None if i == 4 else i, [], w) for i, w in words.items()] + [(5, 5, [], None), (6, 6, [], [1, 2])]
+    got = {r["id"]: r for r in grams.shared_grams(spark.createDataFrame(rows, "id long, ts_ms long, errors array<long>, words array<long>")).collect()}
+    assert [got[i]["n"] for i in range(7)] == [38, 38, 38, 38, 38, 0, 0]
+    assert [len(got[i]["g3"]) for i in range(7)] == [18, 18, 18, 0, 0, 0, 0]
+    assert [len(got[i]["g6"]) for i in range(7)] == [15, 15, 15, 0, 0, 0, 0]
+    assert got[0]["g3"] == got[1]["g3"] == got[2]["g3"]
+
+
+def test_similarity_is_compared_as_it_is_rounded(spark):
+    """39 common grams of 78 and 79: .3305, which is .331 when rounded."""
+    common = [f"c{i}" for i in range(41)]
+    texts = [" ".join(common + [f"a{i}" for i in range(39)]), " ".join([f"b{i}" for i in range(40)] + common)]
+    docs = spark.createDataFrame([(i, t, f"https://h.test/{i}", i * DAY, []) for i, t in enumerate(texts)], "id long, text string, url string, ts_ms long, links array<string>")
+    assert [(r["parent"], r["child"], r["similarity"]) for r in scoring.candidates(docs)[1].collect()] == [(0, 1, 0.331)]
