@@ -655,3 +655,17 @@ def test_similarity_is_compared_as_it_is_rounded(spark):
     texts = [" ".join(common + [f"a{i}" for i in range(39)]), " ".join([f"b{i}" for i in range(40)] + common)]
     docs = spark.createDataFrame([(i, t, f"https://h.test/{i}", i * DAY, []) for i, t in enumerate(texts)], "id long, text string, url string, ts_ms long, links array<string>")
     assert [(r["parent"], r["child"], r["similarity"]) for r in scoring.candidates(docs)[1].collect()] == [(0, 1, 0.331)]
+
+
+def test_rounds_leave_no_tables_behind(spark):
+    """A chain of 12 levels: of what a round wrote only the last stays."""
+    from pathlib import Path
+
+    from tracewell.operators import hold
+
+    folder = Path(hold.shared_dir(spark).removeprefix("file:"))
+    nodes = spark.range(12).select("id")
+    before = len(list(folder.glob("**/held-*")))
+    got = lineage.structural_depths(nodes, nodes.where("id > 0").select((F.col("id") - 1).alias("parent"), F.col("id").alias("child")))
+    assert len(list(folder.glob("**/held-*"))) - before <= 3
+    assert {r["id"]: r["depth"] for r in got.collect()} == {i: i for i in range(12)}
