@@ -669,3 +669,20 @@ def test_rounds_leave_no_tables_behind(spark):
     got = lineage.structural_depths(nodes, nodes.where("id > 0").select((F.col("id") - 1).alias("parent"), F.col("id").alias("child")))
     assert len(list(folder.glob("**/held-*"))) - before <= 3
     assert {r["id"]: r["depth"] for r in got.collect()} == {i: i for i in range(12)}
+
+
+def test_papers_of_one_title_are_dealt_out(spark, monkeypatch):
+    """300 papers of one title and author, in pieces of 1,000 pairs: all pairs, and not from one task."""
+    monkeypatch.setattr(papers, "PIECE", 1000)
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = spark.range(300).select(F.col("id").alias("paper"), F.lit("One title").alias("title"), F.array(F.lit("A. Lee")).alias("authors"), F.lit(2001).alias("year"))
+        got = papers.same_papers(rows.where("paper % 20 = 0").withColumnRenamed("paper", "id"), rows).select("id", "paper", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r["id"], r["paper"]) for r in got) == [(i, p) for i in range(0, 300, 20) for p in range(300)]
+    assert len({r["task"] for r in got}) > 1
