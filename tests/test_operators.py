@@ -686,3 +686,19 @@ def test_papers_of_one_title_are_dealt_out(spark, monkeypatch):
             spark.conf.set(k, v)
     assert sorted((r["id"], r["paper"]) for r in got) == [(i, p) for i in range(0, 300, 20) for p in range(300)]
     assert len({r["task"] for r in got}) > 1
+
+
+def test_keys_are_found_in_many_texts_at_once(spark):
+    """As text by text, in chunks of any size: no key begins in one text and ends in the next."""
+    import itertools
+
+    keys = {k.encode(): [i] for i, k in enumerate(["ab", "b", "abcabcab", "cabcabcabcabcabcabca", "é", "bca"])}
+    bodies = ["".join(x) for x in itertools.product("abc", repeat=5)] + ["", None, "é", "ca" * 3 + "cabcabcabcabcabcabca", "abcabc"]
+    want = [sorted(i[0] for k, i in keys.items() if k.decode() in (b or "")) for b in bodies]
+    found = walks.Keys(keys)
+    for chunk in (1, 40, 1_000_000):
+        walks.CHUNK, before = chunk, walks.CHUNK
+        try:
+            assert found.within_all(bodies) == want
+        finally:
+            walks.CHUNK = before
