@@ -77,3 +77,12 @@ def test_error_pages(spark):
     rows = [("404 Not Found", "sorry"), ("Story", "Access denied was said"), ("Just a moment", "x" * 400)]
     df = spark.createDataFrame(rows, "title string, text string")
     assert [r["why"] for r in df.select(pages.unusable(df).alias("why")).collect()] == ["error-document", None, None]
+
+
+def test_tags_are_sorted_by_some_pages_at_a_time(spark, monkeypatch):
+    """With more pages than a task has, there are more tasks, however few partitions a shuffle has by default."""
+    monkeypatch.setattr(pages, "TASK_PAGES", 2)
+    df = spark.createDataFrame([(i, f"<p>text {i}</p>") for i in range(40)], "row long, html string")
+    made = pages.content(df)
+    assert made.rdd.getNumPartitions() == 20
+    assert {r["row"]: r["blocks"] for r in made.collect()} == {i: [f"text {i}"] for i in range(40)}

@@ -35,6 +35,8 @@ DATE_MARKS = [
     ("property", "article:published_time"), ("property", "og:published_time"), ("name", "article:published_time"), ("name", "date"), ("name", "pubdate"),
     ("name", "publish-date"), ("name", "DC.date.issued"), ("name", "citation_date"), ("itemprop", "datePublished"),
 ]
+#: Pages whose tags one task has.
+TASK_PAGES = 500
 # What pages that are none say.
 ERROR_PAGE = r"(?i)^(?:404(?: not found)?|page not found|not found|access denied|forbidden|request blocked|attention required|just a moment|enable javascript|captcha)"
 
@@ -75,7 +77,9 @@ def content(pages: DataFrame) -> DataFrame:
     """Per row of pages(row, html): body (the content's text), spans of its blocks there, hrefs, and the head's title, meta, time and JSON-LD tags."""
     page, w = Window.partitionBy("row"), Window.partitionBy("row").orderBy("pos")
     c = F.col
-    rows = tag_stream(pages)
+    # As many tasks as there are pages for, so that what one sorts does not grow with the table.
+    tasks = max(pages.sparkSession.sparkContext.defaultParallelism, -(-pages.count() // TASK_PAGES))
+    rows = tag_stream(pages).repartition(tasks, "row")
     has = lambda tag: F.max(c("opens") & (c("name") == tag)).over(page)
     rows = rows.withColumn("root", F.when(has("article"), "article").when(has("main"), "main").when(has("body"), "body"))
     rows = _depth(rows, "inside", c("name") == c("root"))
