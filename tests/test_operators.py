@@ -1,11 +1,13 @@
 """Hand-made cases for the scorers, the folds, the walks and the date rules."""
 
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tracewell.functions import dates, maths, text, urls, walks
-from tracewell.operators import changes, lineage, papers, planning, proposals, retrieval, scoring
+from tracewell.operators import changes, grams, lineage, papers, planning, proposals, retrieval, scoring
 from tracewell.streaming import ingest
 
 DAY = 86_400_000
@@ -702,3 +704,19 @@ def test_keys_are_found_in_many_texts_at_once(spark):
             assert found.within_all(bodies) == want
         finally:
             walks.CHUNK = before
+
+
+def test_most_alike_is_exact_in_any_blocks(spark):
+    """Against all pairs; documents share many grams that all have, some that few have, and some targets only the frequent ones."""
+    rng, rows = random.Random(3), []
+    for i in range(60):
+        own = sorted(rng.sample(range(1000, 1400), rng.randint(0, 25)), key=lambda g: -g)
+        rows.append((i, rng.randint(0, 5), len(own) + 30 + rng.randint(0, 9), own + sorted(rng.sample(range(30), rng.randint(5, 25)))))
+    feats = spark.createDataFrame(rows, "id long, ts_ms long, n long, g3 array<long>")
+    want = {}
+    for c, t, n, g in rows:
+        both = [(len(set(g) & set(h)), m) for p, s, m, h in rows if p != c and s <= t]
+        want[c] = max((k / (n + m - k) for k, m in both), default=0.0)
+    for block in (10**6, 300):
+        got = {r["child"]: r["similarity"] for r in grams.most_alike(feats, feats, block).collect()}
+        assert got == {c: s for c, s in want.items() if s}
