@@ -720,3 +720,18 @@ def test_most_alike_is_exact_in_any_blocks(spark):
     for block in (10**6, 300):
         got = {r["child"]: r["similarity"] for r in grams.most_alike(feats, feats, block).collect()}
         assert got == {c: s for c, s in want.items() if s}
+
+
+def test_urls_are_compared_before_the_dot_without_their_texts(spark):
+    docs = spark.createDataFrame(
+        [
+            (1, "", "https://a.test/1", []),
+            (2, "see https://A.test/1. or xa.test/12", "https://b.test/2", []),
+            (3, "only b.a.test/1 and aa.test/2", "localhost", []),
+            (4, "at localhost now, b..test/2 and b.test/", "https://d.test/4", []),
+        ],
+        "id long, text string, url string, links array<string>",
+    )
+    made = scoring.url_pairs(docs.select(F.col("id").alias("parent"), "url"), docs, urls.scheme_less_url)
+    assert sorted(tuple(r) for r in made.select("parent", "child").collect()) == [(1, 2), (1, 3), (3, 4)]
+    assert "Contains(body" not in made._jdf.queryExecution().optimizedPlan().toString()
