@@ -735,3 +735,9 @@ def test_urls_are_compared_before_the_dot_without_their_texts(spark):
     made = scoring.url_pairs(docs.select(F.col("id").alias("parent"), "url"), docs, urls.scheme_less_url)
     assert sorted(tuple(r) for r in made.select("parent", "child").collect()) == [(1, 2), (1, 3), (3, 4)]
     assert "Contains(body" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_timings_are_made_once(spark):
+    docs = spark.createDataFrame([(1, "x", "https://a.test/1", 0, [])], "id long, text string, url string, ts_ms long, links array<string>")
+    corpus = scoring.Corpus(docs)
+    assert corpus.timings() is corpus.timings()
